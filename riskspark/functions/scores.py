@@ -102,7 +102,7 @@ def record_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def request_fields(apps: DataFrame) -> DataFrame:
+def request_fields(apps: DataFrame, keep=()) -> DataFrame:
     """The eight request fields of a scoring call, derived from applicant rows
     (age and years employed from day counts; the 365243 sentinel is unknown)."""
     emp = F.when(F.col("DAYS_EMPLOYED") != 365243, -(F.col("DAYS_EMPLOYED") / 365.0))
@@ -115,10 +115,10 @@ def request_fields(apps: DataFrame) -> DataFrame:
         F.col("EXT_SOURCE_2").alias("ext_source_2"),
         F.col("EXT_SOURCE_3").alias("ext_source_3"),
         (-F.col("DAYS_BIRTH") / 365.0).alias("age"),
-        emp.alias("employ_years"))
+        emp.alias("employ_years"), *keep)
 
 
-def api_feature_vector(req: DataFrame) -> DataFrame:
+def api_feature_vector(req: DataFrame, keep=()) -> DataFrame:
     """The fixed-order 8 model inputs of the API: ext scores that are null
     or zero become 0.5 (``x or 0.5``), children/years default to 0."""
     ext = lambda x: F.coalesce(F.when(F.col(x) != 0, F.col(x)), F.lit(EXT_DEFAULT))
@@ -131,4 +131,4 @@ def api_feature_vector(req: DataFrame) -> DataFrame:
         ext("ext_source_2").cast("double").alias("EXT_SOURCE_2"),
         ext("ext_source_3").cast("double").alias("EXT_SOURCE_3"),
         F.col("age").cast("double").alias("AGE"),
-        F.coalesce(F.col("employ_years"), F.lit(0.0)).cast("double").alias("EMPLOY_YEARS"))
+        F.coalesce(F.col("employ_years"), F.lit(0.0)).cast("double").alias("EMPLOY_YEARS"), *keep)

@@ -75,13 +75,11 @@ def importance_table(spark: SparkSession, names: Sequence[str], importances) ->
 
 
 def partial_dependence(model, df: DataFrame, feature: str, points: int = PDP_POINTS,
-                       rows: int = PDP_ROWS, seed: int = 42, prob_col: str = "probability",
-                       key: str = "SK_ID_CURR") -> DataFrame:
+                       rows: int = PDP_ROWS, seed: int = 42, key: str = "SK_ID_CURR") -> DataFrame:
     """X11: mean predicted probability over a linear grid of ``points`` values
     between the feature's min and max, on a seeded sample of ``rows`` rows:
-    (grid_value, mean_probability).  ``model`` is a fitted PipelineModel whose
-    input is the raw feature columns."""
-    from pyspark.ml.functions import vector_to_array
+    (grid_value, mean_probability).  ``model`` is a ``TrainedModel`` scoring
+    prepared rows; every sampled row is expanded by the fixed-size grid."""
     from riskspark.operators.sampling import sample_rows
     mm = df.agg(F.min(feature).alias("mn"), F.max(feature).alias("mx")).first()
     mn, mx = float(mm["mn"]), float(mm["mx"])
@@ -90,7 +88,6 @@ def partial_dependence(model, df: DataFrame, feature: str, points: int = PDP_POI
     sample = sample_rows(df, rows, seed, key)
     expanded = sample.withColumn("grid_value", F.explode(grid)).withColumn(
         feature, F.col("grid_value"))
-    scored = model.transform(expanded)
-    p1 = vector_to_array(F.col(prob_col))[1]
-    return (scored.groupBy("grid_value").agg(F.avg(p1).alias("mean_probability"))
+    scored = model.score(expanded)
+    return (scored.groupBy("grid_value").agg(F.avg(f"p_{model.name}").alias("mean_probability"))
             .orderBy("grid_value"))

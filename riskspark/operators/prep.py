@@ -69,8 +69,10 @@ class FeatureModel:
                 q = None
         return cls(kept, dropped, q)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return derive_features(df.select(*self.kept), self.income_quartiles)
+    def transform(self, df: DataFrame, keep=()) -> DataFrame:
+        """``keep``: extra columns carried through unchanged (after the
+        derived ones)."""
+        return derive_features(df.select(*self.kept, *keep), self.income_quartiles)
 
 
 def clean_and_derive(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -108,7 +110,7 @@ class PrepModel:
         cols = [c for c in df.columns if c in num or c in cat or c in (KEY, LABEL)]
         return cls(num, med, cat, codes, caps, cols)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """Imputed numerics become double (as the reference's imputer returns
         floats); categories become integer codes; unseen categories -> -1.
         Columns the model was fitted on but the frame lacks are added as 0 and
@@ -131,7 +133,7 @@ class PrepModel:
                 out.append(encode_category(F.col(c), self.codes[c]).alias(c))
             else:
                 out.append(F.col(c))
-        return df.select(*out)
+        return df.select(*out, *keep)
 
     @property
     def feature_columns(self) -> list[str]:
