@@ -11,6 +11,13 @@ HASH_MULT = 2654435761
 HASH_MOD = 4294967296
 
 
+def _seed_mask(seed: int) -> int:
+    """0 for the default seed 42 (the portable formula as written); other
+    seeds XOR the key with a seed-derived mask first, so a different seed
+    gives a different permutation rather than a rotation of the same one."""
+    return ((seed - 42) * 2654435761) % HASH_MOD
+
+
 def hash_key(key: str | Column, seed: int = 42) -> Column:
     """``(key * 2654435761 + seed) mod 2^32`` without 64-bit overflow.
 
@@ -19,7 +26,10 @@ def hash_key(key: str | Column, seed: int = 42) -> Column:
     oracle SQL writes.  Distinct keys below 2^32 give distinct values (the
     multiplier is odd), so ordering by it is a seeded permutation.
     """
-    k = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(HASH_MOD))
+    k = F.col(key) if isinstance(key, str) else key
+    if _seed_mask(seed):
+        k = k.bitwiseXOR(F.lit(_seed_mask(seed)))
+    k = F.pmod(k, F.lit(HASH_MOD))
     hi = F.floor(k / 65536).cast("bigint")
     lo = F.pmod(k, F.lit(65536))
     mixed = F.pmod(hi * HASH_MULT, F.lit(65536)) * 65536 + lo * HASH_MULT + seed
@@ -27,7 +37,8 @@ def hash_key(key: str | Column, seed: int = 42) -> Column:
 
 
 def hash_key_sql(key: str, seed: int = 42) -> str:
-    return f"(({key}) * {HASH_MULT} + {seed}) % {HASH_MOD}"
+    k = f"xor({key}, {_seed_mask(seed)})" if _seed_mask(seed) else key
+    return f"(({k}) * {HASH_MULT} + {seed}) % {HASH_MOD}"
 
 
 def rnd(c: Column | str, digits: int) -> Column:

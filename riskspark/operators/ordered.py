@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +81,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     Returns ``(by..., name, p, value)``; nulls are skipped, a column without
     values yields no row.  Interpolation: position ``(n-1)*p``, value
     ``v_lo * (1 - frac) + v_hi * frac`` (see ``keys.lerp``).
+
+    Plan (three scans of the unpivoted values, small shuffles only):
+    1. per (group, column): count and ``percentile_approx`` bucket boundaries;
+    2. rows per bucket (partial aggregation), prefix over buckets -> the
+       bucket holding each target rank;
+    3. only rows of those buckets are collapsed to distinct values and ranked
+       (window per bucket), and the values at the target ranks are picked.
     """
     by = list(by)
+    nb = _n_buckets(df, buckets)
     base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     if not by:
         base = base.withColumn("_g", F.lit(0))
@@ -90,23 +99,37 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not by:
         long = long.drop("_g")
     keys = [*by, "name"]
-    t = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_totals(t, keys, "v", ["c"], buckets)
-    cum = cum.withColumn("_lo", F.col("cum_c") - F.col("c"))   # rows strictly below v
-
-    n = t.groupBy(*keys).agg(F.sum("c").alias("_n"))
-    tg = (n.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    bprobs = [i / nb for i in range(1, nb)] or [0.5]
+    sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx("v", bprobs, 10000).alias("_bnd"))
+    lb = long.join(F.broadcast(sk.select(*keys, "_bnd")), keys).select(
+        *keys, "v", F.size(F.filter("_bnd", lambda x: x < F.col("v"))).alias("_b"))
+    bc = lb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    bc = bc.withColumn("_bhi", F.sum("_bc").over(wb)).withColumn("_blo", F.col("_bhi") - F.col("_bc"))
+    # target ranks (0-based) of every (group, column, p): floor and ceil of (n-1)p
+    tg = (sk.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
           .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("p"))
-          .withColumn("_k0", F.floor("_pos").cast("bigint"))
-          .withColumn("_k1", F.ceil("_pos").cast("bigint")))
-    tgk = tg.select(*keys, "p", "_pos", "_k0",
-                    F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("_k0").alias("k")),
-                                      F.struct(F.lit(1).alias("w"), F.col("_k1").alias("k"))))
-                    .alias("_t")).select(*keys, "p", "_pos", "_k0", "_t.w", "_t.k")
-    cum = cum.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "v", "_lo", "cum_c")
-    cond = ([F.col(k) == F.col(f"_c_{k}") for k in keys]
-            + [F.col("_lo") <= F.col("k"), F.col("k") < F.col("cum_c")])
-    hit = tgk.join(cum, cond).select(*keys, "p", "_pos", "_k0", "w", "v")
+          .withColumn("_k0", F.floor("_pos").cast("bigint")))
+    tgk = tg.select(*keys, "p", "_pos", "_k0", F.explode(F.array(
+        F.struct(F.lit(0).alias("w"), F.col("_k0").alias("k")),
+        F.struct(F.lit(1).alias("w"), F.ceil("_pos").cast("bigint").alias("k")))).alias("_t")
+    ).select(*keys, "p", "_pos", "_k0", "_t.w", "_t.k")
+    bcr = bc.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_b", "_blo", "_bhi")
+    tb = tgk.join(bcr, [F.col(k) == F.col(f"_c_{k}") for k in keys]
+                  + [F.col("_blo") <= F.col("k"), F.col("k") < F.col("_bhi")]).drop(
+        *[f"_c_{k}" for k in keys])
+    need = tb.select(*keys, "_b", "_blo").distinct()             # <= groups x cols x 2|probs|
+    vals = (lb.join(F.broadcast(need), [*keys, "_b"])
+            .groupBy(*keys, "_b", "_blo", "v").agg(F.count(F.lit(1)).alias("c")))
+    wv = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_hi", F.sum("c").over(wv) + F.col("_blo")).withColumn(
+        "_lo", F.col("_hi") - F.col("c"))
+    vr = vals.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_cb"),
+                     "v", "_lo", "_hi")
+    hit = tb.join(vr, [F.col(k) == F.col(f"_c_{k}") for k in keys]
+                  + [F.col("_b") == F.col("_cb"), F.col("_lo") <= F.col("k"), F.col("k") < F.col("_hi")]
+                  ).select(*keys, "p", "_pos", "_k0", "w", "v")
     res = hit.groupBy(*keys, "p").agg(
         F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"),
         F.max(F.when(F.col("w") == 0, F.col("v"))).alias("_v0"),
@@ -116,7 +139,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                 approx: bool = False) -> dict[str, list[float | None]]:
+                 approx: bool = False, persist: bool = True) -> dict[str, list[float | None]]:
     """Fitted quantiles as a small driver-side dict ``{col: [q(p) ...]}``.
 
     Only ``len(cols) * len(probs)`` numbers reach the driver.  ``approx``
@@ -133,6 +156,15 @@ def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 out[c] = list(row[c])
         return out
     idx = {float(p): i for i, p in enumerate(probs)}
-    for r in exact_quantiles(df, cols, probs).collect():
+    # the fit reads the (narrow) input several times: keep it for the fit
+    src = df.select(*cols)
+    if persist:
+        src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = exact_quantiles(src, cols, probs).collect()
+    finally:
+        if persist:
+            src.unpersist()
+    for r in rows:
         out[r["name"]][idx[r["p"]]] = r["value"]
     return out

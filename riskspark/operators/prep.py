@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,15 @@ class FeatureModel:
                 q = None
         return cls(kept, dropped, q)
 
+    @classmethod
+    def fit_persisted(cls, df: DataFrame, **kw) -> "FeatureModel":
+        """``fit`` with the input kept in executor memory/disk for its passes."""
+        p = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cls.fit(p, **kw)
+        finally:
+            p.unpersist()
+
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """``keep``: extra columns carried through unchanged (after the
         derived ones)."""
@@ -77,7 +87,7 @@ class FeatureModel:
 
 def clean_and_derive(df: DataFrame, approx: bool = False) -> DataFrame:
     """``preprocess_data``: fit on ``df`` and apply to it (fit_on='all')."""
-    return FeatureModel.fit(df, approx=approx).transform(df)
+    return FeatureModel.fit_persisted(df, approx=approx).transform(df)
 
 
 @dataclass
@@ -95,12 +105,17 @@ class PrepModel:
             cap_columns=CAP_COLUMNS, k: float = IQR_K) -> "PrepModel":
         num = numeric_columns(df)
         cat = string_columns(df)
-        med = {c: v[0] for c, v in quantile_map(df, num, [0.5], approx).items()}
-        codes = fit_category_codes(df, cat)
-        caps_in = [c for c in cap_columns if c in num]
-        imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c)
-                              for c in caps_in])
-        qs = quantile_map(imputed, caps_in, [0.25, 0.75], approx)
+        # every fit pass reads only these columns: keep them for the fit
+        src = df.select(*num, *cat).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            med = {c: v[0] for c, v in quantile_map(src, num, [0.5], approx, persist=False).items()}
+            codes = fit_category_codes(src, cat)
+            caps_in = [c for c in cap_columns if c in num]
+            imputed = src.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c)
+                                   for c in caps_in])
+            qs = quantile_map(imputed, caps_in, [0.25, 0.75], approx, persist=False)
+        finally:
+            src.unpersist()
         caps = {}
         for c in caps_in:
             q1, q3 = qs[c]
@@ -151,12 +166,12 @@ def fit_category_codes(df: DataFrame, cat_cols: list[str]) -> dict[str, dict[str
     long = (df.select(*[F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)).alias(c) for c in cat_cols])
             .withColumn("_g", F.lit(0))
             .unpivot(["_g"], cat_cols, "name", "value").select("name", "value").distinct())
-    n = long.count()
-    if n > MAX_CATEGORIES:
-        raise ValueError(f"{n} distinct categories exceed MAX_CATEGORIES={MAX_CATEGORIES}; "
+    rows = long.limit(MAX_CATEGORIES + 1).collect()      # bounded collect, size checked
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than MAX_CATEGORIES={MAX_CATEGORIES} distinct categories; "
                          "use ml.feature.StringIndexer for high-cardinality columns")
     vals: dict[str, list[str]] = {c: [] for c in cat_cols}
-    for r in long.collect():
+    for r in rows:
         vals[r["name"]].append(r["value"])
     return {c: {v: i for i, v in enumerate(sorted(vs))} for c, vs in vals.items()}
 

@@ -43,7 +43,7 @@ def workbench(spark: SparkSession, sf_dir: str, fit_on: str = "all",
     apps = applications(spark, sf_dir)
     split = SplitModel.fit(apps)
     fit_src = apps if fit_on == "all" else split.train(apps)
-    fm = FeatureModel.fit(fit_src)
+    fm = FeatureModel.fit_persisted(fit_src)
     feats_fit = fm.transform(fit_src)
     pm = PrepModel.fit(feats_fit)
     prepared = pm.transform(fm.transform(apps))
