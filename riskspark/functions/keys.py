@@ -76,3 +76,19 @@ def lerp(lo: Column, hi: Column, d: Column) -> Column:
     """Linear interpolation ``lo * (1 - d) + hi * d`` with the first product
     fused (the rule of DuckDB's ``quantile_cont``); exact at d = 0."""
     return F.when(d == 0, lo).otherwise(fma(lo, F.lit(1.0) - d, hi * d))
+
+
+def count_below(x: Column, values, inclusive: bool = False) -> Column:
+    """Number of the sorted literal ``values`` that are < x (or <= x with
+    ``inclusive``), as a balanced CASE tree: log2(n) comparisons per row,
+    compiled into the stage (no higher-order function); null x gives 0."""
+    vals = sorted(float(v) for v in values)
+
+    def build(lo: int, hi: int) -> Column:        # count within vals[lo:hi], all below lo known
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        hit = (x >= F.lit(vals[mid])) if inclusive else (x > F.lit(vals[mid]))
+        return F.when(hit, build(mid + 1, hi)).otherwise(build(lo, mid))
+
+    return F.coalesce(build(0, len(vals)), F.lit(0))

@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.functions.keys import count_below
 from riskspark.operators.ordered import running_totals
 
 # Threshold grids and business parameters of the reference.
@@ -155,7 +156,7 @@ def threshold_counts(df: DataFrame, label: str, score: str, thresholds: Sequence
     arr = F.array(*[F.lit(t) for t in ts])
     y = F.col(label) == 1
     counted = (df.select(*by, y.alias("_y"),
-                         F.size(F.filter(arr, lambda t: t <= F.col(score))).alias("_c"))
+                         count_below(F.col(score), ts, inclusive=True).alias("_c"))
                .groupBy(*by, "_c").agg(F.sum(F.when(F.col("_y"), 1).otherwise(0)).alias("_pos"),
                                         F.sum(F.when(F.col("_y"), 0).otherwise(1)).alias("_neg")))
     # grid of all indices 0..n per group, so empty indices still appear

@@ -119,10 +119,19 @@ def _tree_importance(s, d):
     return X.importance_table(s, m.features, m.classifier.featureImportances).limit(X.TOP_IMPORTANCES)
 
 
+_IMPORTANCE: dict = {}
+
+
 def _forest_importance(s, d):
-    wb = _wb(s, d)
-    m = train(wb.train, wb.features, "forest_select")
-    return X.importance_table(s, m.features, m.classifier.featureImportances)
+    """Importances of the selection forest, trained once per session and
+    data folder (one value per feature is kept)."""
+    k = (s.sparkContext.applicationId, d)
+    if k not in _IMPORTANCE:
+        wb = _wb(s, d)
+        m = train(wb.train, wb.features, "forest_select")
+        _IMPORTANCE[k] = (m.features, m.classifier.featureImportances.toArray().tolist())
+    names, vals = _IMPORTANCE[k]
+    return X.importance_table(s, names, vals)
 
 
 def _ranking(s, d):
