@@ -131,3 +131,13 @@ def test_streaming_equals_batch(spark, wb):
     batch = scored_requests(test_req, model)
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+
+
+def test_random_searches_small_space(wb):
+    from riskspark.operators.tune import random_search_forest, random_search_gbt
+    rf = random_search_forest(wb.train, wb.features, space={"n_estimators": [5, 10], "max_depth": [3],
+                                                           "min_samples_split": [2]}, folds=2)
+    assert rf.cv_table.count() == 2 and rf.best_params["n_estimators"] in (5, 10)
+    gb = random_search_gbt(wb.train, wb.features, space={"n_estimators": [3], "max_depth": [2, 3],
+                                                         "learning_rate": [0.3]}, n_iter=1, folds=2)
+    assert gb.cv_table.count() == 1
