@@ -156,7 +156,7 @@ def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     Exact mode is an iterative distributed selection.  Each target rank
     (floor and ceil of ``(n-1)p``) lives in a value segment ``(lo, hi]`` of
     its column, first the whole column.  While a segment holds more than
-    ``FETCH_LIMIT`` distinct values (approximate count), one round cuts it
+    ``FETCH_LIMIT`` rows (and more than one value), one round cuts it
     into ``FIT_BUCKETS`` sub-buckets at ``percentile_approx`` boundaries,
     counts rows per sub-bucket (partial aggregation) and keeps only the
     sub-bucket that holds the rank.  The final segments are collapsed to
@@ -181,17 +181,16 @@ def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if persist:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        r0 = src.agg(*[F.struct(F.count(c).alias("n"), F.approx_count_distinct(c).alias("d")).alias(c)
-                       for c in cols]).first()
-        live = [c for c in cols if r0[c]["n"] > 0]
+        r0 = src.agg(*[F.count(c).alias(c) for c in cols]).first()
+        live = [c for c in cols if r0[c] > 0]
         # segment: (column, lo, hi) -> [offset, rows, approx distinct]
         seg = {}
         tgt = {}                       # (column, k) -> segment key
         plan = {}
         for c in live:
-            n = r0[c]["n"]
+            n = r0[c]
             key = (c, None, None)
-            seg[key] = [0, n, r0[c]["d"]]
+            seg[key] = [0, n, n]      # offset, rows, rows still to split (0 = cannot split)
             for i, p in enumerate(probs):
                 pos = (n - 1) * float(p)
                 k0, k1 = math.floor(pos), math.ceil(pos)
@@ -245,9 +244,8 @@ def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             pairs, ids = seg_pairs(big, bnd)
             counts: dict = {}
             for r in (pairs.groupBy("sid", "_b")
-                      .agg(F.count(F.lit(1)).alias("m"), F.approx_count_distinct("v").alias("d"))
-                      .collect()):
-                counts.setdefault(r["sid"], {})[r["_b"]] = (r["m"], r["d"])
+                      .agg(F.count(F.lit(1)).alias("m")).collect()):
+                counts.setdefault(r["sid"], {})[r["_b"]] = (r["m"], r["m"])
             moved = {}
             for t, k in list(tgt.items()):
                 if k not in ids:
