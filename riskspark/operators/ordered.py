@@ -103,7 +103,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     bprobs = [i / nb for i in range(1, nb)] or [0.5]
     sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                  F.percentile_approx("v", bprobs, 10000).alias("_bnd"))
-    lb = long.join(F.broadcast(sk.select(*keys, "_bnd")), keys).select(
+    # one row per (group, column): AQE broadcasts it when its measured size is small
+    lb = long.join(sk.select(*keys, "_bnd"), keys).select(
         *keys, "v", F.size(F.filter("_bnd", lambda x: x < F.col("v"))).alias("_b"))
     bc = lb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,7 +122,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   + [F.col("_blo") <= F.col("k"), F.col("k") < F.col("_bhi")]).drop(
         *[f"_c_{k}" for k in keys])
     need = tb.select(*keys, "_b", "_blo").distinct()             # <= groups x cols x 2|probs|
-    vals = (lb.join(F.broadcast(need), [*keys, "_b"])
+    vals = (lb.join(need, [*keys, "_b"])
             .groupBy(*keys, "_b", "_blo", "v").agg(F.count(F.lit(1)).alias("c")))
     wv = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("_hi", F.sum("c").over(wv) + F.col("_blo")).withColumn(

@@ -20,6 +20,7 @@ from riskspark.operators import evaluate as E
 from riskspark.operators.models import TrainedModel, feature_list, long_scores, score_all, train
 from riskspark.operators.prep import FeatureModel, PrepModel
 from riskspark.operators.sampling import SplitModel
+from riskspark.session import checkpoint_dir
 from riskspark.sources.tables import applications
 
 
@@ -40,6 +41,9 @@ class Workbench:
 
 def workbench(spark: SparkSession, sf_dir: str, fit_on: str = "all",
               persist: bool = True) -> Workbench:
+    # tree ensembles cut their lineage every few iterations into the
+    # session's shared checkpoint folder (set here only when the session has none)
+    checkpoint_dir(spark)
     apps = applications(spark, sf_dir)
     split = SplitModel.fit(apps)
     fit_src = apps if fit_on == "all" else split.train(apps)
