@@ -87,6 +87,20 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Da
     return agg.select(*by, F.when(den > 0, F.col("_num").cast("double") / den).alias("roc_auc"))
 
 
+def side_by_side(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Columns of two results per group: a key join with groups; without
+    groups both are one-row results, combined by union + aggregate (no join)."""
+    if by:
+        return a.join(b, list(by))
+    ca = [c for c in a.columns]
+    cb = [c for c in b.columns if c not in ca]
+    ta = {f.name: f.dataType for f in a.schema.fields}
+    tb = {f.name: f.dataType for f in b.schema.fields}
+    u = (a.select(*ca, *[F.lit(None).cast(tb[c]).alias(c) for c in cb])
+         .unionByName(b.select(*[F.lit(None).cast(ta[c]).alias(c) for c in ca], *cb)))
+    return u.agg(*[F.max(c).alias(c) for c in ca + cb])
+
+
 def classification_metrics(df: DataFrame, label: str, score: str,
                            threshold: float = DEFAULT_THRESHOLD,
                            by: Sequence[str] = ()) -> DataFrame:
@@ -94,8 +108,7 @@ def classification_metrics(df: DataFrame, label: str, score: str,
     cc = confusion_counts(df, label, score, threshold, by)
     out = cc.select(*by, *metric_columns(), "tp", "tn", "fp", "fn")
     auc = roc_auc(df, label, score, by)
-    return out.join(auc, list(by)) if by else out.withColumn("_j", F.lit(1)).join(
-        auc.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return side_by_side(out, auc, by)
 
 
 def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -104,8 +117,11 @@ def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     sc = score_counts(df, label, score, by)
     cum = running_totals(sc, list(by), "s", ["pos", "neg"], descending=True)
     tot = sc.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    j = cum.join(tot, list(by)) if by else cum.withColumn("_j", F.lit(1)).join(
-        tot.withColumn("_j", F.lit(1)), "_j")
+    if by:
+        j = cum.join(tot, list(by))
+    else:                       # two fitted totals as literals, no join
+        t = tot.first()
+        j = cum.withColumns({"_p": F.lit(t["_p"] or 0), "_n": F.lit(t["_n"] or 0)})
     return j.select(*by, F.col("s").alias("threshold"),
                     _ratio(F.col("cum_neg"), F.col("_n")).alias("fpr"),
                     _ratio(F.col("cum_pos"), F.col("_p")).alias("tpr"))
@@ -240,8 +256,7 @@ def default_vs_best(df: DataFrame, label: str, score: str,
     cols = ["threshold", "profit", "approvals", "fp", "fn"]
     b = best.select(*by, *[F.col(c).cast("double").alias(f"best_{c}") for c in cols])
     d = dflt.select(*by, *[F.col(c).cast("double").alias(f"default_{c}") for c in cols])
-    j = b.join(d, list(by)) if by else b.withColumn("_j", F.lit(1)).join(
-        d.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    j = side_by_side(b, d, by)
     row = lambda c: F.struct(F.lit(c).alias("metric"), F.col(f"default_{c}").alias("default"),
                              F.col(f"best_{c}").alias("optimal"),
                              (F.col(f"best_{c}") - F.col(f"default_{c}")).alias("improvement"))

@@ -29,11 +29,10 @@ TOP_IMPORTANCES = 15
 def linear_shap(explained: DataFrame, background: DataFrame, coefs: dict[str, float],
                 key: str = "SK_ID_CURR") -> DataFrame:
     """Per-row SHAP values of a linear model: (key, <feature>...).
-    Background means are a one-row aggregate joined on a constant key."""
-    means = background.agg(*[F.avg(c).alias(f"_m_{c}") for c in coefs]).withColumn("_j", F.lit(1))
-    j = explained.withColumn("_j", F.lit(1)).join(F.broadcast(means), "_j")
-    return j.select(key, *[(F.lit(float(b)) * (F.col(c) - F.col(f"_m_{c}"))).alias(c)
-                           for c, b in coefs.items()])
+    The background means are fitted statistics used as literals."""
+    m = background.agg(*[F.avg(c).alias(c) for c in coefs]).first()     # one mean per feature
+    return explained.select(key, *[(F.lit(float(b)) * (F.col(c) - F.lit(m[c]))).alias(c)
+                                   for c, b in coefs.items()])
 
 
 def linear_shap_summary(explained: DataFrame, background: DataFrame,

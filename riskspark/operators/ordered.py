@@ -35,12 +35,17 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 def _bucketed(t: DataFrame, keys: list[str], order_col: str, buckets: int) -> DataFrame:
-    """Attach a bucket id ``_b`` (0..buckets-1) balanced over distinct values."""
+    """Attach a bucket id ``_b`` (0..buckets-1) balanced over distinct values.
+    With group keys the per-group boundaries are joined by key; without keys
+    the boundaries are one small fitted array used as literals (no join)."""
     if buckets <= 1:
         return t.withColumn("_b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    bnd = t.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("_bnd"))
+    sketch = F.percentile_approx(F.col(order_col).cast("double"), probs, max(100, 10 * buckets))
+    if not keys:
+        bnd = t.agg(sketch.alias("_bnd")).first()["_bnd"] or []
+        return t.withColumn("_b", count_below(F.col(order_col).cast("double"), bnd))
+    bnd = t.groupBy(*keys).agg(sketch.alias("_bnd"))
     return t.join(bnd, keys).withColumn(
         "_b", F.size(F.filter("_bnd", lambda x: x < F.col(order_col)))).drop("_bnd")
 
@@ -52,9 +57,6 @@ def running_totals(t: DataFrame, keys: Sequence[str], order_col: str,
     ``order_col`` within ``keys``.  ``order_col`` must be distinct within a
     key (aggregate first).  ``descending`` accumulates from the largest."""
     keys = list(keys)
-    if not keys:            # one global order: a constant key, no cross join
-        return running_totals(t.withColumn("_k", F.lit(0)), ["_k"], order_col, sum_cols,
-                              buckets, descending).drop("_k")
     buckets = _n_buckets(t, buckets)
     ob = F.col(order_col).desc() if descending else F.col(order_col).asc()
     tb = _bucketed(t, keys, order_col, buckets)

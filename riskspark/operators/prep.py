@@ -208,12 +208,7 @@ class ScalerModel:
                                for c in self.means})
 
 
-def standard_scale_expr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Scaling as one lazy plan (no fit action): window-free global stats
-    joined back on a constant key (one-row side, broadcast)."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols]).withColumn("_j", F.lit(1))
-    j = df.withColumn("_j", F.lit(1)).join(F.broadcast(stats), "_j")
-    return j.select(*[((F.col(c) - F.col(f"_m_{c}")) /
-                       F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))).alias(c)
-                      if c in cols else F.col(c) for c in df.columns])
+def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
+    """P6 on a frame: fit the scaler (one aggregate, two numbers per column)
+    and apply it as a projection."""
+    return ScalerModel.fit(df, cols).transform(df)

@@ -22,7 +22,7 @@ from riskspark.operators import quality as Q
 from riskspark.operators import sampling as B
 from riskspark.operators import select as X
 from riskspark.operators.explain import linear_shap_summary
-from riskspark.operators.prep import PrepModel, clean_and_derive, standard_scale_expr
+from riskspark.operators.prep import PrepModel, clean_and_derive, standard_scale
 from riskspark.sources.tables import applications
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +93,7 @@ def queries() -> dict[str, Query]:
     q["prepared"] = lambda s, d: _r(prepared(s, d), LOG_COLS, 6)
     sc_cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CREDIT_INCOME_RATIO", "AGE",
                "EXT_SOURCES_MEAN"]
-    q["scaled"] = lambda s, d: _r(standard_scale_expr(prepared(s, d).select("SK_ID_CURR", *sc_cols),
+    q["scaled"] = lambda s, d: _r(standard_scale(prepared(s, d).select("SK_ID_CURR", *sc_cols),
                                                       sc_cols), sc_cols, 6)
     # profiling
     q["overview"] = lambda s, d: A.overview(features(s, d))
