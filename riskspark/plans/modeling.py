@@ -15,6 +15,8 @@ from riskspark.operators import evaluate as E
 from riskspark.operators import explain as X
 from riskspark.operators import select as SEL
 from riskspark.operators.models import train
+from riskspark.operators.neighbors import KNNIndex, knn_classify, smote, smote_balance
+from riskspark.operators.prep import ScalerModel
 from riskspark.operators.quality import check_records
 from riskspark.operators.score import band_counts, batch_score, what_if
 from riskspark.operators.tune import (grid_search_logistic, stack, stacking_vs_base)
@@ -79,6 +81,12 @@ def model_queries() -> dict:
     q["stacking_vs_base"] = lambda s, d: _stacking(s, d)
     # R6 model on the eight API fields (the scoring service's model)
     q["api_model_scores"] = lambda s, d: _api_scores(s, d)
+    # M6: k-NN (k=5) on the scaled features, exact, whole training part
+    q["model_knn"] = lambda s, d: _knn(s, d)
+    q["knn_neighbours"] = lambda s, d: _knn_neighbours(s, d)
+    # SMOTE on the training part, and the logistic model trained on it
+    q["smote_balance"] = lambda s, d: smote_balance(_smote(s, d))
+    q["model_logistic_smote"] = lambda s, d: _smote_logistic(s, d)
     # The scoring service as a Structured Streaming job over request files
     q["stream_scores"] = lambda s, d: _stream(s, d)
     return q
@@ -198,3 +206,41 @@ def _api_scores(s, d):
     tr, te = wb.split.train(api), wb.split.test(api)
     m = train(tr, cols, "logistic", name="api")
     return m.score(te).select("SK_ID_CURR", "TARGET", "p_api", "pred_api")
+
+
+def _scaled_parts(s, d):
+    """Training and test parts scaled by the training part's statistics
+    (the research notebook's StandardScaler before k-NN)."""
+    wb = _wb(s, d)
+    sm = ScalerModel.fit(wb.train, wb.features)
+    return wb, sm.transform(wb.train), sm.transform(wb.test)
+
+
+def _knn(s, d):
+    wb, tr, te = _scaled_parts(s, d)
+    return knn_classify(tr, te, wb.features, k=5)
+
+
+def _knn_neighbours(s, d):
+    wb, tr, te = _scaled_parts(s, d)
+    nn = KNNIndex(tr, wb.features).neighbours(te, k=5)
+    return nn.withColumn("distance", F.round("distance", 6))
+
+
+_SMOTE: dict = {}
+
+
+def _smote(s, d):
+    """The SMOTE-balanced training part, built once per session and data folder."""
+    k = (s.sparkContext.applicationId, d)
+    if k not in _SMOTE:
+        from pyspark import StorageLevel
+        wb = _wb(s, d)
+        _SMOTE[k] = smote(wb.train, wb.features).persist(StorageLevel.MEMORY_AND_DISK)
+    return _SMOTE[k]
+
+
+def _smote_logistic(s, d):
+    wb = _wb(s, d)
+    m = train(_smote(s, d), wb.features, "logistic", name="logistic_smote")
+    return m.score(wb.test).select("SK_ID_CURR", "TARGET", "p_logistic_smote", "pred_logistic_smote")

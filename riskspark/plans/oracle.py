@@ -508,4 +508,29 @@ def oracle_sql() -> dict[str, str]:
     q["linear_shap_summary"] = _base(lin) + (
         "SELECT 'credit_ratio_capped' AS feature, round(avg(abs(0.8e0 * (credit_ratio_capped - m1))), 9) AS mean_abs_shap "
         "FROM ex, bg UNION ALL SELECT 'ext_source_2_filled', round(avg(abs(-1.5e0 * (ext_source_2_filled - m2))), 9) FROM ex, bg")
+    # --- k-NN (M6) and SMOTE counts (B4): brute force over all pairs (oracle only) ---------
+    fs = PREPARED_FEATURES
+    scale = ", ".join(f"(p.{c} - st.m_{c}) / CASE WHEN st.s_{c} <> 0 THEN st.s_{c} ELSE 1.0e0 END AS {c}"
+                      for c in fs)
+    knn = split + (
+        ", parts AS (SELECT p.*, sp.split FROM prepared p JOIN split sp ON p.SK_ID_CURR = sp.SK_ID_CURR), "
+        "st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(stddev_pop({c}), 0) AS s_{c}" for c in fs)
+        + " FROM parts WHERE split = 'train'), "
+        f"sc AS (SELECT p.SK_ID_CURR, p.TARGET, p.split, {scale} FROM parts p, st), "
+        "pairs AS (SELECT q.SK_ID_CURR AS qk, t.SK_ID_CURR AS nk, CAST(t.TARGET AS DOUBLE) AS ny, "
+        + " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in fs)
+        + " AS d2 FROM sc q, sc t WHERE q.split = 'test' AND t.split = 'train'), "
+        "nn AS (SELECT qk, nk, ny, d2, row_number() OVER (PARTITION BY qk ORDER BY d2, nk) AS rank "
+        "FROM pairs QUALIFY rank <= 5)")
+    q["knn_neighbours"] = _base(knn, prepared=True) + (
+        "SELECT qk AS SK_ID_CURR, CAST(rank AS INT) AS rank, nk AS neighbour, ny AS neighbour_label, "
+        "round(sqrt(d2), 6) AS distance FROM nn")
+    q["model_knn"] = _base(knn, prepared=True) + (
+        "SELECT sc.SK_ID_CURR, sc.TARGET, avg(nn.ny) AS p_knn, CAST(avg(nn.ny) >= 0.5 AS INT) AS pred_knn "
+        "FROM nn JOIN sc ON sc.SK_ID_CURR = nn.qk GROUP BY sc.SK_ID_CURR, sc.TARGET")
+    q["smote_balance"] = _base(split + ", c AS (SELECT TARGET, count(*) AS n FROM split "
+                               "WHERE split = 'train' GROUP BY TARGET)") + (
+        "SELECT TARGET, false AS synthetic, n FROM c UNION ALL "
+        "SELECT TARGET, true AS synthetic, (SELECT max(n) FROM c) - n AS n FROM c "
+        "WHERE n < (SELECT max(n) FROM c)")
     return q
