@@ -73,11 +73,25 @@ def _train_part(spark, sf):
     return m.train(a)
 
 
+def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The applicant table written as CSV (header, no index) into the shared
+    checkpoint folder, then loaded with its schema and the label check."""
+    import os
+    import uuid
+    from riskspark.session import checkpoint_dir
+    from riskspark.sources.files import read_applicants, write_scored
+    a = apps(spark, sf)
+    path = os.path.join(checkpoint_dir(spark), "csv-roundtrip", uuid.uuid4().hex)
+    write_scored(a, path, fmt="csv")
+    return read_applicants(spark, path, schema=a.schema, require_label=True)
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     # sources / sampling
     q["applications"] = apps
     q["sample_rows"] = lambda s, d: B.sample_rows(apps(s, d), 1000)
+    q["csv_roundtrip"] = _csv_roundtrip                      # S7 sink, then S1/S8 source
     q["sample_info"] = lambda s, d: B.sample_info(apps(s, d), 1000)
     # quality
     q["range_checks"] = lambda s, d: Q.range_checks(apps(s, d), RANGE_RULES)

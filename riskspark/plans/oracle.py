@@ -196,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
     # --- sources / sampling -------------------------------------------------
     q["applications"] = A + "SELECT * FROM applications"
     q["sample_rows"] = A + f"SELECT * FROM applications ORDER BY {HASH}, SK_ID_CURR LIMIT 1000"
+    q["csv_roundtrip"] = q["applications"]
     q["sample_info"] = A + ("SELECT count(*) AS total_rows, CAST(least(count(*), 1000) AS BIGINT) AS sample_rows, "
                             "count(*) > 1000 AS is_sampled FROM applications")
     # --- quality --------------------------------------------------------------
