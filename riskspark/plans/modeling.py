@@ -87,6 +87,10 @@ def model_queries() -> dict:
     # SMOTE on the training part, and the logistic model trained on it
     q["smote_balance"] = lambda s, d: smote_balance(_smote(s, d))
     q["model_logistic_smote"] = lambda s, d: _smote_logistic(s, d)
+    # Registry of the trained logistic model and its test metrics
+    q["registry_models"] = lambda s, d: _registry(s, d).list_models().drop("path", "created")
+    q["registry_latest_scores"] = lambda s, d: _registry_scores(s, d)
+    q["registry_latest_metrics"] = lambda s, d: _registry(s, d).latest_metrics().drop("ts")
     # The scoring service as a Structured Streaming job over request files
     q["stream_scores"] = lambda s, d: _stream(s, d)
     return q
@@ -244,3 +248,31 @@ def _smote_logistic(s, d):
     wb = _wb(s, d)
     m = train(_smote(s, d), wb.features, "logistic", name="logistic_smote")
     return m.score(wb.test).select("SK_ID_CURR", "TARGET", "p_logistic_smote", "pred_logistic_smote")
+
+
+_REG: dict = {}
+
+
+def _registry(s, d):
+    """A registry under the shared folder holding the logistic model trained
+    on the training part, with its metrics on the test part (R9, R13)."""
+    k = (s.sparkContext.applicationId, d)
+    if k not in _REG:
+        import os
+        import uuid
+        from riskspark.operators.registry import ModelRegistry
+        from riskspark.session import checkpoint_dir
+        wb = _wb(s, d)
+        m = train(wb.train, wb.features, "logistic")
+        row = E.classification_metrics(m.score(wb.test), "TARGET", "p_logistic").first()
+        metrics = {c: row[c] for c in ("roc_auc", "accuracy", "precision", "recall", "f1_score")}
+        reg = ModelRegistry(s, root=os.path.join(checkpoint_dir(s), "registry", uuid.uuid4().hex))
+        reg.save(m, metrics)
+        _REG[k] = reg
+    return _REG[k]
+
+
+def _registry_scores(s, d):
+    """R11 + R12: the latest registered model, loaded back, scores the test part."""
+    m = _registry(s, d).load()
+    return m.score(_wb(s, d).test).select("SK_ID_CURR", "TARGET", "p_logistic", "pred_logistic")

@@ -141,3 +141,16 @@ def test_random_searches_small_space(wb):
     gb = random_search_gbt(wb.train, wb.features, space={"n_estimators": [3], "max_depth": [2, 3],
                                                          "learning_rate": [0.3]}, n_iter=1, folds=2)
     assert gb.cv_table.count() == 1
+
+
+def test_registry_queries_match_trained_model(spark):
+    from riskspark.plans.modeling import model_queries
+    q = model_queries()
+    direct = q["model_logistic"](spark, SF_SMALL)
+    loaded = q["registry_latest_scores"](spark, SF_SMALL)
+    assert direct.count() == loaded.count() > 0
+    assert direct.exceptAll(loaded).count() == 0
+    listed = q["registry_models"](spark, SF_SMALL).collect()
+    assert len(listed) == 1 and listed[0]["model_type"] == "LogisticRegressionModel"
+    latest = {r["metric"] for r in q["registry_latest_metrics"](spark, SF_SMALL).collect()}
+    assert latest == {"roc_auc", "accuracy", "precision", "recall", "f1_score"}
