@@ -93,6 +93,7 @@ def model_queries() -> dict:
     q["registry_latest_metrics"] = lambda s, d: _registry(s, d).latest_metrics().drop("ts")
     # The scoring service as a Structured Streaming job over request files
     q["stream_scores"] = lambda s, d: _stream(s, d)
+    q["prediction_time"] = lambda s, d: _prediction_time(s, d)      # R14
     return q
 
 
@@ -186,10 +187,24 @@ def _api_model(s, d):
 
 
 def _stream(s, d):
+    from riskspark.streaming.scoring import read_sink
+    _, sink = _run_stream(s, d)
+    return read_sink(s, sink).drop("batch_id")
+
+
+def _prediction_time(s, d):
+    """Average seconds per scoring micro-batch, from the stream's progress."""
+    from riskspark.operators.registry import average_prediction_time
+    from riskspark.streaming.scoring import progress_table
+    q, _ = _run_stream(s, d)
+    return average_prediction_time(progress_table(s, q))
+
+
+def _run_stream(s, d):
     import os
     import uuid
     from riskspark.session import checkpoint_dir
-    from riskspark.streaming.scoring import read_sink, start_scoring_stream
+    from riskspark.streaming.scoring import start_scoring_stream
     wb = _wb(s, d)
     model = _api_model(s, d)
     run = os.path.join(checkpoint_dir(s), "stream-scores", uuid.uuid4().hex)
@@ -198,7 +213,7 @@ def _stream(s, d):
     wb.split.test(request_fields(applications(s, d))).repartition(4).write.parquet(src)
     q = start_scoring_stream(s, src, model, sink, ckpt)
     q.awaitTermination()
-    return read_sink(s, sink).drop("batch_id")
+    return q, sink
 
 
 def _api_scores(s, d):
