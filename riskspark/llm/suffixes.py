@@ -17,12 +17,13 @@ one task share is known to be shared at once and sends two entries, so
 no bucket gathers the documents of a frequent passage.
 
 Matches.  Only strings with a shared anchor can occur twice.  The strings
-around one anchor form a block.  A block that
-occurs as a whole in an earlier document is removed as a whole; where the
-blocks of an anchor differ (at the ends of a passage), each of their strings is looked
-up by its own hash.  Both steps are Spark aggregations by hash, which combine
-before they shuffle.  Exact copies of a text are set aside first: all of a copy
-is removed if it has ``MATCH`` bytes.
+around one anchor form a block.  A block that occurs as a whole in an earlier
+document is removed as a whole.  Where the blocks of an anchor differ (at the
+ends of a passage), the first document of each sends the block's bytes, and the
+task of the anchor compares all strings of its blocks.  An anchor with more
+than ``LOCAL_BLOCKS`` different blocks sends the strings' hashes instead, which Spark
+aggregates by hash and so combines before the shuffle.  Exact copies of a text
+are set aside first: all of a copy is removed if it has ``MATCH`` bytes.
 
 Hashes have 64 bits (38 and more for anchors, where a collision only costs work).
 
@@ -39,22 +40,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import staged, table
+from riskspark.llm.shared import dropped, staged, table
 
 MATCH, GRAM = 50, 20
-BATCHES = 4
+BATCHES = 3
 #: Bytes of text for each bucket of the index; 64 buckets at least.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 4_000_000
 #: From so many documents of one task on, an anchor is sent as known.
 FREQUENT = 64
+#: Up to so many different blocks of one anchor are compared in one task.
+LOCAL_BLOCKS = 512
 BROADCAST_IDS = 500_000
+#: Up to so many removed runs (about 40 bytes each) are sent to all tasks.
+BROADCAST_RUNS = 1_000_000
 NO_ID = (1 << 63) - 1
-_CHUNK = 2_000_000
+_CHUNK = 500_000
+#: Anchors sorted at a time in a task.
+_RUN = 400_000
 _POSITION_BITS = 24
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -79,7 +87,7 @@ class _Text:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n = len(raw)
         if not powers or len(powers[0]) <= n:
-            powers[:] = _powers(max(2 * n, 2 * _CHUNK) + 1)
+            powers[:] = _powers(max(n + n // 4, _CHUNK + _CHUNK // 4) + 1)
         self.inverse = powers[1]
         values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -127,20 +135,24 @@ class _Text:
         return text, h[at[first]], first, last
 
 
-def _grouped(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes."""
-    start = size = 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size >= limit or i == len(values) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8") for t in column.to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their texts in slices of about ``_CHUNK`` bytes."""
+    for batch in batches:
+        start = size = 0
+        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()):
+            size += n
+            if size >= _CHUNK or i == batch.num_rows - 1:
+                part = batch.slice(start, i + 1 - start)
+                values = _bytes(part.column(text))
+                _check(values)
+                yield part, values
+                start, size = i + 1, 0
+
+
 def _check(values: list[bytes]) -> None:
     if any(len(v) >= 1 << _POSITION_BITS for v in values):
         raise ValueError(f"a text has {1 << _POSITION_BITS} bytes or more")
@@ -178,41 +190,44 @@ def _suffix_arrays(bits: int):
     """Task: texts -> sorted arrays by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: list = []
-        hashes, docs = [], []
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = _bytes(batch.column(1))
-            _check(values)
-            for a, b in _grouped(values, _CHUNK):
-                text, h, _, _ = _Text(values[a:b], powers).anchors()
-                hashes.append(h >> np.uint64(32 - bits))
-                docs.append(ids[a:b][text])
-        if not hashes:
-            return
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.append(starts, len(h)))
-        rank = np.arange(len(h)) - np.repeat(starts, count)
-        frequent = np.repeat(count, count) >= FREQUENT
-        for kind, keep in ((0, ~frequent | (rank < 2)), (2, frequent & (rank >= 2))):
-            hk, dk = h[keep], d[keep]
-            bucket = (hk >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for x, y in zip(np.split(hk, cuts), np.split(dk, cuts)):
-                if len(x):
-                    p, q = _pack(x & np.uint64(0xFFFFFFFF), y)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([kind], pa.int32()), pa.array([-1], pa.int32()), pa.array([int(x[0] >> np.uint64(32))], pa.int32()),
-                        pa.array([p], pa.binary()), pa.array([q], pa.binary())], ["kind", "level", "bucket", "hashes", "docs"])
+        hashes, docs, held = [], [], 0
+        for part, values in _slices(batches, 1):
+            text, h, _, _ = _Text(values, powers).anchors()
+            hashes.append(h >> np.uint64(32 - bits))
+            docs.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[text])
+            held += len(h)
+            if held >= _RUN:
+                yield from _sorted_run(np.concatenate(hashes), np.concatenate(docs))
+                hashes, docs, held = [], [], 0
+        if held:
+            yield from _sorted_run(np.concatenate(hashes), np.concatenate(docs))
 
     return run
 
 
+def _sorted_run(h: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the index for some texts' anchors, by bucket."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    h, d = h[new], d[new]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(starts, len(h)))
+    rank = np.arange(len(h)) - np.repeat(starts, count)
+    frequent = np.repeat(count, count) >= FREQUENT
+    rows = []
+    for kind, keep in ((0, ~frequent | (rank < 2)), (2, frequent & (rank >= 2))):
+        hk, dk = h[keep], d[keep]
+        cuts = np.flatnonzero(np.diff((hk >> np.uint64(32)).astype(np.int64))) + 1
+        for x, y in zip(np.split(hk, cuts), np.split(dk, cuts)):
+            if len(x):
+                rows.append((kind, -1, int(x[0] >> np.uint64(32)), *_pack(x & np.uint64(0xFFFFFFFF), y)))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                     ["kind", "level", "bucket", "hashes", "docs"])
+
+
 def _merge_scan(merging: list[int], target: int):
     """Task: the arrays of one bucket -> the batch's array as a level, merged
     levels, and the shared anchors."""
@@ -257,7 +272,7 @@ def _merge_scan(merging: list[int], target: int):
 
 
 class IndexFamily:
-    """Levels of sorted anchor suffixes; level ``k`` holds 2^k batches.
+    """Levels of sorted anchor suffixes; a level of size ``k`` holds 2^k batches.
 
     Levels are Parquet tables in the shared folder.  ``buckets`` is a power of
     two fixed for the family.
@@ -266,6 +281,7 @@ class IndexFamily:
     def __init__(self, buckets: int):
         self.bits = max(6, (buckets - 1).bit_length())
         self.levels: list[tuple[int, DataFrame]] = []  # newest last
+        self.tables: list[DataFrame] = []  # what the levels are parts of
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index the rows (doc, text); (doc, anchor) pairs of all anchors that
@@ -280,6 +296,7 @@ class IndexFamily:
         if pair:
             self.levels[pair[0]:pair[1] + 1] = [(target, done.filter(f"kind = 1 and level = {target}"))]
         self.levels.append((0, done.filter("kind = 1 and level = 0")))
+        self.tables.append(done)
         bits = self.bits
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,50 +316,113 @@ def _blocks(bits: int):
     """Task: (doc, tag, text, anchors) -> blocks with one of the anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: list = []
-        for batch in batches:
-            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values, wanted = _bytes(batch.column(2)), batch.column(3)
-            for a, b in _grouped(values, _CHUNK):
-                t = _Text(values[a:b], powers)
-                text, h, first, last = t.anchors()
-                anchor = (h >> np.uint64(32 - bits)).astype(np.int64)
-                keep = np.zeros(len(text), bool)
-                lists = wanted.slice(a, b - a)
-                cuts = np.searchsorted(text, np.arange(b - a + 1))
-                for i in range(b - a):
-                    x, y = cuts[i], cuts[i + 1]
-                    if y > x:
-                        keep[x:y] = np.isin(anchor[x:y], lists[i].values.to_numpy(zero_copy_only=False))
-                text, anchor, first, last = text[keep], anchor[keep], first[keep], last[keep]
-                whole = t.hashes(first, last - first + MATCH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(docs[a:b][text]), pa.array(tags[a:b][text]), pa.array((first - t.starts[text]).astype(np.int32)),
-                    pa.array((last - first + 1).astype(np.int32)), pa.array(anchor), pa.array(whole)],
-                    ["doc", "tag", "first", "strings", "anchor", "block"])
+        for part, values in _slices(batches, 2):
+            docs, tags, wanted = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
+            t = _Text(values, powers)
+            text, h, first, last = t.anchors()
+            anchor = (h >> np.uint64(32 - bits)).astype(np.int64)
+            keep = np.zeros(len(text), bool)
+            cuts = np.searchsorted(text, np.arange(len(values) + 1))
+            for i in range(len(values)):
+                x, y = cuts[i], cuts[i + 1]
+                if y > x:
+                    keep[x:y] = np.isin(anchor[x:y], wanted[i].values.to_numpy(zero_copy_only=False))
+            text, anchor, first, last = text[keep], anchor[keep], first[keep], last[keep]
+            whole = t.hashes(first, last - first + MATCH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(docs[text]), pa.array(tags[text]), pa.array((first - t.starts[text]).astype(np.int32)),
+                pa.array((last - first + 1).astype(np.int32)), pa.array(anchor), pa.array(whole)],
+                ["doc", "tag", "first", "strings", "anchor", "block"])
 
     return run
 
 
+def _spots(spots: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+    s = spots[i].values
+    return s.field("first").to_numpy().astype(np.int64), s.field("strings").to_numpy().astype(np.int64)
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _strings():
     """Task: (doc, tag, text, spots) -> hash of each string of the blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: list = []
+        for part, values in _slices(batches, 2):
+            docs, tags, spots = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
+            t = _Text(values, powers)
+            at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(len(values)):
+                p = _spread(*_spots(spots, i))
+                at.append(p + t.starts[i])
+                who.append(np.full(len(p), i, np.int64))
+            at, who = np.concatenate(at), np.concatenate(who)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(docs[who]), pa.array(tags[who]), pa.array((at - t.starts[who]).astype(np.int32)),
+                pa.array(t.hashes(at, MATCH).view(np.int64))], ["doc", "tag", "first", "string"])
+
+    return run
+
+
+def _pieces():
+    """Task: (doc, tag, text, spots) -> the bytes of each block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in _slices(batches, 2):
+            docs, tags, spots, rows = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3), []
+            for i, v in enumerate(values):
+                anchors = spots[i].values.field("anchor").to_pylist()
+                rows += [(docs[i], tags[i], f, a, v[f:f + n + MATCH - 1]) for a, f, n in zip(anchors, *map(np.ndarray.tolist, _spots(spots, i)))]
+            doc, tag, first, anchor, piece = zip(*rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(first, pa.int32()), pa.array(anchor, pa.int64()),
+                pa.array(piece, pa.binary())], ["doc", "tag", "first", "anchor", "piece"])
+
+    return run
+
+
+def _compared():
+    """Task: pieces in order of their anchors -> runs of strings (first,
+    strings) that a piece of a smaller document has as well."""
+    def runs(rows: pa.Table, powers: list) -> pa.RecordBatch:
+        t = _Text(rows.column("piece").to_pylist(), powers)
+        docs, tags, base = (rows.column(c).to_numpy() for c in ("doc", "tag", "first"))
+        n = t.sizes - MATCH + 1
+        who = np.repeat(np.arange(len(n)), n)
+        at = _spread(t.starts[:-1], n)
+        h, doc = t.hashes(at, MATCH), docs[who]
+        order = np.lexsort((doc, h))
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        origin = doc[order][new][np.cumsum(new) - 1]
+        gone = np.zeros(len(h), bool)
+        gone[order] = origin < doc[order]
+        same = np.concatenate([[False], gone[:-1] & (who[1:] == who[:-1])])
+        begin = np.flatnonzero(gone & ~same)
+        following = np.concatenate([same[1:] & gone[1:], [False]])
+        end = np.flatnonzero(gone & ~following)
+        w = who[begin]
+        return pa.RecordBatch.from_arrays([
+            pa.array(docs[w]), pa.array(tags[w]), pa.array((base[w] + at[begin] - t.starts[w]).astype(np.int32)),
+            pa.array((end - begin + 1).astype(np.int32))], ["doc", "tag", "first", "strings"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers: list = []
+        held = None  # pieces of the last anchor so far
         for batch in batches:
-            docs, tags, values, spots = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch.column(2)), batch.column(3))
-            for a, b in _grouped(values, _CHUNK):
-                t = _Text(values[a:b], powers)
-                at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i in range(a, b):
-                    s = spots[i].values
-                    first, n = s.field("first").to_numpy().astype(np.int64), s.field("strings").to_numpy().astype(np.int64)
-                    ends = np.cumsum(n)
-                    p = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
-                    at.append(p + t.starts[i - a])
-                    who.append(np.full(len(p), i - a, np.int64))
-                at, who = np.concatenate(at), np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(docs[a:b][who]), pa.array(tags[a:b][who]), pa.array((at - t.starts[who]).astype(np.int32)),
-                    pa.array(t.hashes(at, MATCH).view(np.int64))], ["doc", "tag", "first", "string"])
+            if not batch.num_rows:
+                continue
+            table_ = pa.Table.from_batches([batch])
+            held = table_ if held is None else pa.concat_tables([held, table_])
+            anchors = held.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchors, anchors[-1]))
+            if cut:
+                yield runs(held.slice(0, cut), powers)
+                held = held.slice(cut)
+        if held is not None:
+            yield runs(held, powers)
 
     return run
 
@@ -352,7 +432,7 @@ def _with_texts(reps: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame
     ids = lists.select(*keys).distinct()
     if lists.count() <= BROADCAST_IDS:
         reps = reps.join(F.broadcast(ids), keys, "left_semi")
-    return reps.join(lists, keys)
+    return reps.join(lists.hint("shuffle_hash"), keys)  # no sort of the texts
 
 
 def repeated_spans(reps: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -369,45 +449,72 @@ def repeated_spans(reps: DataFrame, batches: int = BATCHES) -> DataFrame:
         batch = batch if high is None else batch.filter(F.col("doc") <= high)
         hits = hits.unionByName(family.add(batch))
     wanted = staged(hits.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "anchors-by-doc")
+    dropped(*family.tables)
     with_text = _with_texts(reps, wanted, ["doc"]).select("doc", "tag", "text", "anchors")
     blocks = staged(with_text.mapInArrow(_blocks(family.bits), "doc long, tag int, first int, strings int, anchor long, block long"), "blocks")
+    dropped(wanted)
     firsts = staged(blocks.groupBy("block").agg(F.min("doc").alias("origin"), F.first("anchor").alias("anchor"))
                     .select("block", "origin", "anchor"), "block-origins")
-    differing = firsts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    loose = firsts.join(differing, "anchor", "left_semi").select("block", F.col("origin").alias("from"))
+    differing = firsts.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    loose = firsts.join(differing, "anchor").select("block", F.col("origin").alias("from"), (F.col("n") <= LOCAL_BLOCKS).alias("local"))
     placed = blocks.join(firsts.select("block", "origin"), "block")
     whole = placed.filter("origin < doc").select("doc", "tag", "first", "strings")
     # a loose block's first document stands for it; the others are removed as a whole
     spots = staged(blocks.join(loose, (blocks.block == loose.block) & (F.col("doc") == F.col("from")))
-                   .groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "strings")).alias("spots")), "loose-blocks")
-    strings = staged(_with_texts(reps, spots, ["doc", "tag"]).select("doc", "tag", "text", "spots")
+                   .groupBy("doc", "tag", "local").agg(F.collect_list(F.struct("first", "strings", "anchor")).alias("spots")), "loose-blocks")
+    few, many = spots.filter("local").drop("local"), spots.filter("not local").drop("local")
+    pieces = (_with_texts(reps, few, ["doc", "tag"]).select("doc", "tag", "text", "spots")
+              .mapInArrow(_pieces(), "doc long, tag int, first int, anchor long, piece binary"))
+    partial = (pieces.repartition("anchor").sortWithinPartitions("anchor")
+               .mapInArrow(_compared(), "doc long, tag int, first int, strings int"))
+    strings = staged(_with_texts(reps, many, ["doc", "tag"]).select("doc", "tag", "text", "spots")
                      .mapInArrow(_strings(), "doc long, tag int, first int, string long"), "strings")
     origin = strings.groupBy("string").agg(F.min("doc").alias("origin"))
     single = strings.join(origin, "string").filter("origin < doc").select("doc", "tag", "first", F.lit(1).alias("strings"))
-    return whole.unionByName(single).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "strings")).alias("spans"))
+    whole = whole.unionByName(partial)
+    spans = whole.unionByName(single).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "strings")).alias("spans"))
+    out = staged(spans.mapInArrow(_merged, "doc long, tag int, spans array<struct<first:int,strings:int>>"), "spans")
+    dropped(blocks, firsts, spots, strings)
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: spans of a text -> its removed runs in order, apart from each other."""
+    for batch in batches:
+        runs = []
+        for i in range(batch.num_rows):
+            first, n = _spots(batch.column(2), i)
+            order = np.argsort(first, kind="stable")
+            first, end = first[order], np.maximum.accumulate(first[order] + n[order] + MATCH - 1)
+            new = np.concatenate([[True], first[1:] > end[:-1]])
+            begin = first[new]
+            stop = end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
+            runs.append([{"first": a, "strings": b - a - MATCH + 1} for a, b in zip(begin.tolist(), stop.tolist())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("strings", pa.int32())])))],
+            ["doc", "tag", "spans"])
 
 
 def _cut(columns: list[str]):
     """Task: rows with text and spans -> rows with n_bytes, n_removed, n_spans, kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, spans = _bytes(batch.column(batch.schema.get_field_index("text"))), batch.column(batch.schema.get_field_index("spans"))
-            rows = []
-            for i, v in enumerate(values):
-                gone = np.zeros(len(v) + 1, np.int32)
-                s = spans[i].values
-                if s is not None and len(s):
-                    first = s.field("first").to_numpy()
+        for whole in batches:
+            text = whole.schema.get_field_index("text")
+            for batch, values in _slices([whole], text):
+                spans, rows = batch.column(batch.schema.get_field_index("spans")), []
+                for i, v in enumerate(values):
+                    gone = np.zeros(len(v) + 1, np.int32)
+                    first, n = _spots(spans, i)
                     np.add.at(gone, first, 1)
-                    np.add.at(gone, first + s.field("strings").to_numpy() + MATCH - 1, -1)
-                out = np.cumsum(gone[:-1]) > 0
-                runs = int(np.count_nonzero(out & ~np.concatenate([[False], out[:-1]]))) if len(v) else 0
-                rows.append((len(v), int(out.sum()), runs, np.frombuffer(v, np.uint8)[~out].tobytes()))
-            n, removed, runs, kept = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in columns),
-                 pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                [*columns, "n_bytes", "n_removed", "n_spans", "kept"])
+                    np.add.at(gone, first + n + MATCH - 1, -1)
+                    out = np.cumsum(gone[:-1]) > 0
+                    runs = int(np.count_nonzero(out & ~np.concatenate([[False], out[:-1]])))
+                    rows.append((len(v), int(out.sum()), runs, np.frombuffer(v, np.uint8)[~out].tobytes()))
+                n, removed, runs, kept = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(batch.schema.get_field_index(c)) for c in columns),
+                     pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+                    [*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -417,18 +524,16 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     ``kept``, the bytes that remain, in place of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("text", text).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    key = F.unhex(F.md5("text"))
-    texts = staged(rows.select("_doc", key.alias("_key"), F.octet_length("text").alias("_size"))
-                   .groupBy("_key", "_size").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")), "texts")
-    copies = staged(rows.select("_doc", key.alias("_key"), F.octet_length("text").alias("_size"))
-                    .join(texts.filter("_n > 1"), ["_key", "_size"]).filter("_doc > _first")
-                    .select("_doc", "_key").distinct(), "copies")
+    key = F.struct(F.xxhash64("text"), F.hash("text"), F.octet_length("text"))
+    keys = staged(rows.select("_doc", key.alias("_key")), "text-keys")
+    texts = keys.groupBy("_key").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = staged(keys.join(texts, "_key").filter("_doc > _first").select("_doc", "_key").distinct(), "copies")
     hint = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     rows = rows.withColumn("_key", key)
     originals = rows.join(hint, ["_doc", "_key"], "left_anti")
     # repeated rows share id and tag; an anchor needs two different ids, so they never match
     reps = originals.filter(F.octet_length("text") >= MATCH).select(F.col("_doc").alias("doc"), F.hash("text").alias("tag"), "text")
-    spans = staged(repeated_spans(reps, batches), "spans")
+    spans = repeated_spans(reps, batches)
     columns = docs.columns
     keep = [c for c in columns if c != "text"]
     schema = T.StructType([*(f for f in docs.schema if f.name != "text"),
@@ -437,8 +542,12 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spots = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "spans")
     marks = spots.select("_doc", "_tag")
     mark = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
-    cut = (tagged.join(mark, ["_doc", "_tag"], "left_semi").join(spots, ["_doc", "_tag"])
-           .select(*columns, "spans").mapInArrow(_cut(keep), schema))
+    runs = spots.agg(F.sum(F.size("spans"))).first()[0] or 0
+    if runs <= BROADCAST_RUNS:
+        cut = tagged.join(F.broadcast(spots), ["_doc", "_tag"])
+    else:
+        cut = tagged.join(mark, ["_doc", "_tag"], "left_semi").join(spots.hint("shuffle_hash"), ["_doc", "_tag"])
+    cut = cut.select(*columns, "spans").mapInArrow(_cut(keep), schema)
     size = F.octet_length("text").cast("long")
     same = tagged.join(mark, ["_doc", "_tag"], "left_anti").select(
         *keep, size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
