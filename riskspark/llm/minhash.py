@@ -13,9 +13,11 @@ probability of 2e-9.
   confirmed on their full sets.
 * Components of the confirmed links follow by alternating large-star and
   small-star.  Members that did not end in the component of their bucket's
-  smallest node are then compared, signatures first, with the bucket's members
-  of other components, so no link is lost for want of a common centre.  Links
-  inside a component change nothing and are never looked for.
+  smallest node are then compared with the bucket's members of other components,
+  so no link is lost for want of a common centre: the bucket's task compares
+  signatures and then full sets in blocks of ``PART_ROWS`` members, each pair in
+  its first common bucket only, and returns the links that join components.
+  Links inside a component change nothing and are never looked for.
 
 Results for odd input: texts without words have an empty set and stay alone;
 fewer than five words are one shingle; repeated rows are copies of each other;
@@ -45,6 +47,8 @@ PERCENT = 85
 BITS_APART = 44
 #: Up to so many ids a join with the documents may broadcast them (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Members of a bucket in one block of the second comparison.
+PART_ROWS = 1_500
 NO_ID = (1 << 63) - 1
 _SHINGLE_CHUNK = 2048
 
@@ -148,15 +152,19 @@ def _alike(a: str, b: str) -> Column:
     return (small * 100 >= large * PERCENT) & (apart <= BITS_APART)
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes; copies of a node's text give equal
+    sets, and one of each is enough."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return full_sets(docs.select(own.alias("own"), "text").join(wanted, F.col("own") == F.col("node")).select("node", "text")).dropDuplicates(["node", "shingles"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
     pairs = staged(pairs, "pairs")
     ids = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ids")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = full_sets(docs.select(own.alias("own"), "text").join(wanted, F.col("own") == F.col("node")).select("node", "text"))
-    # copies of a node's text give equal sets; one of each is enough
-    sets = staged(sets.dropDuplicates(["node", "shingles"]), "pair-sets")
+    sets = staged(_sets_of(ids, docs), "pair-sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -181,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
               .filter(_alike("x", "y")).select("a", "b").distinct())
     links = staged(_confirmed(likely, docs), "links")
     groups = staged(components(links), "components")
-    more = staged(_confirmed(_left_over(members, groups, small), docs), "more-links")
+    more = staged(_left_over_links(members, groups, nodes, docs), "more-links")
     if not more.isEmpty():
         groups = staged(components(links.unionByName(more)), "components")
     classes = (nodes.join(groups, "node", "left")
@@ -194,15 +202,72 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _left_over(members: DataFrame, groups: DataFrame, small: DataFrame) -> DataFrame:
-    """Pairs of one bucket but of different components, where at least one is
+    """Members (key, size, node, label, outside, n_shingles, bits) of buckets that
+    have a likely partner in another component, where one of the two is
     outside the component of the bucket's smallest node."""
     of = lambda df, col: df.join(groups.select(F.col("node").alias(col), F.col("component").alias(f"{col}_in")), col, "left")
     placed = of(of(members.filter("size > 2"), "node"), "hub").select(
-        "key", "node", F.coalesce("node_in", "node").alias("label"), "hub", F.coalesce("hub_in", "hub").alias("hub_label"))
-    placed = placed.filter("node <> hub").join(small, "node")
-    outside = placed.filter("label <> hub_label").alias("x")
-    return (outside.join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y"))
-            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+        "key", "size", "node", F.coalesce("node_in", "node").alias("label"), "hub", F.coalesce("hub_in", "hub").alias("hub_label"))
+    placed = (placed.filter("node <> hub").withColumn("outside", F.col("label") != F.col("hub_label"))
+              .select("key", "size", "node", "label", "outside").join(small, "node"))
+    mixed = placed.groupBy("key").agg(F.max("outside").alias("any")).filter("any").select("key")
+    placed = placed.join(mixed, "key", "left_semi")
+    return placed.alias("x").join(
+        placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+        & (F.col("x.outside") | F.col("y.outside")) & _alike("x", "y"), "left_semi")
+
+
+def _joining_links(pdf):
+    """Task: members of two blocks of a bucket -> links between components."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("node", ignore_index=True)
+    key, p, q = (int(pdf[c].iloc[0]) for c in ("key", "p", "q"))
+    n, node = pdf["n_shingles"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+    label, outside, part = pdf["label"].to_numpy(np.int64), pdf["outside"].to_numpy(bool), pdf["part"].to_numpy()
+    bits = np.stack(pdf["bits"].to_numpy()).view(np.uint64)
+    bands = np.stack(pdf["bands"].to_numpy())
+    sets: dict[int, set] = {}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    links = []
+    for i in range(len(pdf)):
+        j = np.arange(i + 1, len(pdf))
+        ok = (label[j] != label[i]) & (outside[j] | outside[i])
+        ok &= (part[j] != part[i]) if p != q else True
+        ok &= np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * PERCENT
+        j = j[ok]
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= BITS_APART]
+        j = j[bands[j, (bands[j] == bands[i]).argmax(1)] == key]  # the first common bucket is this one
+        for k in j.tolist():
+            a, b = find(int(label[i])), find(int(label[k]))
+            if a == b:
+                continue
+            x, y = (sets.setdefault(r, set(pdf["shingles"].iloc[r].tolist())) for r in (i, k))
+            common = len(x & y)
+            if common * 100 >= (len(x) + len(y) - common) * PERCENT:
+                root[max(a, b)] = min(a, b)
+                links.append((node[k], node[i]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    found = staged(_left_over(members, groups, nodes.select("node", "n_shingles", "bits")), "left-over")
+    ids = staged(found.select("node").distinct(), "left-over-ids")
+    sets = staged(_sets_of(ids, docs), "left-over-sets")
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = (found.withColumns({"parts": parts, "part": own}).withColumn("other", other)
+            .withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+            .join(nodes.select("node", "bands"), "node").join(sets, "node"))
+    return rows.select("key", "p", "q", "part", "node", "label", "outside", "n_shingles", "bits", "bands", "shingles").groupBy(
+        "key", "p", "q").applyInPandas(_joining_links, "a long, b long").distinct()
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
