@@ -54,8 +54,8 @@ BATCHES = 3
 BUCKET_BYTES = 4_000_000
 #: From so many documents of one task on, an anchor is sent as known.
 FREQUENT = 64
-#: Up to so many different blocks of one anchor are compared in one task.
-LOCAL_BLOCKS = 512
+#: Up to so many different blocks of one anchor are compared in one task (70 bytes each).
+LOCAL_BLOCKS = 50_000
 BROADCAST_IDS = 500_000
 #: Up to so many removed runs (about 40 bytes each) are sent to all tasks.
 BROADCAST_RUNS = 1_000_000
