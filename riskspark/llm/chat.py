@@ -1,11 +1,13 @@
 """Chat formatting from reply trees (operator 3), DataFrame and SQL only.
 
-Messages form trees by ``parent_id``.  Self-joins walk from the roots, one
-level a round, until no branch grows; each root-to-leaf path is a branch.
-Branches of a tree are ranked by the mean score of their messages (ties: more
-messages, then the smaller leaf), and the first ``branches`` of each tree are
-formatted as one conversation each.  Only node ids travel through the rounds;
-texts join at the end.
+Messages form trees by ``parent_id``; each root-to-leaf path is a branch.
+Iterative self-joins double the step of every message's ancestor pointer, and
+add up scores and lengths on the way, until all pointers have passed the roots:
+rounds grow with the logarithm of the depth.  Branches of a tree are ranked by
+the mean score of their messages (ties: more messages, then the smaller leaf);
+the first ``keep`` of each tree are spelled out by joins with the same
+pointers, largest step first, and formatted as one conversation each.  Only
+node ids travel through the rounds; texts join at the end.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` per turn.  Inside roles and texts
 a backslash becomes two, and ``<`` and ``[`` get a backslash after them, so no
@@ -14,8 +16,8 @@ control string of this or the usual bracketed templates can appear in a text;
 points of the assistant texts inside ``formatted``.
 
 Results for odd input: a null text or role is an empty one; a message whose
-parent is missing is a root; messages on a cycle have no root and belong to no
-branch; repeated rows are turns of their own; an empty table gives an empty
+parent is missing is a root; messages that reply into a cycle have no root and
+belong to no branch; repeated rows are turns of their own; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -38,32 +40,32 @@ def unescaped(text: Column) -> Column:
 
 
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """Chosen branches (tree_id, branch, path) of (tree_id, node_id, parent_id,
-    score) rows; ``path`` lists the node ids from the root to a leaf."""
-    links = staged(messages.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-links")
+    """Messages (tree_id, branch, pos, node_id) of the chosen branches of
+    (tree_id, node_id, parent_id, score) rows; ``pos`` counts from the root."""
+    links = staged(messages.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("total")), "chat-links")
     a, b = links.alias("a"), links.alias("b")
-    same = F.col("a.tree_id").eqNullSafe(F.col("b.tree_id"))
-    inner = staged(a.join(b, same & (F.col("a.node_id") == F.col("b.parent_id")), "left_semi")
-                   .select("a.tree_id", "a.node_id"), "chat-inner")  # nodes with a reply
-    roots = a.join(b, same & (F.col("a.parent_id") == F.col("b.node_id")), "left_anti").select("a.*")
-    front = staged(roots.select("tree_id", "node_id", F.array("node_id").alias("path"), F.col("score").alias("total")), "chat-front")
-    leaves = []
-    while not front.isEmpty():
-        f, i, c = front.alias("f"), inner.alias("i"), links.alias("c")
-        tree = lambda x: F.col("f.tree_id").eqNullSafe(F.col(f"{x}.tree_id"))
-        leaves.append(f.join(i, tree("i") & (F.col("f.node_id") == F.col("i.node_id")), "left_anti"))
-        front = staged(f.join(c, tree("c") & (F.col("f.node_id") == F.col("c.parent_id"))).select(
-            "f.tree_id", "c.node_id", F.array_append("f.path", F.col("c.node_id")).alias("path"),
-            (F.col("f.total") + F.col("c.score")).alias("total")), "chat-front")
-    if not leaves:
-        return front.select("tree_id", F.lit(1).alias("branch"), "path")
-    ends = leaves[0]
-    for more in leaves[1:]:
-        ends = ends.unionByName(more)
+    same = lambda x, y: F.col(f"{x}.tree_id").eqNullSafe(F.col(f"{y}.tree_id"))
+    known = b.select("tree_id", "node_id").alias("b")
+    step = staged(a.join(known, same("a", "b") & (F.col("a.parent_id") == F.col("b.node_id")), "left").select(
+        "a.tree_id", "a.node_id", F.col("b.node_id").alias("up"), "a.total", F.lit(1).alias("n")), "chat-steps")
+    steps, count = [step], links.count()
+    while len(steps) <= count.bit_length() and not step.filter("up is not null").isEmpty():
+        x, y = step.filter("up is not null").alias("x"), step.alias("y")  # the others are at their root
+        further = x.join(y, same("x", "y") & (F.col("x.up") == F.col("y.node_id"))).select(
+            "x.tree_id", "x.node_id", "y.up", (F.col("x.total") + F.col("y.total")).alias("total"), (F.col("x.n") + F.col("y.n")).alias("n"))
+        step = staged(further.unionByName(step.filter("up is null")), "chat-steps")
+        steps.append(step)
+    leaves = step.filter("up is null").alias("s").join(b, same("s", "b") & (F.col("s.node_id") == F.col("b.parent_id")), "left_anti")
     # the filter on row_number lets Spark keep the best few of a tree per task before the shuffle
-    best = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.size("path")), F.desc(F.size("path")), "node_id")
-    return (ends.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= keep)
-            .select("tree_id", "branch", "path"))
+    best = Window.partitionBy("tree_id").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "node_id")
+    chosen = staged(leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= keep)
+                    .select("tree_id", "branch", (F.col("n") - 1).alias("pos"), "node_id"), "chat-branches")
+    for k in range(len(steps) - 2, -1, -1):  # each message and its ancestor 2^k steps up
+        c, u = chosen.alias("c"), steps[k].filter("up is not null").alias("u")
+        above = c.join(u, same("c", "u") & (F.col("c.node_id") == F.col("u.node_id"))).select(
+            "c.tree_id", "c.branch", (F.col("c.pos") - (1 << k)).alias("pos"), F.col("u.up").alias("node_id"))
+        chosen = staged(chosen.unionByName(above), "chat-branches")
+    return chosen
 
 
 def format_chats(messages: DataFrame, keep: int = 1) -> DataFrame:
@@ -72,27 +74,21 @@ def format_chats(messages: DataFrame, keep: int = 1) -> DataFrame:
     ``messages``: tree_id, node_id (unique in its tree), parent_id (null for a
     root), role, text, score.
     """
-    chosen = branches(messages, keep).select("tree_id", "branch", F.posexplode("path").alias("pos", "node_id")).alias("p")
+    chosen = branches(messages, keep).alias("p")
     m = messages.select("tree_id", "node_id", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text")).alias("m")
     turns = chosen.join(m, F.col("p.tree_id").eqNullSafe(F.col("m.tree_id")) & (F.col("p.node_id") == F.col("m.node_id"))).select(
-        "p.tree_id", "p.branch", F.struct(
-            "p.pos", F.col("m.role").eqNullSafe("assistant").alias("loss"),
-            F.concat(F.lit(TURN), escaped(F.col("m.role")), F.lit(TEXT)).alias("head"),
-            escaped(F.col("m.text")).alias("body")).alias("turn"))
-    chats = turns.groupBy("tree_id", "branch").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    head, body = (lambda t: F.length(t["head"])), (lambda t: F.length(t["body"]))
-    state = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans")),
-        lambda s, t: F.struct(
-            (s["at"] + head(t) + body(t) + len(END)).alias("at"),
-            F.when(t["loss"], F.array_append(s["spans"], F.struct((s["at"] + head(t)).alias("start"), body(t).alias("length"))))
-            .otherwise(s["spans"]).alias("spans")))
-    return chats.select(
-        "tree_id", "branch",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        state["spans"].alias("loss_spans"))
+        "p.tree_id", "p.branch", "p.pos", (F.col("m.role") == "assistant").alias("loss"),
+        F.concat(F.lit(TURN), escaped(F.col("m.role")), F.lit(TEXT)).alias("head"), escaped(F.col("m.text")).alias("body"))
+    before = Window.partitionBy("tree_id", "branch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END)
+    start = (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int")
+    turns = turns.withColumn("start", start)
+    span = F.when(F.col("loss"), F.struct("start", F.length("body").alias("length")))
+    text = F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "body", F.lit(END)).alias("turn"))))
+    return turns.groupBy("tree_id", "branch").agg(
+        F.array_join(F.transform(text, lambda t: t["turn"]), "").alias("formatted"),
+        F.array_sort(F.collect_list(span)).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
