@@ -6,7 +6,8 @@ import pytest
 
 from conftest import SF_SMALL
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # queries whose oracle hard-codes the fitted schema of the checked scale
 SCHEMA_FITTED = {"features", "prepared", "total_nulls", "overview", "anova_f", "k_best",
                  "mutual_info", "null_by_target", "missing_pattern"}
