@@ -203,22 +203,34 @@ def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def fold(word: Column, ranks: Column) -> Column:
-    """Ids of one word from the ids of its bytes, by ranked merges."""
+    """Ids of one word from the ids of its bytes, by ranked merges.
+
+    The state is the word's ids and, for each two neighbours, the id that they
+    merge to (null: none); a merge looks up its two new pairs only."""
     def known(a: Column, b: Column) -> Column:
         pair = F.shiftleft(a.cast("long"), 16) + b
         return F.try_element_at(F.get(ranks, F.pmod(pair, F.lit(MAP_SLOTS)).cast("int")), pair)
 
-    def merged(ids: Column, found: Column) -> Column:
-        low = F.array_min(found)
-        at = F.array_position(found, low).cast("int")
-        return F.when(low.isNull(), ids).otherwise(
-            F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))))
+    def state(ids: Column, found: Column) -> Column:
+        return F.struct(ids.alias("ids"), found.alias("found"))
+
+    def named(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def merged(ids: Column, found: Column, low: Column, at: Column) -> Column:
+        left = F.when(at > 1, F.array(known(F.get(ids, at - 2), low))).otherwise(F.array().cast("array<int>"))
+        right = F.when(at < F.size(found), F.array(known(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
+        return state(
+            F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))),
+            F.concat(F.slice(found, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(found, at + 2, F.size(found))))
 
-    def step(ids: Column, _: Column) -> Column:
-        found = F.zip_with(ids, F.slice(ids, 2, F.size(ids)), known)
-        return F.element_at(F.transform(F.array(found), lambda f: merged(ids, f)), 1)
+    def step(s: Column, _: Column) -> Column:
+        return named(F.array_min(s["found"]), lambda low: F.when(low.isNull(), s).otherwise(
+            named(F.array_position(s["found"], low).cast("int"), lambda at: merged(s["ids"], s["found"], low, at))))
 
-    return F.aggregate(F.slice(word, 2, F.size(word)), word, step)
+    rest = F.slice(word, 2, F.size(word))
+    pairs = F.zip_with(F.slice(word, 1, F.size(rest)), rest, known)
+    return F.aggregate(rest, state(word, pairs), step, lambda s: s["ids"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
