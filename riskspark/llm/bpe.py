@@ -5,8 +5,10 @@ splits each text into words by the tokenizer's pattern.  The block's distinct
 words that are no token as a whole travel as arrays of byte ids in one row; a
 Spark ``aggregate`` folds each of them, at every step merging the leftmost pair
 of lowest rank that the rank map knows.  The block is then put together again:
-every word of every document takes its ids by position.  Nothing is shuffled,
-and a block is all that a lost executor has to redo.
+every word of every document takes its ids by position.  A task remembers the
+words of its earlier blocks, up to ``KNOWN_BYTES`` of them, then starts anew; so
+a word is folded once, not in every block.  Nothing is shuffled, and a lost
+executor's task is done again from its input alone.
 
 The rank map (pair of ids -> id of the merged token) is one constant of the
 plan: an array of small maps, found by ``pair mod MAP_SLOTS``, because a lookup
@@ -39,7 +41,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskspark.llm.shared import table
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
+KNOWN_BYTES = 6_000_000
 FOLD_BYTES = 200
 #: A prime, so that pairs with a common left or right id spread over the slots.
 MAP_SLOTS = 262_147
@@ -103,27 +106,38 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Codes(dict):
-    """word -> code of one block: a folded word's position, or -1 - id."""
+    """word -> code: a folded word's position, or -1 - id.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.words, self.long = ranks, [], []
+    ``words`` are the words that the open block adds, the first of them at
+    position ``first``."""
+
+    def __init__(self, ranks: dict[bytes, int], known_bytes: int):
+        self.ranks, self.known_bytes = ranks, known_bytes
+        self.words, self.long, self.first, self.bytes = [], [], 0, 0
+
+    def next_block(self) -> _Codes:
+        if self.bytes > self.known_bytes:
+            return _Codes(self.ranks, self.known_bytes)
+        self.first, self.words = self.first + len(self.words), []
+        return self
 
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8")
         whole = self.ranks.get(raw)
+        self.bytes += len(raw)
         if whole is not None:
             code = -1 - whole
         elif len(raw) > FOLD_BYTES:
             code = _LONG - len(self.long)
             self.long.append(np.array(heap_merge(raw, self.ranks), np.int32))
         else:
-            code = len(self.words)
+            code = self.first + len(self.words)
             self.words.append(raw)
         self[word] = code
         return code
 
 
-def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str):
+def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int):
     split = regex.compile(pattern).findall
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
@@ -142,10 +156,11 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str):
             pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             pa.array([np.array([len(d) for d in docs], np.int32).tobytes()], pa.binary()),
             pa.array([np.concatenate([*docs, np.array([], np.int32)]).astype(np.int32).tobytes()], pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "words"])
+            pa.array([codes.first], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, codes, docs, chars = [], _Codes(ranks), [], 0
+        kept, codes, docs, chars = [], _Codes(ranks, known_bytes), [], 0
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             start = 0
@@ -153,9 +168,9 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str):
                 t = column[i].as_py() or ""
                 docs.append(np.fromiter(map(codes.__getitem__, split(t)), np.int32))
                 chars += len(t)
-                if chars >= BLOCK_CHARS:
+                if chars >= block_chars:
                     yield close([*kept, batch.slice(start, i + 1 - start).drop_columns([text])], codes, docs)
-                    kept, codes, docs, chars, start = [], _Codes(ranks), [], 0, i + 1
+                    kept, codes, docs, chars, start = [], codes.next_block(), [], 0, i + 1
             if start < batch.num_rows:
                 kept.append(batch.slice(start).drop_columns([text]))
         if docs:
@@ -166,14 +181,22 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str):
 
 def _from_blocks(vocabulary: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)  # ids of the words known so far
         for batch in batches:
             for i in range(batch.num_rows):
+                first = batch.column(batch.schema.get_field_index("first"))[i].as_py()
+                if not first:
+                    flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)
+                if first != len(offsets) - 1:
+                    raise RuntimeError("the blocks of a task are out of order")
                 kept, sizes, codes, folded = (batch.column(batch.schema.get_field_index(n))[i] for n in ("kept", "sizes", "codes", "folded"))
                 rest = pa.Table.from_batches(pa.ipc.open_stream(kept.as_py()))
                 sizes, codes = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, codes))
                 lists = folded.values
-                offsets = np.asarray(lists.offsets).astype(np.int64)
-                flat = np.asarray(lists.values)[: offsets[-1]] if len(lists) else np.array([], np.int32)
+                if len(lists):
+                    added = np.asarray(lists.offsets).astype(np.int64)
+                    offsets = np.concatenate([offsets, len(flat) + added[1:] - added[0]])
+                    flat = np.concatenate([flat, np.asarray(lists.values)[added[0]:added[-1]]])
                 # behind the folded words' ids: every id, for words that are one token
                 ids_table = np.concatenate([flat, np.arange(vocabulary, dtype=np.int32)])
                 single = codes < 0
@@ -233,17 +256,18 @@ def fold(word: Column, ranks: Column) -> Column:
     return F.aggregate(rest, state(word, pairs), step, lambda s: s["ids"])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
+           block_chars: int = BLOCK_CHARS, known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array<int>) and ``ids_le`` (the
     ids as little-endian unsigned 32-bit integers)."""
     spark = docs.sparkSession
     if len(ranks) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes and fewer than 65,536 tokens")
     rest = T.StructType([f for f in docs.schema if f.name != text])
-    blocks = docs.mapInArrow(_to_blocks(ranks, exact_pattern(pattern), text),
-                             "kept binary, sizes binary, codes binary, words array<array<int>>")
+    blocks = docs.mapInArrow(_to_blocks(ranks, exact_pattern(pattern), text, block_chars, known_bytes),
+                             "kept binary, sizes binary, codes binary, first bigint, words array<array<int>>")
     known = blocks.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each block
-    folded = known.select("kept", "sizes", "codes", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
+    folded = known.select("kept", "sizes", "codes", "first", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
     out = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())])
     return folded.mapInArrow(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out)), out)
 

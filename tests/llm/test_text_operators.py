@@ -126,6 +126,15 @@ def test_encoding_equals_the_library_and_decodes(spark, texts):
         assert bytes(got[i]["decoded"]) == (t or "").encode()
 
 
+def test_words_remembered_across_blocks(spark, texts):
+    """One task, tiny blocks: words come back from earlier blocks, and the memory starts anew."""
+    ranks, pattern = bpe.public_tokenizer()
+    want = {i: r["ids"] for i, r in by_id(bpe.encode(frame(spark, texts), ranks, pattern)).items()}
+    for known_bytes in (0, 200, 1 << 20):
+        got = by_id(bpe.encode(frame(spark, texts).coalesce(1), ranks, pattern, block_chars=300, known_bytes=known_bytes))
+        assert {i: r["ids"] for i, r in got.items()} == want
+
+
 def test_heap_and_fold_agree_with_the_library(spark):
     ranks, _ = bpe.public_tokenizer()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
