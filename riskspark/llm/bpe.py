@@ -237,10 +237,8 @@ def fold(word: Column, ranks: Column) -> Column:
     def state(ids: Column, found: Column) -> Column:
         return F.struct(ids.alias("ids"), found.alias("found"))
 
-    def named(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def merged(ids: Column, found: Column, low: Column, at: Column) -> Column:
+    def merged(ids: Column, found: Column, at: Column) -> Column:
+        low = F.get(found, at - 1)
         left = F.when(at > 1, F.array(known(F.get(ids, at - 2), low))).otherwise(F.array().cast("array<int>"))
         right = F.when(at < F.size(found), F.array(known(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
         return state(
@@ -248,8 +246,10 @@ def fold(word: Column, ranks: Column) -> Column:
             F.concat(F.slice(found, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(found, at + 2, F.size(found))))
 
     def step(s: Column, _: Column) -> Column:
-        return named(F.array_min(s["found"]), lambda low: F.when(low.isNull(), s).otherwise(
-            named(F.array_position(s["found"], low).cast("int"), lambda at: merged(s["ids"], s["found"], low, at))))
+        lowest = F.array_position(s["found"], F.array_min(s["found"])).cast("int")
+        # a one-element array names the position, so that it is sought once
+        return F.element_at(F.transform(
+            F.array(lowest), lambda at: F.when(at.isNull(), s).otherwise(merged(s["ids"], s["found"], at))), 1)
 
     rest = F.slice(word, 2, F.size(word))
     pairs = F.zip_with(F.slice(word, 1, F.size(rest)), rest, known)
