@@ -11,14 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.keys import hash_key
 from riskspark.functions.scores import record_rules
-from riskspark.operators.prep import KEY, LABEL, NULL_LIMIT
+from riskspark.operators.prep import LABEL, NULL_LIMIT
 
 # The reference's summary sizes.
 NULL_TOP = 20
-NULL_BY_TARGET_COLUMNS = 10
-PATTERN_SAMPLE_ROWS = 1000
 MAX_BATCH = 10_000
 
 
@@ -117,11 +114,10 @@ def total_nulls(df: DataFrame) -> DataFrame:
                       F.lit(0).cast("bigint")).alias("total_nulls"))
 
 
-def null_rate_by_label(df: DataFrame, label: str = LABEL,
-                       first: int = NULL_BY_TARGET_COLUMNS) -> DataFrame:
-    """Q7: null rate by label of the first ``first`` columns (frame order)
-    that have nulls.  Which columns have nulls is a fit statistic."""
-    nulls = null_summary(df).where("null_count > 0").orderBy("position").limit(first)
+def null_rate_by_label(df: DataFrame, label: str = LABEL) -> DataFrame:
+    """Q7: null rate by label of every column that has nulls.  Which columns
+    have nulls is a fit statistic."""
+    nulls = null_summary(df).where("null_count > 0").orderBy("position")
     cols = [r["column"] for r in nulls.collect()]
     if not cols:
         return df.sparkSession.createDataFrame([], f"column string, {label} int, null_rate double")
@@ -129,11 +125,10 @@ def null_rate_by_label(df: DataFrame, label: str = LABEL,
     return g.unpivot([label], cols, "column", "null_rate").select("column", label, "null_rate")
 
 
-def missing_pattern(df: DataFrame, rows: int = PATTERN_SAMPLE_ROWS, seed: int = 42,
-                    key: str = KEY) -> DataFrame:
-    """Q8: null flags of the columns with nulls for a seeded sample of rows
-    (the heat-map matrix).  Top-n by hash is a bounded TakeOrdered."""
+def missing_pattern(df: DataFrame) -> DataFrame:
+    """Q8: the distinct combinations of null flags over the columns with nulls,
+    with their row counts (the heat-map matrix of all rows)."""
     cols = [r["column"] for r in null_summary(df).where("null_count > 0")
             .orderBy("position").collect()]
-    sample = df.orderBy(hash_key(key, seed), F.col(key)).limit(rows)
-    return sample.select(key, *[F.col(c).isNull().alias(c) for c in cols])
+    flags = df.select(*[F.col(c).isNull().alias(c) for c in cols])
+    return flags.groupBy(*cols).agg(F.count("*").alias("n_rows"))

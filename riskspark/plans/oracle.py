@@ -251,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", TARGET, avg(CASE WHEN {c} IS NULL THEN 1.0e0 ELSE 0.0e0 END) AS null_rate "
         f"FROM applications GROUP BY TARGET" for c in null_cols)
     q["missing_pattern"] = A + (
-        "SELECT SK_ID_CURR, " + ", ".join(f"{c} IS NULL AS {c}" for c in null_cols) +
-        f" FROM applications ORDER BY {HASH}, SK_ID_CURR LIMIT 1000")
+        "SELECT flags.*, count(*) AS n_rows FROM (SELECT " + ", ".join(f"{c} IS NULL AS {c}" for c in null_cols) +
+        " FROM applications) flags GROUP BY ALL")
     feat_null_cols = [c for c in FEATURE_COLS]
     q["total_nulls"] = FE + ("SELECT CAST(" + " + ".join(f"(count(*) - count({c}))" for c in feat_null_cols)
                              + " AS BIGINT) AS total_nulls FROM features")
