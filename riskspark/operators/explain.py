@@ -18,10 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sizes used by the reference's explanation pages.
-SHAP_ROWS = 100
-SHAP_BACKGROUND_ROWS = 1000
 PDP_POINTS = 50
-PDP_ROWS = 1000
 TOP_COEFFICIENTS = 10
 TOP_IMPORTANCES = 15
 
@@ -73,19 +70,17 @@ def importance_table(spark: SparkSession, names: Sequence[str], importances) ->
             .orderBy(F.col("importance").desc(), "feature"))
 
 
-def partial_dependence(model, df: DataFrame, feature: str, points: int = PDP_POINTS,
-                       rows: int = PDP_ROWS, seed: int = 42, key: str = "SK_ID_CURR") -> DataFrame:
+def partial_dependence(model, df: DataFrame, feature: str, points: int = PDP_POINTS) -> DataFrame:
     """X11: mean predicted probability over a linear grid of ``points`` values
-    between the feature's min and max, on a seeded sample of ``rows`` rows:
+    between the feature's min and max, on all rows:
     (grid_value, mean_probability).  ``model`` is a ``TrainedModel`` scoring
-    prepared rows; every sampled row is expanded by the fixed-size grid."""
-    from riskspark.operators.sampling import sample_rows
+    prepared rows; every row is expanded by the fixed-size grid and averaged
+    before the shuffle."""
     mm = df.agg(F.min(feature).alias("mn"), F.max(feature).alias("mx")).first()
     mn, mx = float(mm["mn"]), float(mm["mx"])
     step = (mx - mn) / (points - 1) if points > 1 else 0.0
     grid = F.array(*[F.lit(mn + i * step) for i in range(points)])
-    sample = sample_rows(df, rows, seed, key)
-    expanded = sample.withColumn("grid_value", F.explode(grid)).withColumn(
+    expanded = df.withColumn("grid_value", F.explode(grid)).withColumn(
         feature, F.col("grid_value"))
     scored = model.score(expanded)
     return (scored.groupBy("grid_value").agg(F.avg(f"p_{model.name}").alias("mean_probability"))

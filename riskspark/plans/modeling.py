@@ -169,7 +169,7 @@ def _selection_compare(s, d):
 def _pdp(s, d):
     wb = _wb(s, d)
     m = train(wb.train, wb.features, "logistic")
-    return X.partial_dependence(m, wb.test, "AGE")
+    return X.partial_dependence(m, wb.train, "AGE")
 
 
 def _stacking(s, d):

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from riskspark.operators.ensemble import BLEND_GRID
 from riskspark.operators.evaluate import METRIC_THRESHOLDS, PROFIT_THRESHOLDS
-from riskspark.functions.keys import hash_key_sql
 from riskspark.functions.scores import SCORES_SQL
 from riskspark.sources.tables import APPLICATIONS_SQL
 
@@ -503,9 +502,8 @@ def oracle_sql() -> dict[str, str]:
     lin = ("lin AS (SELECT SK_ID_CURR, CASE WHEN AMT_CREDIT / NULLIF(AMT_INCOME_TOTAL, 0) IS NULL OR "
            "AMT_CREDIT / NULLIF(AMT_INCOME_TOTAL, 0) > 10 THEN 10e0 ELSE AMT_CREDIT / NULLIF(AMT_INCOME_TOTAL, 0) END / 10 AS credit_ratio_capped, "
            "coalesce(EXT_SOURCE_2, 0.5e0) AS ext_source_2_filled FROM applications), "
-           f"bg AS (SELECT avg(credit_ratio_capped) AS m1, avg(ext_source_2_filled) AS m2 FROM "
-           f"(SELECT * FROM lin ORDER BY {HASH}, SK_ID_CURR LIMIT 1000) b), "
-           f"ex AS (SELECT * FROM lin ORDER BY {hash_key_sql('SK_ID_CURR', 43)}, SK_ID_CURR LIMIT 100)")
+           "bg AS (SELECT avg(credit_ratio_capped) AS m1, avg(ext_source_2_filled) AS m2 FROM lin), "
+           "ex AS (SELECT * FROM lin)")
     q["linear_shap_summary"] = _base(lin) + (
         "SELECT 'credit_ratio_capped' AS feature, round(avg(abs(0.8e0 * (credit_ratio_capped - m1))), 9) AS mean_abs_shap "
         "FROM ex, bg UNION ALL SELECT 'ext_source_2_filled', round(avg(abs(-1.5e0 * (ext_source_2_filled - m2))), 9) FROM ex, bg")
