@@ -2,8 +2,11 @@
 
 A text's set holds its distinct shingles of five words.  ``BANDS * ROWS``
 universal hash minima give a signature; texts that agree in all rows of a band
-share a bucket.  At a similarity of 0.85 a pair misses every bucket with a
-probability of 2e-9.
+share a bucket.  A pair misses every bucket with a probability of 2e-9 at a
+similarity of 0.85 and 3e-6 at 0.80.
+
+The threshold is a parameter: 0.80 unless given; ``op1_minhash_dedup`` links from
+0.85 on.
 
 * Texts with equal sets form a class first, with the smallest id as its node,
   so thousands of copies cost one row each.
@@ -42,9 +45,7 @@ from riskspark.llm.shared import staged, table
 WORDS = 5
 BANDS, ROWS = 42, 6
 #: Similarity from which on two texts are linked, in hundredths.
-PERCENT = 85
-#: Signature bits that a pair may differ in: 252 * (1 - 0.85) / 2 plus six deviations.
-BITS_APART = 44
+PERCENT = 80
 #: Up to so many ids a join with the documents may broadcast them (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Members of a bucket in one block of the second comparison.
@@ -142,14 +143,20 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _alike(a: str, b: str) -> Column:
+def bits_apart(percent: int) -> int:
+    """Signature bits that a pair at the threshold may differ in: the mean plus six deviations."""
+    q = (100 - percent) / 200
+    return int(np.ceil(BANDS * ROWS * q + 6 * np.sqrt(BANDS * ROWS * q * (1 - q))))
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes and signatures leave room for the threshold."""
     apart = F.lit(0)
     for i in range(-(-BANDS * ROWS // 64)):
         apart = apart + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
     small = F.least(f"{a}.n_shingles", f"{b}.n_shingles")
     large = F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * PERCENT) & (apart <= BITS_APART)
+    return (small * 100 >= large * percent) & (apart <= bits_apart(percent))
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -160,7 +167,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return full_sets(docs.select(own.alias("own"), "text").join(wanted, F.col("own") == F.col("node")).select("node", "text")).dropDuplicates(["node", "shingles"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets are similar enough."""
     pairs = staged(pairs, "pairs")
     ids = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ids")
@@ -169,11 +176,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - common
-    return both.filter(common * 100 >= union * PERCENT).select("a", "b").distinct()
+    return both.filter(common * 100 >= union * percent).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per row of (doc_id, text); texts
+    are linked from a similarity of ``percent`` hundredths on."""
     docs = docs.select("doc_id", "text")
     sets = staged(signatures(docs), "sets")
     filled = sets.filter("n_shingles > 0")
@@ -186,10 +194,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = staged(rows.join(shared, "key"), "buckets")
     star = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     likely = (star.join(small.alias("x"), F.col("a") == F.col("x.node")).join(small.alias("y"), F.col("b") == F.col("y.node"))
-              .filter(_alike("x", "y")).select("a", "b").distinct())
-    links = staged(_confirmed(likely, docs), "links")
+              .filter(_alike("x", "y", percent)).select("a", "b").distinct())
+    links = staged(_confirmed(likely, docs, percent), "links")
     groups = staged(components(links), "components")
-    more = staged(_left_over_links(members, groups, nodes, docs), "more-links")
+    more = staged(_left_over_links(members, groups, nodes, docs, percent), "more-links")
     if not more.isEmpty():
         groups = staged(components(links.unionByName(more)), "components")
     classes = (nodes.join(groups, "node", "left")
@@ -201,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _left_over(members: DataFrame, groups: DataFrame, small: DataFrame) -> DataFrame:
+def _left_over(members: DataFrame, groups: DataFrame, small: DataFrame, percent: int) -> DataFrame:
     """Members (key, size, node, label, outside, n_shingles, bits) of buckets that
     have a likely partner in another component, where one of the two is
     outside the component of the bucket's smallest node."""
@@ -214,10 +222,10 @@ def _left_over(members: DataFrame, groups: DataFrame, small: DataFrame) -> DataF
     placed = placed.join(mixed, "key", "left_semi")
     return placed.alias("x").join(
         placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-        & (F.col("x.outside") | F.col("y.outside")) & _alike("x", "y"), "left_semi")
+        & (F.col("x.outside") | F.col("y.outside")) & _alike("x", "y", percent), "left_semi")
 
 
-def _joining_links(pdf):
+def _joining_links(pdf, percent: int = PERCENT):
     """Task: members of two blocks of a bucket -> links between components."""
     import pandas as pd
 
@@ -235,14 +243,14 @@ def _joining_links(pdf):
             x = root[x]
         return x
 
-    links = []
+    links, apart = [], bits_apart(percent)
     for i in range(len(pdf)):
         j = np.arange(i + 1, len(pdf))
         ok = (label[j] != label[i]) & (outside[j] | outside[i])
         ok &= (part[j] != part[i]) if p != q else True
-        ok &= np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * PERCENT
+        ok &= np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent
         j = j[ok]
-        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= BITS_APART]
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= apart]
         j = j[bands[j, (bands[j] == bands[i]).argmax(1)] == key]  # the first common bucket is this one
         for k in j.tolist():
             a, b = find(int(label[i])), find(int(label[k]))
@@ -250,14 +258,14 @@ def _joining_links(pdf):
                 continue
             x, y = (sets.setdefault(r, set(pdf["shingles"].iloc[r].tolist())) for r in (i, k))
             common = len(x & y)
-            if common * 100 >= (len(x) + len(y) - common) * PERCENT:
+            if common * 100 >= (len(x) + len(y) - common) * percent:
                 root[max(a, b)] = min(a, b)
                 links.append((node[k], node[i]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    found = staged(_left_over(members, groups, nodes.select("node", "n_shingles", "bits")), "left-over")
+def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    found = staged(_left_over(members, groups, nodes.select("node", "n_shingles", "bits"), percent), "left-over")
     ids = staged(found.select("node").distinct(), "left-over-ids")
     sets = staged(_sets_of(ids, docs), "left-over-sets")
     parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
@@ -267,16 +275,16 @@ def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, do
             .withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
             .join(nodes.select("node", "bands"), "node").join(sets, "node"))
     return rows.select("key", "p", "q", "part", "node", "label", "outside", "n_shingles", "bits", "bands", "shingles").groupBy(
-        "key", "p", "q").applyInPandas(_joining_links, "a long, b long").distinct()
+        "key", "p", "q").applyInPandas(lambda pdf: _joining_links(pdf, percent), "a long, b long").distinct()
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's near-duplicate component."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """Every document's near-duplicate component, from a similarity of 0.85 on."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id
+    """Pipeline stage, texts linked from 0.80 on: of each component the document with the smallest id
     stays; of rows that repeat an id, the one with the least text."""
     found = staged(near_duplicates(docs), "near-duplicates")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()

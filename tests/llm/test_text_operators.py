@@ -66,6 +66,19 @@ def test_near_duplicates_equal_brute_force(spark, texts):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), least[i], least[i] == i)
 
 
+def test_stage_links_near_copies_from_080_on(spark):
+    """100 words of 96 shingles, 10 or 14 of them exchanged in front: 0.811 goes in the stage only, 0.745 stays."""
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda n: " ".join([f"x{i}" for i in range(n)] + words[n:])
+    rows = [(1, " ".join(words)), (2, changed(10)), (3, changed(14).replace("x", "y"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard = [(96 - n) / (96 + n) for n in (10, 14)]
+    assert 0.80 <= jaccard[0] < 0.85 and jaccard[1] < 0.80
+    assert [minhash.bits_apart(p) for p in (85, 80)] == [44, 54]
+    assert {r["doc_id"] for r in minhash.dedup_stage(spark, df, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in minhash.near_duplicates(df, 85).collect())
+
+
 def test_left_over_members_are_linked():
     """Two members that are no neighbours of their bucket's smallest node are
     linked, once, in their first common bucket."""
