@@ -30,7 +30,9 @@ Hashes have 64 bits (38 and more for anchors, where a collision only costs work)
 Results for odd input: a null text is an empty one; shorter texts than
 ``MATCH`` are never touched; rows that repeat an id are the same document,
 so they never match each other; a null id counts as the largest; an empty table
-gives an empty result; other columns are carried along.
+gives an empty result; other columns are carried along.  A text of any length
+is indexed: more than ``PIECE`` bytes are hashed in pieces that share
+``MATCH - 1`` bytes, so every string lies in one of them.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ BROADCAST_IDS = 500_000
 BROADCAST_RUNS = 1_000_000
 NO_ID = (1 << 63) - 1
 _CHUNK = 500_000
+#: Strings of a long text that are hashed together; below 2^_POSITION_BITS less ``MATCH``.
+PIECE = 1 << 22
 #: Anchors sorted at a time in a task.
 _RUN = 400_000
 _POSITION_BITS = 24
@@ -140,22 +144,26 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows and their texts in slices of about ``_CHUNK`` bytes."""
+    """Rows and their texts in slices of up to ``_CHUNK`` bytes; a longer text is
+    a slice of its own."""
     for batch in batches:
         start = size = 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()):
-            size += n
-            if size >= _CHUNK or i == batch.num_rows - 1:
-                part = batch.slice(start, i + 1 - start)
-                values = _bytes(part.column(text))
-                _check(values)
-                yield part, values
-                start, size = i + 1, 0
+        for i, n in enumerate([*pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist(), None]):
+            if i > start and (n is None or size + n > _CHUNK):
+                part = batch.slice(start, i - start)
+                yield part, _bytes(part.column(text))
+                start, size = i, 0
+            size += n or 0
 
 
-def _check(values: list[bytes]) -> None:
-    if any(len(v) >= 1 << _POSITION_BITS for v in values):
-        raise ValueError(f"a text has {1 << _POSITION_BITS} bytes or more")
+def _windows(values: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """What of a slice is hashed together, with its offset: all its texts, or one
+    piece after the other of a long text."""
+    if len(values) > 1 or len(values[0]) < PIECE + MATCH:
+        yield 0, values
+        return
+    for at in range(0, len(values[0]) - MATCH + 1, PIECE):
+        yield at, [values[0][at:at + PIECE + MATCH - 1]]
 
 
 # -- arrays of the index -------------------------------------------------------
@@ -192,13 +200,14 @@ def _suffix_arrays(bits: int):
         powers: list = []
         hashes, docs, held = [], [], 0
         for part, values in _slices(batches, 1):
-            text, h, _, _ = _Text(values, powers).anchors()
-            hashes.append(h >> np.uint64(32 - bits))
-            docs.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[text])
-            held += len(h)
-            if held >= _RUN:
-                yield from _sorted_run(np.concatenate(hashes), np.concatenate(docs))
-                hashes, docs, held = [], [], 0
+            for _, texts in _windows(values):
+                text, h, _, _ = _Text(texts, powers).anchors()
+                hashes.append(h >> np.uint64(32 - bits))
+                docs.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[text])
+                held += len(h)
+                if held >= _RUN:
+                    yield from _sorted_run(np.concatenate(hashes), np.concatenate(docs))
+                    hashes, docs, held = [], [], 0
         if held:
             yield from _sorted_run(np.concatenate(hashes), np.concatenate(docs))
 
@@ -318,21 +327,22 @@ def _blocks(bits: int):
         powers: list = []
         for part, values in _slices(batches, 2):
             docs, tags, wanted = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-            t = _Text(values, powers)
-            text, h, first, last = t.anchors()
-            anchor = (h >> np.uint64(32 - bits)).astype(np.int64)
-            keep = np.zeros(len(text), bool)
-            cuts = np.searchsorted(text, np.arange(len(values) + 1))
-            for i in range(len(values)):
-                x, y = cuts[i], cuts[i + 1]
-                if y > x:
-                    keep[x:y] = np.isin(anchor[x:y], wanted[i].values.to_numpy(zero_copy_only=False))
-            text, anchor, first, last = text[keep], anchor[keep], first[keep], last[keep]
-            whole = t.hashes(first, last - first + MATCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(docs[text]), pa.array(tags[text]), pa.array((first - t.starts[text]).astype(np.int32)),
-                pa.array((last - first + 1).astype(np.int32)), pa.array(anchor), pa.array(whole)],
-                ["doc", "tag", "first", "strings", "anchor", "block"])
+            for offset, texts in _windows(values):  # a block at the border of two pieces is two blocks
+                t = _Text(texts, powers)
+                text, h, first, last = t.anchors()
+                anchor = (h >> np.uint64(32 - bits)).astype(np.int64)
+                keep = np.zeros(len(text), bool)
+                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+                for i in range(len(texts)):
+                    x, y = cuts[i], cuts[i + 1]
+                    if y > x:
+                        keep[x:y] = np.isin(anchor[x:y], wanted[i].values.to_numpy(zero_copy_only=False))
+                text, anchor, first, last = text[keep], anchor[keep], first[keep], last[keep]
+                whole = t.hashes(first, last - first + MATCH).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(docs[text]), pa.array(tags[text]), pa.array((first - t.starts[text] + offset).astype(np.int32)),
+                    pa.array((last - first + 1).astype(np.int32)), pa.array(anchor), pa.array(whole)],
+                    ["doc", "tag", "first", "strings", "anchor", "block"])
 
     return run
 
@@ -354,16 +364,18 @@ def _strings():
         powers: list = []
         for part, values in _slices(batches, 2):
             docs, tags, spots = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-            t = _Text(values, powers)
-            at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(len(values)):
-                p = _spread(*_spots(spots, i))
-                at.append(p + t.starts[i])
-                who.append(np.full(len(p), i, np.int64))
-            at, who = np.concatenate(at), np.concatenate(who)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(docs[who]), pa.array(tags[who]), pa.array((at - t.starts[who]).astype(np.int32)),
-                pa.array(t.hashes(at, MATCH).view(np.int64))], ["doc", "tag", "first", "string"])
+            for offset, texts in _windows(values):
+                t = _Text(texts, powers)
+                at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in range(len(texts)):
+                    p = _spread(*_spots(spots, i)) - offset
+                    p = p[(p >= 0) & (p + MATCH <= t.sizes[i])]  # in this piece
+                    at.append(p + t.starts[i])
+                    who.append(np.full(len(p), i, np.int64))
+                at, who = np.concatenate(at), np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(docs[who]), pa.array(tags[who]), pa.array((at - t.starts[who] + offset).astype(np.int32)),
+                    pa.array(t.hashes(at, MATCH).view(np.int64))], ["doc", "tag", "first", "string"])
 
     return run
 

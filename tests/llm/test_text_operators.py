@@ -116,6 +116,30 @@ def test_repeated_passages_equal_brute_force(spark, texts):
             assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(b), sum(gone), spans, left), i
 
 
+@pytest.mark.parametrize("size", [(1 << 24) - 100, (1 << 24) + 3_000_000])
+def test_long_texts_lose_their_planted_repeats(spark, size):
+    """One text just below 16 MB behind smaller ones, one beyond; passages at
+    borders of pieces, around 16 MB and at the end."""
+    rng = random.Random(size)
+    text = lambda n: rng.randbytes(n // 2 + 1).hex()[:n]
+    passages, long, plan = [text(120) for _ in range(5)], bytearray(text(size).encode()), []
+    spots = [7, suffixes.PIECE - 60, 3 * suffixes.PIECE - 1, min(size, 1 << 24) - 900, size - 120]
+    for p, at in zip(passages, spots):
+        long[at:at + 120] = p.encode()
+    left = b"".join(long[a:b] for a, b in zip([0, *(s + 120 for s in spots)], spots))
+    rows = [*enumerate(passages), (5, text(249_000)), (6, text(249_000)), (7, long.decode())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for local in (suffixes.LOCAL_BLOCKS, 1):
+        suffixes.LOCAL_BLOCKS, kept = local, suffixes.LOCAL_BLOCKS
+        try:
+            got = by_id(suffixes.without_repeats(df, batches=1))
+        finally:
+            suffixes.LOCAL_BLOCKS = kept
+        assert (got[7]["n_bytes"], got[7]["n_removed"], got[7]["n_spans"]) == (size, 600, 5)
+        assert bytes(got[7]["kept"]) == left
+        assert all(got[i]["n_removed"] == 0 for i in range(7))
+
+
 def test_index_levels_merge_geometrically(spark, texts):
     family = suffixes.IndexFamily(64)
     rows = frame(spark, texts).select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
