@@ -3,8 +3,9 @@
 FP-growth mines token combinations of labelled URLs together with a marker
 item for bad ones.  Rules ``tokens -> bad`` that pass the support and
 confidence limits are kept, less those that a shorter rule with at least the
-same confidence already implies.  An inverted index (token -> rule) then finds
-the rules of which a URL holds every token.
+same confidence already implies.  Tokens of the same labelled rows are one class;
+an inverted index (token -> class -> rule) then finds the rules of which a URL
+holds a token of every class.
 
 Listed host and path rules come first: a listed rule fits its host and all
 subdomains if the path starts with the rule's path, and the longest wins.
@@ -57,21 +58,31 @@ def tokens_of(url: Column) -> Column:
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, antecedent, confidence, support) from (url, bad) rows.
+    """Rules (rule_id, antecedent, confidence, support) from (url, bad) rows;
+    the antecedent names each class of tokens by its smallest token."""
+    return mine_classes(labelled, min_support, min_confidence)[0]
+
+
+def mine_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+                 min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """The rules of ``mine_rules``, and (token, class) of the tokens in them.
 
     Tokens below the support are no part of any rule.  Tokens that occur in
-    exactly the same rows stand for each other, and one in every row says
-    nothing, so one of each such set is mined: that changes no rule's rows and
-    keeps a long URL that repeats from spanning all subsets of its tokens.
+    exactly the same labelled rows have the same rules, so one of each such class
+    is mined, which keeps a long URL that repeats from spanning all subsets of
+    its tokens; other pages may hold only some of a class, and any of its tokens
+    counts there.
     """
     empty = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
     rows = staged(labelled.select(F.monotonically_increasing_id().alias("row"), "bad", tokens_of(F.col("url")).alias("tokens")), "url-baskets")
     total = rows.count()
     least = max(min_support * total, MIN_ROWS)
     held = rows.select("row", F.explode("tokens").alias("token"))
-    names = (held.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows_sum"))
-             .filter((F.col("n") >= least) & (F.col("n") < total))
-             .groupBy("n", "rows_sum").agg(F.min("token").alias("token")))  # at most tokens per row / support
+    often = staged(held.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows_sum"))
+                   .filter(F.col("n") >= least), "url-tokens")  # at most tokens per row / support
+    least_tokens = often.groupBy("n", "rows_sum").agg(F.min("token").alias("class"))
+    classes = staged(often.join(least_tokens, ["n", "rows_sum"]).select("token", "class"), "url-classes")
+    names = least_tokens.select(F.col("class").alias("token"))
     baskets = staged(
         held.join(names, "token").groupBy("row").agg(F.collect_list("token").alias("found"))
         .join(rows.filter("bad").select("row", F.lit(True).alias("is_bad")), "row", "left")
@@ -91,15 +102,15 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                           & (F.col("a.confidence") >= F.col("b.confidence")))
                .groupBy("a.rule_id", "a.n", F.col("b.rule_id").alias("gone")).agg(F.count("*").alias("common"))
                .filter(F.col("common") == F.col("n")).select("gone").distinct())
-    return found.join(implied, found.rule_id == implied.gone, "left_anti")
+    return found.join(implied, found.rule_id == implied.gone, "left_anti"), classes
 
 
-def matching_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct ``url`` values that hold every token of a rule, with the
-    number of such rules, found through the inverted index."""
-    index = rules.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
+def matching_urls(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct ``url`` values that hold a token of every class of a rule, with
+    the number of such rules, found through the inverted index."""
+    index = rules.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("class")).join(classes, "class")
     tokens = urls.select("url").distinct().select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
-    return (tokens.join(index, "token").groupBy("url", "rule_id", "n").agg(F.count("*").alias("hits"))
+    return (tokens.join(index, "token").groupBy("url", "rule_id", "n").agg(F.size(F.collect_set("class")).alias("hits"))
             .filter(F.col("hits") == F.col("n")).groupBy("url").agg(F.count("*").alias("n_rules")))
 
 
@@ -118,8 +129,7 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, listed=LISTED) -> DataFrame:
     """``pages`` with host, path, rule, verdict and n_rules (mined rules held)."""
-    rules = mine_rules(labelled)
-    hits = matching_urls(pages, rules).withColumnRenamed("url", "_url")
+    hits = matching_urls(pages, *mine_classes(labelled)).withColumnRenamed("url", "_url")
     best = listed_rule(F.col("host"), F.col("path"), listed)
     return (pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
             .withColumn("_best", best)

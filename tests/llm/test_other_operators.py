@@ -84,6 +84,17 @@ def test_mined_rules_find_token_combinations(spark):
         assert got[url] == ("block" if bad else "allow")
 
 
+def test_tokens_of_the_same_labelled_rows_each_count(spark):
+    """host=spam and path=casino always come together among the labels; an
+    unlabelled page with either of them is blocked, by one rule."""
+    rows = [("http://spam.net/casino", True)] * 20 + [(f"http://good{i % 3}.net/news", False) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    want = {"http://other.net/casino": 1, "http://spam.net/x": 1, "http://spam.net/casino": 1, "http://other.net/x": 0}
+    pages = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r["url"]: (r["verdict"], r["n_rules"]) for r in url_rules.judge_urls(pages, labelled).collect()}
+    assert got == {u: ("block" if n else "allow", n) for u, n in want.items()}
+
+
 def test_nearest_neighbours_recall_and_order(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((3000, 32))
