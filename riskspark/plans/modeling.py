@@ -193,11 +193,11 @@ def _stream(s, d):
 
 
 def _prediction_time(s, d):
-    """Average seconds per scoring micro-batch, from the stream's progress."""
+    """Average seconds per scoring micro-batch, over all batches."""
     from riskspark.operators.registry import average_prediction_time
     from riskspark.streaming.scoring import progress_table
-    q, _ = _run_stream(s, d)
-    return average_prediction_time(progress_table(s, q))
+    _, sink = _run_stream(s, d)
+    return average_prediction_time(progress_table(s, sink))
 
 
 def _run_stream(s, d):

@@ -6,12 +6,14 @@ Arriving request files -> request rules (Q3) -> the eight model inputs (R6)
 sink writes each micro-batch to its own ``batch_id=N`` folder with overwrite,
 so a batch replayed after a failure (the checkpoint records progress)
 replaces its earlier output instead of duplicating it: exactly-once results.
-The query is stateless, so no watermark is needed.
+Counts and seconds of every batch are written the same way, under ``_batches``
+in the sink, which readers of the sink skip.  The query is stateless, so no watermark is needed.
 """
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +25,23 @@ from riskspark.operators.quality import check_records
 REQUEST_SCHEMA = ("SK_ID_CURR bigint, amt_income_total double, amt_credit double, "
                   "amt_annuity double, cnt_children bigint, ext_source_2 double, "
                   "ext_source_3 double, age double, employ_years double")
+LOG_SCHEMA = "batch_id bigint, input_rows bigint, accepted_rows bigint, seconds double"
 
 
 def scored_requests(requests: DataFrame, model: TrainedModel, threshold: float = 0.5) -> DataFrame:
     """The per-record transformation, usable on a batch or a streaming frame:
     (SK_ID_CURR, accepted, failed_rules, probability, prediction, risk_level);
-    rejected records keep null scores (the batch API skips them)."""
-    checked = check_records(requests)
-    x = api_feature_vector(checked.where("accepted"))
+    rejected records keep null scores (the batch API skips them).  They pass the
+    model with inputs of 0, so that the requests are read once."""
+    keep = ["accepted", "failed_rules"]
+    x = api_feature_vector(check_records(requests), keep=keep)
+    accepted = lambda c, other=None: F.when(F.col("accepted"), c).otherwise(F.lit(other))
+    x = x.withColumns({c: accepted(F.col(c), 0.0) for c in x.columns if c not in ("SK_ID_CURR", *keep)})
     sc = model.score(x, threshold)
     p = F.col(f"p_{model.name}")
-    return sc.select("SK_ID_CURR", p.alias("probability"),
-                     F.col(f"pred_{model.name}").alias("prediction"),
-                     band_api(p).alias("risk_level"))
+    return sc.select("SK_ID_CURR", *keep, accepted(p).alias("probability"),
+                     accepted(F.col(f"pred_{model.name}")).alias("prediction"),
+                     accepted(band_api(p)).alias("risk_level"))
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, model: TrainedModel,
@@ -47,20 +53,30 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, model: TrainedMod
     out = scored_requests(src, model)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+        path, begin = os.path.join(sink_dir, f"batch_id={batch_id}"), time.perf_counter()
+        batch.write.mode("overwrite").parquet(path)
+        seconds = time.perf_counter() - begin
+        own = batch.sparkSession
+        own.read.schema(batch.schema).parquet(path).agg(
+            F.lit(batch_id).cast("bigint").alias("batch_id"), F.count("*").alias("input_rows"),
+            F.count_if("accepted").alias("accepted_rows"), F.lit(seconds).alias("seconds"),
+        ).write.mode("overwrite").parquet(os.path.join(_log_dir(sink_dir), f"batch-{batch_id}"))
+
+    spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(_log_dir(sink_dir))
 
     w = out.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
-def progress_table(spark: SparkSession, query) -> DataFrame:
-    """R14 input: one row per micro-batch (batch_id, rows, seconds) from the
-    query's progress reports."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"]),
-             float(p["durationMs"].get("triggerExecution", 0)) / 1000.0)
-            for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch_id bigint, input_rows bigint, seconds double")
+def _log_dir(sink_dir: str) -> str:
+    return os.path.join(sink_dir, "_batches")
+
+
+def progress_table(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """R14 input: one row per micro-batch (batch_id, input_rows, accepted_rows,
+    seconds to score and write it), of all batches of the sink."""
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(_log_dir(sink_dir))
 
 
 def read_sink(spark: SparkSession, sink_dir: str) -> DataFrame:
