@@ -259,7 +259,8 @@ def fold(word: Column, ranks: Column) -> Column:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
            block_chars: int = BLOCK_CHARS, known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array<int>) and ``ids_le`` (the
-    ids as little-endian unsigned 32-bit integers)."""
+    ids as little-endian unsigned 32-bit integers), in place of columns of these names."""
+    docs = docs.drop("ids", "ids_le")
     spark = docs.sparkSession
     if len(ranks) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes and fewer than 65,536 tokens")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskspark.session import checkpoint_dir
 
@@ -31,6 +32,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row): all columns but the text travel in one struct, where
+    their names meet no others."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for df in tables:

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import dropped, staged, table
+from riskspark.llm.shared import dropped, packed, staged, table
 
 MATCH, GRAM = 50, 20
 BATCHES = 3
@@ -533,7 +533,15 @@ def _cut(columns: list[str]):
 
 def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans and
-    ``kept``, the bytes that remain, in place of the text."""
+    ``kept``, the bytes that remain, in place of the text and of columns of
+    these names."""
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    keep = [c for c in docs.columns if c != "text" and c.lower() not in made]
+    return _without_repeats(packed(docs), batches).select(*[F.col("_row").getField(c).alias(c) for c in keep], *made)
+
+
+def _without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The same for ``packed`` documents, with their ``_row``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("text", text).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     key = F.struct(F.xxhash64("text"), F.hash("text"), F.octet_length("text"))
@@ -586,19 +594,21 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: texts lose the passages that an earlier document has.
 
     What is left of a character that was cut goes too; a document stays even if
-    nothing of its text does, and ``n_chars`` follows the text.
+    nothing of its text does, and ``n_chars`` follows the text.  Other columns
+    stay as given, whatever their names.
     """
     schema = docs.schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            texts = _as_text(get("kept").to_pylist())
+            row, kept = batch.columns
+            given = dict(zip([f.name for f in row.type], row.flatten()))
+            texts = _as_text(kept.to_pylist())
             made = {"text": pa.array(texts, pa.string())}
             if "n_chars" in schema.names:
                 made["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            out = pa.Table.from_arrays([made[c] if c in made else get(c) for c in schema.names], names=schema.names)
+            out = pa.Table.from_arrays([made[c] if c in made else given[c] for c in schema.names], names=schema.names)
             yield from out.cast(arrow).to_batches()
 
-    return without_repeats(docs).mapInArrow(run, schema)
+    return _without_repeats(packed(docs)).select("_row", "kept").mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import staged, table
+from riskspark.llm.shared import packed, staged, table
 
 SLOTS = 1 << 20
 TERMS = 1024
@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``."""
+    """``docs`` with ``score``, in place of a column of that name."""
+    docs = docs.drop("score")
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     positions = {s: i for i, s in enumerate(machine.slots)}
@@ -181,6 +182,8 @@ def op8_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score of 0.5 or more go."""
-    scored = toxic_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") < 0.5).select(docs.columns)
+    """Pipeline stage: documents with a score of 0.5 or more go; the columns
+    stay as given, also one named ``score``."""
+    scored = toxic_scores(packed(docs), table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score") < 0.5).select(
+        *[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

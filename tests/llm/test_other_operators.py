@@ -178,6 +178,27 @@ def test_repeated_rows(spark):
     assert minhash.dedup_stage(spark, docs, SF).count() == 1
 
 
+def test_extra_columns_with_names_of_results(spark):
+    """Operators put their results in place of columns of these names, stages return them as given."""
+    extra = {"score": 0.9, "kept": True, "spans": "x", "n_bytes": 7, "ids": "y", "ids_le": "z"}
+    docs = spark.createDataFrame([(i, f"some words {i} " * 12) for i in range(4)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(v) for c, v in extra.items()})
+    ranks, pattern = bpe.public_tokenizer()
+    coded = bpe.encode(docs, ranks, pattern)
+    assert coded.columns == ["doc_id", "score", "kept", "spans", "n_bytes", "ids", "ids_le"]
+    assert all(len(r["ids"]) > 9 and r["spans"] == "x" for r in coded.collect())
+    left = suffixes.without_repeats(docs)
+    assert left.columns == ["doc_id", "score", "spans", "ids", "ids_le", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert all(r["n_bytes"] > 100 and r["spans"] == "x" for r in left.collect())
+    scored = toxicity.toxic_scores(docs, spark.createDataFrame([], LABELS))
+    assert scored.columns == ["doc_id", "text", "kept", "spans", "n_bytes", "ids", "ids_le", "score"]
+    assert all(r["score"] < 1e-9 for r in scored.collect())
+    for stage in (toxicity.toxicity_stage, suffixes.repeats_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all({c: r[c] for c in extra} == extra for r in out.collect())
+
+
 def test_empty_tables_of_other_operators(spark):
     none = spark.createDataFrame([], "tree_id long, node_id long, parent_id long, role string, text string, score double")
     assert chat.format_chats(none).count() == 0
