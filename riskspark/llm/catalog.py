@@ -7,14 +7,20 @@ from riskspark.llm.chat import op3_reply_trees
 from riskspark.llm.lpt import op10_lpt_shards
 from riskspark.llm.minhash import op1_minhash_dedup
 from riskspark.llm.mixing import op9_temperature_mix
+from riskspark.llm.negatives import SQL as OP13_SQL
+from riskspark.llm.negatives import op13_hard_negatives
 from riskspark.llm.neighbours import op6_hilbert_neighbours
 from riskspark.llm.ngram import op4_ngram_perplexity
+from riskspark.llm.repair import op11_target_alignment
+from riskspark.llm.secrets import SQL as OP12_SQL
+from riskspark.llm.secrets import op12_secret_ownership
 from riskspark.llm.suffixes import op5_suffix_dedup
 from riskspark.llm.toxicity import op8_factorization_toxicity
 from riskspark.llm.url_rules import op7_url_rules
 
 QUERIES = [op1_minhash_dedup, op2_byte_bpe, op3_reply_trees, op4_ngram_perplexity, op5_suffix_dedup,
-           op6_hilbert_neighbours, op7_url_rules, op8_factorization_toxicity, op9_temperature_mix, op10_lpt_shards]
+           op6_hilbert_neighbours, op7_url_rules, op8_factorization_toxicity, op9_temperature_mix, op10_lpt_shards,
+           op11_target_alignment, op12_secret_ownership, op13_hard_negatives]
 
 
 def queries() -> dict:
@@ -43,4 +49,4 @@ FROM sized GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_reply_trees": OP3_SQL}
+    return {"op3_reply_trees": OP3_SQL, "op12_secret_ownership": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -225,4 +225,4 @@ def test_pipeline_stages(spark):
 def test_queries_are_registered():
     from __spark_entry__ import queries
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
