@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,19 @@ def dropped(*tables: DataFrame) -> None:
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than ASCII white space, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches; at its end the worker, which lives on for
+    later tasks, gives unused memory back."""
+    def and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return and_release

@@ -1,22 +1,24 @@
 """Toxicity by a factorization machine over hashed terms (operator 8).
 
 Terms of a text are its distinct words (runs of letters, without case) and
-their first 4, 5 and 6 letters, hashed to ``SLOTS`` slots.  Spark counts each
-slot's toxic and other documents over all training rows; the ``TERMS`` slots
-whose toxic count departs most from what their total lets expect become the
-features.  A second-order factorization machine learns a weight of each
+their first 4, 5 and 6 letters, hashed to ``SLOTS`` slots.  Every slot that at
+least ``LEAST_DOCS`` training documents hold, counted by Spark over all of
+them, is a feature; its size grows with the departure of its toxic count from
+what its total lets expect, so that the many chance words of a long text weigh
+little from the start.  A second-order factorization machine learns a weight of each
 feature and of each pair of features in one text, so an insult together with a
 group mention can weigh more than the sum of both.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows (those with the smallest
-hash of the id); counting takes all.  Rows whose ``crc32(doc_id as text) mod
+Training takes about ``TRAIN_ROWS`` labelled rows (an even share of the hashes
+of the ids); counting takes all.  Rows whose ``crc32(doc_id as text) mod
 5`` is 0 are held out from both.  Labels, language, source and id are never
 features.
 
 Results for odd input: a null or empty text has no terms and gets the score of
 the intercept; a document with several labels counts as toxic if one says so;
 without labels of both kinds every score is 0; repeated rows are scored each;
-an empty table gives an empty result; other columns are carried along.
+texts may have any length; an empty table gives an empty result; other columns
+are carried along.
 """
 
 from __future__ import annotations
@@ -27,24 +29,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import packed, staged, table
+from riskspark.llm.shared import packed, staged, table, tidy
 
-SLOTS = 1 << 20
-TERMS = 1024
+#: Hash width: terms that share a slot share its weights.
+SLOTS = 1 << 18
 #: Smallest number of training documents with a feature.
 LEAST_DOCS = 5
 TRAIN_ROWS = 20_000
+#: Up to so many labels a join with the documents may broadcast them (12 bytes each).
+BROADCAST_LABELS = 500_000
+#: Words whose slots a task remembers.
+KNOWN_WORDS = 50_000
+#: Deviations between a slot's toxic count and the expected one that give it half its size.
+HALF_AT = 3.0
 FACTORS = 4
-ITERATIONS = 60
-STEP = 0.05
+EPOCHS = 8
+RATE = 0.1
 PENALTY = 1e-4
+#: Rows of one step.
+STEP_ROWS = 32
 _WORD = r"[^\W\d_]+"
 
 
@@ -64,7 +72,7 @@ class _Terms(dict):
         slots = slots_of(word)
         if self.chosen is not None:
             slots = [self.chosen[s] for s in slots if s in self.chosen]
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = slots
         return slots
@@ -77,11 +85,10 @@ class _Terms(dict):
         return sorted(found)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows that may teach."""
-    y = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isNotNull())
+def teaching_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the ids that may teach, one row each."""
     teach = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
-    return docs.select("doc_id", "text").filter(teach).join(y, "doc_id")
+    return labels.filter(teach).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isNotNull())
 
 
 def count_slots(rows: DataFrame) -> DataFrame:
@@ -97,7 +104,7 @@ def count_slots(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[1, part]), pa.array(seen[0, part])],
                                              ["slot", "toxic", "other"])
 
-    return (rows.select("text", "toxic").mapInArrow(run, "slot int, toxic long, other long")
+    return (rows.select("text", "toxic").mapInArrow(tidy(run), "slot int, toxic long, other long")
             .groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
 
 
@@ -117,40 +124,85 @@ class Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    rows = staged(labelled_rows(docs, labels), "toxicity-rows")
-    kinds = rows.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic"), F.count("*").alias("n")).first()
+    y = staged(teaching_labels(labels), "toxicity-labels")
+    y = F.broadcast(y) if y.count() <= BROADCAST_LABELS else y
+    kinds = docs.select("doc_id").join(y, "doc_id").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = kinds["toxic"], kinds["n"]
     if not 0 < toxic < n:  # nothing to tell apart
         return Machine([], -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
-    total = F.col("toxic") + F.col("other")
-    expected = total * (toxic / n)
-    apart = F.abs(F.col("toxic") - expected) / F.sqrt(expected + 1)
-    slots = [r["slot"] for r in count_slots(rows).filter(total >= LEAST_DOCS)
-             .orderBy(F.desc(apart), "slot").limit(TERMS).select("slot").collect()]
+    rows = docs.select("doc_id", "text").join(y, "doc_id")
+    # at most one row for each of the SLOTS slots
+    counts = count_slots(rows).filter(F.col("toxic") + F.col("other") >= LEAST_DOCS).orderBy("slot").toPandas()
+    slots = counts["slot"].tolist()
     if not slots:
         return Machine([], float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS)
+    # the share is taken before the join, so only the sample's texts move
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, TRAIN_ROWS / n) * (1 << 32))
+    sample = docs.select("doc_id", "text").filter(drawn).join(y, "doc_id")
+    expected = (counts["toxic"] + counts["other"]).to_numpy(float) * (toxic / n)
+    apart = (counts["toxic"] - expected) ** 2 / (expected + 1)
+    scale = (apart / (apart + HALF_AT ** 2)).to_numpy(float)
     positions = {s: i for i, s in enumerate(slots)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(positions)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([
-                batch.column(1).cast(pa.float64()),
-                pa.array([[str(i) for i in terms.of(t)] for t in batch.column(0).to_pylist()], pa.list_(pa.string()))],
-                ["label", "terms"])
-
-    features = staged(sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-                      .mapInArrow(run, "label double, terms array<string>"), "toxicity-features")
-    vectors = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(len(slots))], inputCol="terms", outputCol="features", binary=True).transform(features).persist()
-    try:
-        if vectors.select("label").distinct().count() < 2:
-            return Machine([], float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
-        model = FMClassifier(factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=PENALTY, seed=7).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return Machine(slots, model.intercept, model.linear.toArray(), model.factors.toArray())
+            found = [terms.of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["h", "toxic", "terms"])
+
+    features = staged(sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", (F.col("toxic") > 0).alias("toxic"))
+                      .mapInArrow(tidy(run), "h long, toxic boolean, terms array<int>"), "toxicity-features")
+    if features.select("toxic").distinct().count() < 2:
+        return Machine([], float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lists = rows["terms"].combine_chunks()
+        weights = fit(np.asarray(lists.flatten()), np.asarray(lists.value_lengths()), np.asarray(rows["toxic"].combine_chunks().cast(pa.int8())), scale)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in weights], ["bias", "linear", "factors"])
+
+    # the bounded sample in one task, in an order that does not depend on how it came there
+    model = features.repartition(1).sortWithinPartitions("h").select("toxic", "terms").mapInArrow(
+        tidy(learn), "bias binary, linear binary, factors binary").collect()[0]
+    bias, linear, factors = (np.frombuffer(x) for x in model)
+    return Machine(slots, float(bias[0]), linear, factors.reshape(-1, FACTORS))
+
+
+def fit(terms: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bias, linear weights and factors by adaptive gradient steps over shuffled
+    rows; row r holds the next ``sizes[r]`` of ``terms``, a term t has the size ``scale[t]``."""
+    random = np.random.default_rng(7)
+    share = toxic.mean()
+    n_terms = len(scale)
+    bias, linear = np.array([np.log(share / (1 - share))]), np.zeros(n_terms)
+    factors = random.normal(0, 0.01, (n_terms, FACTORS))
+    seen_bias, seen_linear, seen_factors = 1.0, np.ones(n_terms), np.ones((n_terms, FACTORS))
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    for _ in range(EPOCHS):
+        order = random.permutation(len(sizes))
+        for at in range(0, len(order), STEP_ROWS):
+            rows = order[at:at + STEP_ROWS]
+            rows = rows[sizes[rows] > 0]
+            if not len(rows):
+                continue
+            x = np.concatenate([terms[start[r]:start[r + 1]] for r in rows])
+            of, first = np.repeat(np.arange(len(rows)), sizes[rows]), np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+            size = scale[x]
+            v = factors[x] * size[:, None]
+            total = np.add.reduceat(v, first)
+            margin = bias[0] + np.add.reduceat(linear[x] * size, first) + 0.5 * ((total ** 2).sum(1) - np.add.reduceat((v ** 2).sum(1), first))
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic[rows]
+            seen_bias += error.sum() ** 2
+            bias[0] -= RATE * error.sum() / np.sqrt(seen_bias)
+            touched, place = np.unique(x, return_inverse=True)
+            g = np.bincount(place, error[of] * size) + PENALTY * linear[touched]
+            seen_linear[touched] += g ** 2
+            linear[touched] -= RATE * g / np.sqrt(seen_linear[touched])
+            pull = (error[of] * size)[:, None] * (total[of] - v)
+            g = np.stack([np.bincount(place, pull[:, f]) for f in range(FACTORS)], 1) + PENALTY * factors[touched]
+            seen_factors[touched] += g ** 2
+            factors[touched] -= RATE * g / np.sqrt(seen_factors[touched])
+    return bias, linear * scale, factors * scale[:, None]
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
@@ -167,7 +219,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
             out = pa.Table.from_arrays([*batch.columns, pa.array(machine.scores(features))], names=schema.names)
             yield from out.cast(arrow).to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
