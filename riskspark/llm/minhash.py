@@ -25,8 +25,9 @@ The threshold is a parameter: 0.80 unless given; ``op1_minhash_dedup`` links fro
 Results for odd input: texts without words have an empty set and stay alone;
 fewer than five words are one shingle; repeated rows are copies of each other;
 rows that share an id count as one document with the links of all its texts; a
-null id takes part but never becomes a component's id unless it is alone; an
-empty table gives an empty result.
+row without an id takes part by its text, but its component has an id only if
+one with an id is in it; ids are below 2^62; texts may have any length; other
+columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm.components import components
-from riskspark.llm.shared import staged, table
+from riskspark.llm.shared import staged, table, tidy
 
 WORDS = 5
 BANDS, ROWS = 42, 6
@@ -50,13 +51,16 @@ PERCENT = 80
 BROADCAST_IDS = 500_000
 #: Members of a bucket in one block of the second comparison.
 PART_ROWS = 1_500
-NO_ID = (1 << 63) - 1
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 100_000
+#: Rows without an id are told apart by their texts: their numbers start here, above all ids.
+NO_ID = 1 << 62
 _SHINGLE_CHUNK = 2048
 
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -98,8 +102,13 @@ def _parameters() -> tuple[np.ndarray, np.ndarray]:
 _SETS = "doc_id long, n_shingles long, fp1 long, fp2 long, bits array<long>, bands array<long>"
 
 
+def _own() -> Column:
+    """The id, or for a null one a number above all ids by the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set, signature bits, band keys."""
+    """doc_id (see ``_own``), n_shingles, fingerprint of the set, signature bits, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = _WordHash(), _parameters()
         band = np.arange(BANDS, dtype=np.uint64)
@@ -127,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "fp1", "fp2", "bits", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SETS)
+    return docs.select(_own().alias("doc_id"), "text").mapInArrow(tidy(run), _SETS)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -140,7 +149,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t, hashes).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def bits_apart(percent: int) -> int:
@@ -162,9 +171,8 @@ def _alike(a: str, b: str, percent: int) -> Column:
 def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, shingles) of the given nodes; copies of a node's text give equal
     sets, and one of each is enough."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return full_sets(docs.select(own.alias("own"), "text").join(wanted, F.col("own") == F.col("node")).select("node", "text")).dropDuplicates(["node", "shingles"])
+    return full_sets(docs.select(_own().alias("own"), "text").join(wanted, F.col("own") == F.col("node")).select("node", "text")).dropDuplicates(["node", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = staged(signatures(docs), "sets")
     filled = sets.filter("n_shingles > 0")
     fp = ["fp1", "fp2", "n_shingles"]
-    nodes = staged(filled.groupBy(*fp).agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node"),
+    nodes = staged(filled.groupBy(*fp).agg(F.min("doc_id").alias("node"),
                                            F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
     small = nodes.select("node", "n_shingles", "bits")
     rows = nodes.select("node", F.explode("bands").alias("key"))
@@ -195,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     likely = (star.join(small.alias("x"), F.col("a") == F.col("x.node")).join(small.alias("y"), F.col("b") == F.col("y.node"))
               .filter(_alike("x", "y", percent)).select("a", "b").distinct())
-    links = staged(_confirmed(likely, docs, percent), "links")
+    links = staged(_confirmed(likely, docs, percent).unionByName(_same_id(sets, nodes)).distinct(), "links")
     groups = staged(components(links), "components")
     more = staged(_left_over_links(members, groups, nodes, docs, percent), "more-links")
     if not more.isEmpty():
@@ -203,12 +211,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = (nodes.join(groups, "node", "left")
                .select(*fp, F.coalesce("component", "node").alias("component"), F.col("node").alias("class_id")))
     known = sets.select("doc_id", *fp).join(classes, fp, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
-        F.when(F.col("component") != NO_ID, F.col("component")))
-    return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    given = lambda c: F.when(c < NO_ID, c)
+    return known.select(given(F.col("doc_id")).alias("doc_id"), "n_shingles", given(component).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_id(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of texts that share an id."""
+    several = sets.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    fp = ["fp1", "fp2", "n_shingles"]
+    found = sets.join(several, "doc_id").join(nodes.select(*fp, "node"), fp).select("doc_id", "node")
+    least = found.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return found.join(least, "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b")
+
+
 def _left_over(members: DataFrame, groups: DataFrame, small: DataFrame, percent: int) -> DataFrame:
     """Members (key, size, node, label, outside, n_shingles, bits) of buckets that
     have a likely partner in another component, where one of the two is
@@ -284,16 +301,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, texts linked from 0.80 on: of each component the document with the smallest id
-    stays; of rows that repeat an id, the one with the least text."""
-    found = staged(near_duplicates(docs), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    wanted = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(wanted.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = staged(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return left
-    repeats = left.join(again, "doc_id", "left_semi")
-    once = repeats.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        once.select("doc_id", "r.*").select(docs.columns))
+    """Pipeline stage, texts linked from 0.80 on.  Rows are judged by their texts, whatever their ids: of
+    each component one row stays, the one with the smallest id (null: last),
+    of equal ids the least row.  Rows without words are linked with nothing and stay."""
+    text_id = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))  # one number for each text, the same wherever it is computed
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_id.alias("h"))
+    found = near_duplicates(docs.select(text_id.alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = staged(found.groupBy(F.col("doc_id").alias("h")).agg(F.min("component_id").alias("component"), F.count("*").alias("n")), "near-duplicates")
+    several = found.groupBy("component").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component")
+    members = staged(found.join(several, "component").select("h", "component"), "members")
+    near = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    best = rows.select("id", "h").join(near, "h").groupBy("component").agg(F.min(order).alias("best"))
+    best = staged(best.select("component", "best.id", "best.h"), "near-duplicates-kept")
+    few = F.broadcast(best) if best.count() <= BROADCAST_IDS else best
+    chosen = rows.alias("r").join(few.alias("k"), (F.col("r.h") == F.col("k.h")) & F.col("r.id").eqNullSafe(F.col("k.id")))
+    # rows that agree in id and text are several still
+    once = chosen.groupBy("component").agg(F.min("row").alias("row"))
+    return rows.join(near, "h", "left_anti").select("row").unionByName(once.select("row")).select("row.*")

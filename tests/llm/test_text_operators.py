@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -44,6 +45,30 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+A, B, C = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([(None, A), (None, B), (3, B), (9, C)], [(3, B), (9, C), (None, A)]),               # a null id with a copy, one without
+    ([(5, A), (5, B), (3, B), (9, C)], [(3, B), (5, A), (9, C)]),                         # an id with two texts
+    ([(5, A), (5, B), (5, C), (5, C)], [(5, A), (5, B), (5, C)]),                         # one id only, a repeated row
+    ([(None, A), (None, A), (None, None), (None, "")], [(None, A), (None, None), (None, "")]),
+    ([(7, A), (2, A), (2, A), (8, A + " x")], [(2, A)]),
+])
+def test_dedup_stage_judges_rows(spark, rows, want):
+    df = spark.createDataFrame([(i, t, 1, "m") for i, t in rows], "doc_id long, text string, _gone int, h string").repartition(3)
+    out = minhash.dedup_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_of_one_id_share_a_component(spark):
+    rows = [(5, A), (5, B), (3, B), (9, C), (None, C + " x"), (None, A[::-1]), (None, B[::-1]), (1, B[::-1] + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 3), (5, 3), (3, 3), (9, 9), (None, 9), (None, None), (None, 1), (1, 1)], key=str)
+
+
 def test_near_duplicates_equal_brute_force(spark, texts):
     sets = {}
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -318,3 +343,26 @@ def test_schedule_is_longest_first():
         load[place[i]] += s
     # by hand: 9 8 7 | 6 to 7, 5 to 8, 4 to 9 | 13 13 13 | 3 2 1 to the shards in order
     assert [load[i] for i in range(3)] == [16, 15, 14]
+
+
+def test_machine_scores_are_sums_over_terms_and_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(list(range(30)), -0.4, rng.normal(0, 1, 30), rng.normal(0, 0.5, (30, toxicity.FACTORS)))
+    rows = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (0, 1, 2, 9, 30)]
+    for row, got in zip(rows, m.scores(rows)):
+        margin = m.bias + sum(m.linear[i] for i in row) + sum(float(m.factors[i] @ m.factors[j]) for i in row for j in row if i < j)
+        assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-12
+
+
+def test_factorization_machine_learns_a_pair(spark):
+    """Neither word alone is toxic, both together are: linear weights alone can't tell."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1200):
+        insult, group = rng.random(2) < 0.35
+        words = [f"filler{chr(97 + k)}" for k in rng.integers(0, 20, 12)] + ["insult"] * insult + ["crowd"] * group
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(insult and group)))
+    scored = toxicity.toxic_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(r["score"] >= 0.5, bool(dict(labels)[r["doc_id"]])) for r in scored.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert sum(a == b for a, b in held) / len(held) > 0.97
