@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,16 @@ LEAST_DOCS = 5
 TRAIN_ROWS = 20_000
 #: Up to so many labels a join with the documents may broadcast them (12 bytes each).
 BROADCAST_LABELS = 500_000
-#: Words whose slots a task remembers.
-KNOWN_WORDS = 50_000
+#: Lengths of the word beginnings that are terms.
+BEGINNINGS = (4, 5, 6)
+#: Characters of texts that a task looks at together.
+PART_CHARS = 1_000_000
+#: Letters of a word that are hashed one by one; the rest of a longer word goes in as one number.
+_LETTERS = 24
 #: Deviations between a slot's toxic count and the expected one that give it half its size.
 HALF_AT = 3.0
 FACTORS = 4
-EPOCHS = 8
+EPOCHS = 5
 RATE = 0.1
 PENALTY = 1e-4
 #: Rows of one step.
@@ -56,33 +61,49 @@ STEP_ROWS = 32
 _WORD = r"[^\W\d_]+"
 
 
-def slots_of(word: str) -> list[int]:
-    """Slots of a lower-case word and of its beginnings."""
-    return sorted({zlib.crc32(t.encode()) & (SLOTS - 1) for t in
-                   (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k))})
-
-
-class _Terms(dict):
-    """word -> its slots (of ``chosen`` ones their positions)."""
-
-    def __init__(self, chosen: dict[int, int] | None = None):
-        self.chosen, self.split = chosen, regex.compile(_WORD).findall
-
-    def __missing__(self, word: str) -> list[int]:
-        slots = slots_of(word)
-        if self.chosen is not None:
-            slots = [self.chosen[s] for s in slots if s in self.chosen]
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        self[word] = slots
-        return slots
-
-    def of(self, text: str | None) -> list[int]:
-        found: set[int] = set()
-        for slots in map(self.__getitem__, set(self.split(text.lower())) if text else ()):
-            if slots:
-                found.update(slots)
-        return sorted(found)
+def word_slots(words: list[str]) -> np.ndarray:
+    """(words, 4): slots of lower-case words and of their beginnings, -1 for none."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.array(words, f"U{_LETTERS}").view(np.uint32).reshape(len(words), _LETTERS)
+    h, out = np.zeros(len(words), np.uint64), np.full((len(words), 1 + len(BEGINNINGS)), -1, np.int32)
+    for k in range(min(_LETTERS, int(sizes.max(initial=0)))):
+        h = np.where(k < sizes, (h + letters[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), h)
+        if k + 1 in BEGINNINGS:
+            out[:, BEGINNINGS.index(k + 1)] = np.where(k < sizes, _slot(h ^ np.uint64(k + 1)), -1)
+    for i in np.flatnonzero(sizes > _LETTERS):
+        h[i] ^= np.uint64(zlib.crc32(words[i].encode()))
+    out[:, -1] = _slot(h)
+    return out
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int32)
+
+
+def terms_of(texts: list[str | None], position: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, terms): how many terms each text has, and the sorted distinct
+    terms of one text after the other; ``position`` renames slots, -1 drops one."""
+    split, index = regex.compile(_WORD).findall, {}
+    found = [[index.setdefault(w, len(index)) for w in set(split(t.lower()))] if t else [] for t in texts]
+    slots = word_slots(list(index))
+    if position is not None:
+        slots = np.where(slots >= 0, position[slots], -1)
+    of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
+    each = slots[np.fromiter(chain.from_iterable(found), np.int64, len(of))]
+    both = np.unique((of[:, None] * SLOTS + each)[each >= 0])
+    return np.bincount(both // SLOTS, minlength=len(texts)), (both % SLOTS).astype(np.int32)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches cut after about ``PART_CHARS`` characters, with their texts."""
+    for batch in batches:
+        texts, start, chars = [], 0, 0
+        for i in range(batch.num_rows):
+            texts.append(batch.column(text)[i].as_py())
+            chars += len(texts[-1] or "")
+            if chars >= PART_CHARS or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), texts
+                texts, start, chars = [], i + 1, 0
 
 
 def teaching_labels(labels: DataFrame) -> DataFrame:
@@ -94,10 +115,12 @@ def teaching_labels(labels: DataFrame) -> DataFrame:
 def count_slots(rows: DataFrame) -> DataFrame:
     """(slot, toxic, other): documents of either kind that have the slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen = _Terms(), np.zeros((2, SLOTS), np.int64)
-        for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[int(y > 0), terms.of(t)] += 1
+        seen = np.zeros((2, SLOTS), np.int64)
+        for batch, texts in _parts(batches, 0):
+            sizes, terms = terms_of(texts)
+            bad = np.repeat(np.array(batch.column(1).to_pylist()) > 0, sizes)
+            for y in (0, 1):
+                seen[y] += np.bincount(terms[bad == y], minlength=SLOTS)
         found = np.flatnonzero(seen.sum(0))
         for at in range(0, len(found), 100_000):
             part = found[at:at + 100_000]
@@ -111,16 +134,27 @@ def count_slots(rows: DataFrame) -> DataFrame:
 class Machine:
     """A trained factorization machine over chosen slots."""
 
-    def __init__(self, slots: list[int], bias: float, linear: np.ndarray, factors: np.ndarray):
+    def __init__(self, slots: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray):
         self.slots, self.bias, self.linear, self.factors = slots, bias, linear, factors
 
-    def scores(self, features: list[list[int]]) -> np.ndarray:
-        out = np.full(len(features), self.bias)
-        for i, f in enumerate(features):
-            if f:
-                v = self.factors[f]
-                out[i] += self.linear[f].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v ** 2).sum())
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+    def position(self) -> np.ndarray:
+        """slot -> place among the machine's slots, -1 for others."""
+        return _places(self.slots)
+
+    def scores(self, sizes: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        margin, full = np.full(len(sizes), self.bias), np.flatnonzero(sizes)
+        if len(full):
+            first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            v = self.factors[terms]
+            pairs = (np.add.reduceat(v, first) ** 2).sum(1) - np.add.reduceat((v ** 2).sum(1), first)
+            margin[full] += np.add.reduceat(self.linear[terms], first) + 0.5 * pairs
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
+
+def _places(slots: np.ndarray) -> np.ndarray:
+    out = np.full(SLOTS, -1, np.int32)
+    out[slots] = np.arange(len(slots), dtype=np.int32)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -129,31 +163,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     kinds = docs.select("doc_id").join(y, "doc_id").agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = kinds["toxic"], kinds["n"]
     if not 0 < toxic < n:  # nothing to tell apart
-        return Machine([], -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(np.zeros(0, np.int64), -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
     rows = docs.select("doc_id", "text").join(y, "doc_id")
     # at most one row for each of the SLOTS slots
     counts = count_slots(rows).filter(F.col("toxic") + F.col("other") >= LEAST_DOCS).orderBy("slot").toPandas()
-    slots = counts["slot"].tolist()
-    if not slots:
-        return Machine([], float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
+    slots = counts["slot"].to_numpy()
+    if not len(slots):
+        return Machine(np.zeros(0, np.int64), float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
     # the share is taken before the join, so only the sample's texts move
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(min(1.0, TRAIN_ROWS / n) * (1 << 32))
     sample = docs.select("doc_id", "text").filter(drawn).join(y, "doc_id")
     expected = (counts["toxic"] + counts["other"]).to_numpy(float) * (toxic / n)
     apart = (counts["toxic"] - expected) ** 2 / (expected + 1)
     scale = (apart / (apart + HALF_AT ** 2)).to_numpy(float)
-    positions = {s: i for i, s in enumerate(slots)}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(positions)
-        for batch in batches:
-            found = [terms.of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["h", "toxic", "terms"])
+        place = _places(slots)
+        for batch, texts in _parts(batches, 1):
+            sizes, terms = terms_of(texts, place)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(terms))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["h", "toxic", "terms"])
 
     features = staged(sample.select(F.xxhash64("doc_id", "text").alias("h"), "text", (F.col("toxic") > 0).alias("toxic"))
                       .mapInArrow(tidy(run), "h long, toxic boolean, terms array<int>"), "toxicity-features")
     if features.select("toxic").distinct().count() < 2:
-        return Machine([], float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
+        return Machine(np.zeros(0, np.int64), float(np.log(toxic / (n - toxic))), np.zeros(0), np.zeros((0, FACTORS)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
@@ -209,14 +242,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, in place of a column of that name."""
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-    positions = {s: i for i, s in enumerate(machine.slots)}
+    arrow, at = to_arrow_schema(schema), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(positions)
-        for batch in batches:
-            features = [terms.of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            out = pa.Table.from_arrays([*batch.columns, pa.array(machine.scores(features))], names=schema.names)
+        place = machine.position()
+        for batch, texts in _parts(batches, at):
+            out = pa.Table.from_arrays([*batch.columns, pa.array(machine.scores(*terms_of(texts, place)))], names=schema.names)
             yield from out.cast(arrow).to_batches()
 
     return docs.mapInArrow(tidy(run), schema)

@@ -347,9 +347,9 @@ def test_schedule_is_longest_first():
 
 def test_machine_scores_are_sums_over_terms_and_pairs():
     rng = np.random.default_rng(3)
-    m = toxicity.Machine(list(range(30)), -0.4, rng.normal(0, 1, 30), rng.normal(0, 0.5, (30, toxicity.FACTORS)))
-    rows = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (0, 1, 2, 9, 30)]
-    for row, got in zip(rows, m.scores(rows)):
+    m = toxicity.Machine(np.arange(30), -0.4, rng.normal(0, 1, 30), rng.normal(0, 0.5, (30, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(30, k, replace=False)) for k in (0, 1, 2, 9, 30)]
+    for row, got in zip(rows, m.scores(np.array([len(r) for r in rows]), np.concatenate(rows))):
         margin = m.bias + sum(m.linear[i] for i in row) + sum(float(m.factors[i] @ m.factors[j]) for i in row for j in row if i < j)
         assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-12
 
@@ -359,10 +359,23 @@ def test_factorization_machine_learns_a_pair(spark):
     rng = np.random.default_rng(4)
     rows, labels = [], []
     for i in range(1200):
-        insult, group = rng.random(2) < 0.35
+        insult, group = (rng.random(2) < 0.35).tolist()
         words = [f"filler{chr(97 + k)}" for k in rng.integers(0, 20, 12)] + ["insult"] * insult + ["crowd"] * group
         rows.append((i, " ".join(rng.permutation(words))))
         labels.append((i, int(insult and group)))
     scored = toxicity.toxic_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     held = [(r["score"] >= 0.5, bool(dict(labels)[r["doc_id"]])) for r in scored.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert sum(a == b for a, b in held) / len(held) > 0.97
+
+
+def test_terms_do_not_depend_on_their_neighbours():
+    texts = ["Trash talk, trash!", "", None, "trashy " + "x" * 50, "x" * 50 + "y", "Été 7 talk"]
+    sizes, terms = toxicity.terms_of(texts)
+    split = np.split(terms, np.cumsum(sizes)[:-1])
+    for text, got in zip(texts, split):
+        assert (toxicity.terms_of([text])[1] == got).all() and (np.diff(got) > 0).all()
+    assert len(split[0]) == 3 + 2 and len(split[1]) == len(split[2]) == 0  # trash: 4, 5 letters and all of it; talk
+    assert len(np.intersect1d(split[0], split[3])) == 2 and len(np.intersect1d(split[3], split[4])) == 3
+    place = np.full(toxicity.SLOTS, -1)
+    place[split[0]] = np.arange(len(split[0]))
+    assert toxicity.terms_of(texts, place)[1][:5].tolist() == list(range(5))
