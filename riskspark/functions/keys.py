@@ -41,43 +41,6 @@ def hash_key_sql(key: str, seed: int = 42) -> str:
     return f"(({k}) * {HASH_MULT} + {seed}) % {HASH_MOD}"
 
 
-def rnd(c: Column | str, digits: int) -> Column:
-    """Round for reporting (half up)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
-
-
-_SPLIT = 134217729.0     # 2^27 + 1, Veltkamp splitting constant for doubles
-
-
-def _two_prod(a: Column, b: Column):
-    """Error-free product: a*b = p + e exactly (Dekker/Veltkamp)."""
-    p = a * b
-    ta, tb = a * _SPLIT, b * _SPLIT
-    ah = ta - (ta - a)
-    al = a - ah
-    bh = tb - (tb - b)
-    bl = b - bh
-    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
-    return p, e
-
-
-def fma(a: Column, b: Column, c: Column) -> Column:
-    """``a * b + c`` with a single rounding, in plain double arithmetic
-    (error-free transformations), so results equal engines that compute the
-    fused multiply-add natively."""
-    p, e = _two_prod(a, b)
-    s = p + c
-    bb = s - p
-    err = (p - (s - bb)) + (c - bb)
-    return s + (err + e)
-
-
-def lerp(lo: Column, hi: Column, d: Column) -> Column:
-    """Linear interpolation ``lo * (1 - d) + hi * d`` with the first product
-    fused (the rule of DuckDB's ``quantile_cont``); exact at d = 0."""
-    return F.when(d == 0, lo).otherwise(fma(lo, F.lit(1.0) - d, hi * d))
-
-
 def count_below(x: Column, values, inclusive: bool = False) -> Column:
     """Number of the sorted literal ``values`` that are < x (or <= x with
     ``inclusive``), as a balanced CASE tree: log2(n) comparisons per row,

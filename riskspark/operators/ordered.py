@@ -1,6 +1,6 @@
-"""Distributed order statistics: running totals and exact quantiles.
+"""Order statistics: running totals and exact quantiles.
 
-Both are built so that no task ever holds a whole column or a whole group:
+Running totals are built so that no task ever holds a whole column or a whole group:
 
 * rows are first collapsed to distinct values with counts (partial
   aggregation, so a value held by a third of all rows is one row after the
@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.functions.keys import count_below, lerp
+from riskspark.functions.keys import count_below
 
 DEFAULT_BUCKETS = None     # None: one bucket per shuffle partition of the session
 
@@ -76,219 +76,109 @@ def running_totals(t: DataFrame, keys: Sequence[str], order_col: str,
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / DuckDB ``quantile_cont``
-    rule) of every column in ``cols`` at every ``p`` in ``probs``, per group.
-
-    Returns ``(by..., name, p, value)``; nulls are skipped, a column without
-    values yields no row.  Interpolation: position ``(n-1)*p``, value
-    ``v_lo * (1 - frac) + v_hi * frac`` (see ``keys.lerp``).
-
-    Plan (three scans of the unpivoted values, small shuffles only):
-    1. per (group, column): count and ``percentile_approx`` bucket boundaries;
-    2. rows per bucket (partial aggregation), prefix over buckets -> the
-       bucket holding each target rank;
-    3. only rows of those buckets are collapsed to distinct values and ranked
-       (window per bucket), and the values at the target ranks are picked.
-    """
-    by = list(by)
-    nb = _n_buckets(df, buckets)
-    base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if not by:
-        base = base.withColumn("_g", F.lit(0))
-    long = (base.unpivot(by or ["_g"], list(cols), "name", "v")
-            .where(F.col("v").isNotNull()))
-    if not by:
-        long = long.drop("_g")
-    keys = [*by, "name"]
-    bprobs = [i / nb for i in range(1, nb)] or [0.5]
-    sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.percentile_approx("v", bprobs, 10000).alias("_bnd"))
-    # one row per (group, column): AQE broadcasts it when its measured size is small
-    lb = long.join(sk.select(*keys, "_bnd"), keys).select(
-        *keys, "v", F.size(F.filter("_bnd", lambda x: x < F.col("v"))).alias("_b"))
-    bc = lb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.withColumn("_bhi", F.sum("_bc").over(wb)).withColumn("_blo", F.col("_bhi") - F.col("_bc"))
-    # target ranks (0-based) of every (group, column, p): floor and ceil of (n-1)p
-    tg = (sk.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-          .withColumn("_pos", (F.col("_n") - 1).cast("double") * F.col("p"))
-          .withColumn("_k0", F.floor("_pos").cast("bigint")))
-    tgk = tg.select(*keys, "p", "_pos", "_k0", F.explode(F.array(
-        F.struct(F.lit(0).alias("w"), F.col("_k0").alias("k")),
-        F.struct(F.lit(1).alias("w"), F.ceil("_pos").cast("bigint").alias("k")))).alias("_t")
-    ).select(*keys, "p", "_pos", "_k0", "_t.w", "_t.k")
-    bcr = bc.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_b", "_blo", "_bhi")
-    tb = tgk.join(bcr, [F.col(k) == F.col(f"_c_{k}") for k in keys]
-                  + [F.col("_blo") <= F.col("k"), F.col("k") < F.col("_bhi")]).drop(
-        *[f"_c_{k}" for k in keys])
-    need = tb.select(*keys, "_b", "_blo").distinct()             # <= groups x cols x 2|probs|
-    vals = (lb.join(need, [*keys, "_b"])
-            .groupBy(*keys, "_b", "_blo", "v").agg(F.count(F.lit(1)).alias("c")))
-    wv = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_hi", F.sum("c").over(wv) + F.col("_blo")).withColumn(
-        "_lo", F.col("_hi") - F.col("c"))
-    vr = vals.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_cb"),
-                     "v", "_lo", "_hi")
-    hit = tb.join(vr, [F.col(k) == F.col(f"_c_{k}") for k in keys]
-                  + [F.col("_b") == F.col("_cb"), F.col("_lo") <= F.col("k"), F.col("k") < F.col("_hi")]
-                  ).select(*keys, "p", "_pos", "_k0", "w", "v")
-    res = hit.groupBy(*keys, "p").agg(
-        F.first("_pos").alias("_pos"), F.first("_k0").alias("_k0"),
-        F.max(F.when(F.col("w") == 0, F.col("v"))).alias("_v0"),
-        F.max(F.when(F.col("w") == 1, F.col("v"))).alias("_v1"))
-    return res.select(*keys, "p", lerp(F.col("_v0"), F.col("_v1"),
-                                       F.col("_pos") - F.col("_k0")).alias("value"))
-
+ACCURACY = 10_000           # of the approximate quantiles that bracket a rank
 
-def _lerp_py(lo: float, hi: float, d: float) -> float:
-    """Driver-side twin of ``keys.lerp`` (fused first product)."""
-    return lo if d == 0 else math.fma(lo, 1.0 - d, hi * d)
 
-
-FETCH_LIMIT = 20_000        # distinct values of one segment that may reach the driver
-FIT_BUCKETS = 32            # sub-buckets per refinement round
+def interpolated(lo: float, hi: float, d: float) -> float:
+    """Linear interpolation between neighbours, from the nearer one."""
+    return hi - (hi - lo) * (1 - d) if d >= 0.5 else lo + (hi - lo) * d
 
 
 def quantile_map(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                 approx: bool = False, persist: bool = True,
-                 buckets: int | None = None) -> dict[str, list[float | None]]:
-    """Fitted quantiles as a small driver-side dict ``{col: [q(p) ...]}``.
-
-    Exact mode is an iterative distributed selection.  Each target rank
-    (floor and ceil of ``(n-1)p``) lives in a value segment ``(lo, hi]`` of
-    its column, first the whole column.  While a segment holds more than
-    ``FETCH_LIMIT`` rows (and more than one value), one round cuts it
-    into ``FIT_BUCKETS`` sub-buckets at ``percentile_approx`` boundaries,
-    counts rows per sub-bucket (partial aggregation) and keeps only the
-    sub-bucket that holds the rank.  The final segments are collapsed to
-    (value, count) pairs, at most ``FETCH_LIMIT`` each, and the ranks are
-    read off on the driver.  Rounds needed: log_32(distinct / 20,000); no
-    window, no task ever holds a whole column, a value held by a third of the
-    rows is one (value, count) pair.  Values equal ``exact_quantiles``.
-    ``approx`` uses one ``percentile_approx`` pass instead.
+                 approx: bool = False, persist: bool = True) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles as ``{col: [q(p) ...]}``; nulls are
+    skipped, a column without values gives None.
+
+    One ``percentile_approx`` aggregate over all columns brackets every wanted
+    rank between two values (its error is at most ``n / ACCURACY`` ranks, the
+    bracket is twice as wide on both sides).  A second pass counts the
+    rows below each bracket; a third one collapses the rows inside to distinct
+    values with counts and picks the wanted ranks with a running sum per bracket.  So
+    only a few of 10,000 rows are grouped, a value of a third of all rows is one
+    row, and the driver gets the neighbours of the wanted ranks alone.  A rank
+    outside its bracket (never seen) is sought again in the whole column.
+    ``approx`` stops after the first pass.
     """
     out: dict[str, list] = {c: [None] * len(probs) for c in cols}
     if not cols:
         return out
-    if approx:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), 10000).alias(c)
-                       for c in cols]).first()
-        for c in cols:
-            if row[c] is not None:
-                out[c] = list(row[c])
-        return out
-    nb = buckets or FIT_BUCKETS
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     if persist:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        r0 = src.agg(*[F.count(c).alias(c) for c in cols]).first()
-        live = [c for c in cols if r0[c] > 0]
-        # segment: (column, lo, hi) -> [offset, rows, approx distinct]
-        seg = {}
-        tgt = {}                       # (column, k) -> segment key
-        plan = {}
+        size = src.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                         for c in cols]).first()
+        live = [c for c in cols if size[c]["n"]]
+        if not live:
+            return out
+        if approx:
+            row = src.agg(*[F.percentile_approx(c, list(probs), ACCURACY).alias(c) for c in live]).first()
+            return out | {c: list(row[c]) for c in live}
+        wide = {c: 2 / ACCURACY + 2 / size[c]["n"] for c in live}
+        ends = {c: [min(max(p + side * wide[c], 0.0), 1.0) for p in probs for side in (-1, 1)] for c in live}
+        row = src.agg(*[F.percentile_approx(c, ends[c], ACCURACY).alias(c) for c in live]).first()
+        places = {(c, p): (size[c]["n"] - 1) * float(p) for c in live for p in probs}
+        ranks = {(c, k) for (c, _), at in places.items() for k in (math.floor(at), math.ceil(at))}
+        brackets = {c: _merged([(size[c]["lo"] if ends[c][2 * i] == 0 else row[c][2 * i],
+                                 size[c]["hi"] if ends[c][2 * i + 1] == 1 else row[c][2 * i + 1])
+                                for i in range(len(probs))]) for c in live}
+        found = _at_ranks(src, brackets, ranks)
+        if missed := ranks - found.keys():
+            found |= _at_ranks(src, {c: [(size[c]["lo"], size[c]["hi"])] for c, _ in missed}, missed)
         for c in live:
-            n = r0[c]
-            key = (c, None, None)
-            seg[key] = [0, n, n]      # offset, rows, rows still to split (0 = cannot split)
-            for i, p in enumerate(probs):
-                pos = (n - 1) * float(p)
-                k0, k1 = math.floor(pos), math.ceil(pos)
-                plan[(c, i)] = (pos, k0, k1)
-                tgt[(c, k0)] = key
-                tgt[(c, k1)] = key
+            out[c] = [interpolated(found[c, math.floor(at)], found[c, math.ceil(at)], at - math.floor(at))
+                      for at in (places[c, p] for p in probs)]
+        return out
+    finally:
+        if persist:
+            src.unpersist()
 
-        def in_seg(c, lo, hi):
-            x = F.col(c).isNotNull()
-            if lo is not None:
-                x = x & (F.col(c) > F.lit(lo))
-            if hi is not None:
-                x = x & (F.col(c) <= F.lit(hi))
-            return x
 
-        def seg_pairs(keys, bounds=None):
-            """(sid, v[, b]) rows of the given segments.  A value lies in at most
-            one segment of its column, so segment id and sub-bucket are small
-            per-column expressions of a projection (compiled), then exploded."""
-            ids = {k: i for i, k in enumerate(keys)}
-            by_col: dict = {}
-            for k in keys:
-                by_col.setdefault(k[0], []).append(k)
-            exprs, structs = [], []
-            for j, (c, ks) in enumerate(by_col.items()):
-                e = b = None
-                for k in ks:
-                    cond = in_seg(c, k[1], k[2])
-                    e = F.when(cond, F.lit(ids[k])) if e is None else e.when(cond, F.lit(ids[k]))
-                    if bounds is not None:
-                        t = count_below(F.col(c), bounds.get(ids[k], []))
-                        b = F.when(cond, t) if b is None else b.when(cond, t)
-                exprs.append(e.alias(f"_s_{j}"))
-                fields = [F.col(f"_s_{j}").alias("sid"), F.col(c).alias("v")]
-                if bounds is not None:
-                    exprs.append(b.alias(f"_b_{j}"))
-                    fields.append(F.col(f"_b_{j}").alias("_b"))
-                structs.append(F.struct(*fields))
-            proj = src.select(*[F.col(c) for c in by_col], *exprs)
-            pairs = proj.select(F.explode(F.array(*structs)).alias("_p")).select("_p.*")
-            return pairs.where(F.col("sid").isNotNull()), ids
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets without overlap, so that a value lies in one of them at most."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
-        while True:
-            big = sorted({k for k in tgt.values() if seg[k][2] > FETCH_LIMIT}, key=repr)
-            if not big:
-                break
-            pairs, ids = seg_pairs(big)
-            bprobs = [i / nb for i in range(1, nb)]
-            bnd = {r["sid"]: sorted(set(r["b"])) for r in pairs.groupBy("sid").agg(
-                F.percentile_approx("v", bprobs, 10 * nb).alias("b")).collect()}
-            pairs, ids = seg_pairs(big, bnd)
-            counts: dict = {}
-            for r in (pairs.groupBy("sid", "_b")
-                      .agg(F.count(F.lit(1)).alias("m")).collect()):
-                counts.setdefault(r["sid"], {})[r["_b"]] = (r["m"], r["m"])
-            moved = {}
-            for t, k in list(tgt.items()):
-                if k not in ids:
-                    continue
-                i = ids[k]
-                c, lo, hi = k
-                off = seg[k][0]
-                edges = [lo] + bnd[i] + [hi]
-                acc = off
-                for b in sorted(counts[i]):
-                    m, d = counts[i][b]
-                    if acc <= t[1] < acc + m:
-                        nk = (c, edges[b], edges[b + 1])
-                        if nk == k:                      # cannot split further
-                            d = 0
-                        seg[nk] = [acc, m, d]
-                        moved[t] = nk
-                        break
-                    acc += m
-            tgt.update(moved)
-        final = sorted(set(tgt.values()), key=repr)
-        pairs, ids = seg_pairs(final)
-        vals: dict = {}
-        for r in pairs.groupBy("sid", "v").agg(F.count(F.lit(1)).alias("m")).collect():
-            vals.setdefault(r["sid"], []).append((r["v"], r["m"]))
 
-        def at(c, k):
-            key = tgt[(c, k)]
-            rank = k - seg[key][0]
-            acc = 0
-            for v, m in sorted(vals[ids[key]]):
-                if acc <= rank < acc + m:
-                    return v
-                acc += m
-            raise RuntimeError("rank not found")
+def _at_ranks(src: DataFrame, brackets: dict[str, list[tuple[float, float]]],
+              ranks: set[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """(column, rank) -> value, of the ranks that lie in a bracket of their column."""
+    parts = [(c, lo, hi) for c, bs in brackets.items() for lo, hi in bs]
+    below = src.agg(*[F.count_if(F.col(c) < lo).alias(f"b{i}") for i, (c, lo, _) in enumerate(parts)]).first()
+    inside = []
+    for c in brackets:
+        part = F.lit(None).cast("int")
+        for i, (of, lo, hi) in enumerate(parts):
+            if of == c:
+                part = F.when(F.col(c).between(lo, hi), F.lit(i)).otherwise(part)
+        inside.append(F.when(part.isNotNull(), F.struct(part.alias("part"), F.col(c).alias("v"))))
+    values = src.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).select("x.part", "x.v")
+    upto = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = (values.groupBy("part", "v").agg(F.count(F.lit(1)).alias("m"))
+               .withColumn("upto", F.sum("m").over(upto)))
+    wanted = src.sparkSession.createDataFrame(       # columns x probabilities x 2 rows at most
+        [(i, k, k - below[i]) for i, (c, _, _) in enumerate(parts) for of, k in ranks if of == c],
+        "part int, k bigint, rel bigint")
+    hits = counted.join(F.broadcast(wanted), "part").where(
+        (F.col("rel") >= F.col("upto") - F.col("m")) & (F.col("rel") < F.col("upto")))
+    return {(parts[r["part"]][0], r["k"]): r["v"] for r in hits.select("part", "k", "v").collect()}
 
-        for (c, i), (pos, k0, k1) in plan.items():
-            lo_v, hi_v = at(c, k0), at(c, k1)
-            out[c][i] = lo_v if pos == k0 else math.fma(lo_v, 1.0 - (pos - k0), hi_v * (pos - k0))
-        return out
-    finally:
-        if persist:
-            src.unpersist()
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    by: str | None = None) -> dict[tuple, list[float | None]]:
+    """``{(group, col): [q(p) ...]}`` per value of ``by`` (a column of few
+    values, such as the label; the group is None without ``by``).  A group's
+    values are a column of their own, so all groups share the passes of
+    ``quantile_map``."""
+    if by is None:
+        return {(None, c): q for c, q in quantile_map(df, cols, probs).items()}
+    groups = [r[0] for r in df.select(by).distinct().collect()]
+    name = {(g, c): f"{i}_{c}" for i, g in enumerate(groups) for c in cols}
+    split = df.select(*[F.when(F.col(by).eqNullSafe(F.lit(g)), F.col(c)).alias(n) for (g, c), n in name.items()])
+    found = quantile_map(split, list(name.values()), probs)
+    return {key: found[n] for key, n in name.items()}

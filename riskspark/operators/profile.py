@@ -8,10 +8,12 @@ a third of all rows is combined map-side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark.functions.features import age_group
 from riskspark.functions.keys import hash_key
@@ -176,38 +178,88 @@ def box_summary(df: DataFrame, cols: Sequence[str], label: str = LABEL,
                 k: float = WHISKER_K) -> DataFrame:
     """Per (label, column): q1, median, q3, fences q1-1.5iqr / q3+1.5iqr,
     whiskers (most extreme values inside the fences) and outlier count.
-    Quartiles are exact (bucketed order statistics); the per-group stats are
-    a small table joined back to the rows."""
+    Quartiles are exact and known before the rows are read again, so whiskers
+    and outliers of all columns are one partial aggregate by label."""
     cols = [c for c in cols if c in df.columns]
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=[label])
-    qs = (q.groupBy(label, "name").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-          .toDF(label, "column", "q1", "median", "q3"))
-    qs = (qs.withColumn("lower_fence", F.col("q1") - k * (F.col("q3") - F.col("q1")))
-          .withColumn("upper_fence", F.col("q3") + k * (F.col("q3") - F.col("q1"))))
-    long = (df.select(label, *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([label], cols, "column", "v").where(F.col("v").isNotNull()))
-    j = long.join(qs, [label, "column"])
-    inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))
-    return j.groupBy(label, "column", "q1", "median", "q3", "lower_fence", "upper_fence").agg(
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("n_outliers"))
+    spark = df.sparkSession
+    quartiles = {key: q for key, q in exact_quantiles(df, cols, [0.25, 0.5, 0.75], by=label).items() if q[0] is not None}
+    fences = {key: (q1 - k * (q3 - q1), q3 + k * (q3 - q1)) for key, (q1, _, q3) in quartiles.items()}
+
+    def fence(c: str, side: int):
+        of = F.lit(None).cast("double")
+        for (g, name), ends in fences.items():
+            if name == c:
+                of = F.when(F.col(label).eqNullSafe(F.lit(g)), F.lit(ends[side])).otherwise(of)
+        return of
+
+    def box(c: str):
+        v = F.col(c).cast("double")
+        inside = v.between(fence(c, 0), fence(c, 1))
+        return F.struct(F.lit(c).alias("column"), F.min(F.when(inside, v)).alias("whisker_low"),
+                        F.max(F.when(inside, v)).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
+
+    boxes = df.groupBy(label).agg(F.array(*[box(c) for c in cols]).alias("boxes")).select(label, F.inline("boxes"))
+    names = [label, "column", "q1", "median", "q3", "lower_fence", "upper_fence"]
+    stats = spark.createDataFrame([(g, c, *q, *fences[g, c]) for (g, c), q in quartiles.items()], T.StructType(
+        [df.schema[label], T.StructField("column", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in names[2:]]]))
+    same = F.col(f"s.{label}").eqNullSafe(F.col(f"b.{label}")) & (F.col("s.column") == F.col("b.column"))
+    return stats.alias("s").join(boxes.alias("b"), same).select(*[F.col(f"s.{n}") for n in names], "whisker_low", "whisker_high", "n_outliers")
 
 
 def describe(df: DataFrame, cols: Sequence[str] = DESCRIBE_COLUMNS) -> DataFrame:
     """A3: count, mean, std (n-1), min, 25/50/75 % (exact), max per column."""
     cols = [c for c in cols if c in df.columns]
-    basic = df.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"),
-                              F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
-                              F.max(F.col(c).cast("double")).alias("max")).alias(c) for c in cols])
-    basic = (basic.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s"))
-                                              for c in cols])).alias("r"))
-             .select("r.column", "r.s.*"))
-    q = (exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-         .groupBy("name").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-         .toDF("column", "q25", "q50", "q75"))
-    return basic.join(q, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    basic = df.agg(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+        F.min(F.col(c).cast("double")).alias("min"),
+        *[F.lit(q).cast("double").alias(n) for n, q in zip(("q25", "q50", "q75"), quartiles[None, c])],
+        F.max(F.col(c).cast("double")).alias("max")) for c in cols]).alias("columns"))
+    return basic.select(F.inline("columns"))
+
+
+#: Fixed values of the density: grid points, and the exponent of Scott's bandwidth rule in one dimension.
+DENSITY_POINTS = 500
+SCOTT = -0.2
+#: Bins of a bandwidth, and bandwidths that the grid goes beyond the extremes.
+DENSITY_BINS, DENSITY_REACH = 20, 6.0
+
+
+def kernel_density(df: DataFrame, col: str, by: Sequence[str] = (), points: int = DENSITY_POINTS) -> DataFrame:
+    """Gaussian kernel density of a column per group, over all rows:
+    (by..., x, n, bandwidth, density) at ``points`` even steps.
+
+    The bandwidth is Scott's, std * n^(-1/5), per group.  Rows are counted in
+    bins of a twentieth of the group's bandwidth at most (one partial
+    aggregate), each bin keeps its mean, and the small table of bins meets the
+    grid: the error against the sum over all rows is of the second order in
+    the bin width.  The grid goes six bandwidths beyond the extremes, so the curve's area is 1.  Nulls
+    are skipped; a group of one distinct value has no density.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    size = rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    size = size.where(F.col("std") > 0).withColumn("bandwidth", F.col("std") * F.pow(F.col("n").cast("double"), F.lit(SCOTT))).drop("std")
+    size = size.withColumn("width", F.col("bandwidth") / DENSITY_BINS)
+    meet = [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
+    on = F.lit(True)
+    for m in meet:
+        on = on & m
+    # a handful of groups: as many rows as there are labels
+    binned = rows.alias("r").join(F.broadcast(size).alias("s"), on).select(
+        *[F.col(f"s.{b}") for b in by], "v", F.floor((F.col("v") - F.col("lo")) / F.col("width")).alias("bin"))
+    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("m"), F.avg("v").alias("v"))
+    reach = F.col("bandwidth") * DENSITY_REACH
+    step = (F.col("hi") - F.col("lo") + 2 * reach) / (points - 1)
+    grid = size.select(*by, "n", "bandwidth", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") - reach + i * step)).alias("x"))
+    # a bin beyond eight bandwidths adds less than 1e-14 of its rows
+    near = F.abs(F.col("s.x") - F.col("r.v")) <= 8 * F.col("s.bandwidth")
+    z = (F.col("s.x") - F.col("r.v")) / F.col("s.bandwidth")
+    share = F.col("r.m") / F.col("s.n") * F.exp(-z * z / 2) / (F.col("s.bandwidth") * math.sqrt(2 * math.pi))
+    met = F.broadcast(grid).alias("s").join(bins.alias("r"), on & near, "left")
+    return met.groupBy(*[F.col(f"s.{b}").alias(b) for b in by], "s.x", "s.n", "s.bandwidth").agg(
+        F.coalesce(F.sum(share), F.lit(0.0)).alias("density"))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, label: str = LABEL,

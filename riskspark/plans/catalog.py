@@ -130,6 +130,8 @@ def queries() -> dict[str, Query]:
     q["histogram_age_by_label"] = lambda s, d: _r(A.histogram(features(s, d), "AGE", 30, by=["TARGET"]),
                                                   ["bin_lo", "bin_hi"], 6)
     q["box_summary"] = lambda s, d: A.box_summary(features(s, d), ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AGE"])
+    q["density_ext_by_label"] = lambda s, d: _r(A.kernel_density(features(s, d), "EXT_SOURCE_2", by=["TARGET"]),
+                                                ["x", "bandwidth", "density"], 6)
     q["describe"] = lambda s, d: _r(A.describe(features(s, d)), ["mean", "std"], 6)
     q["scatter_sample"] = lambda s, d: A.scatter_sample(apps(s, d), "AMT_INCOME_TOTAL", "AMT_CREDIT")
     # split / weights

@@ -36,12 +36,25 @@ CAP_COLS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CREDIT_INCOME_RATI
 APPS_CTE = f"applications AS ({APPLICATIONS_SQL})"
 
 
+def _sorted(c: str) -> str:
+    """The column's values in order, without nulls."""
+    return f"list_sort(list(CAST({c} AS DOUBLE)) FILTER ({c} IS NOT NULL))"
+
+
+def _quantile(s: str, p: float) -> str:
+    """Linear interpolation between the neighbours in a sorted list, from the nearer one."""
+    at = f"((len({s}) - 1) * CAST({p!r} AS DOUBLE))"
+    lo, hi = f"{s}[CAST(floor({at}) AS BIGINT) + 1]", f"{s}[CAST(ceil({at}) AS BIGINT) + 1]"
+    d = f"({at} - floor({at}))"
+    return f"CASE WHEN {d} >= 0.5e0 THEN {hi} - ({hi} - {lo}) * (1 - {d}) ELSE {lo} + ({hi} - {lo}) * {d} END"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
 # F1-F18 over the applications view (values unrounded; logs rounded in reports)
-FEATS_CTE = """
+FEATS_CTE = f"""
 fa AS (
   SELECT SK_ID_CURR, TARGET, AMT_INCOME_TOTAL, AMT_CREDIT, AMT_ANNUITY, AMT_GOODS_PRICE,
     CNT_CHILDREN, CNT_FAM_MEMBERS, EXT_SOURCE_2, EXT_SOURCE_3, DAYS_BIRTH,
@@ -49,7 +62,8 @@ fa AS (
     CODE_GENDER, NAME_INCOME_TYPE, OCCUPATION_TYPE, ORGANIZATION_TYPE,
     WEEKDAY_APPR_PROCESS_START, HOUR_APPR_PROCESS_START, REGION_RATING_CLIENT
   FROM applications),
-fq AS (SELECT quantile_cont(AMT_INCOME_TOTAL, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM applications),
+fq AS (SELECT [{", ".join(_quantile("s", p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))}] AS q
+       FROM (SELECT {_sorted("AMT_INCOME_TOTAL")} AS s FROM applications) t),
 fb AS (
   SELECT fa.*,
     CAST(-DAYS_BIRTH AS DOUBLE) / 365.0e0 AS AGE,
@@ -97,14 +111,15 @@ features AS (
 
 
 def _prepared_ctes() -> list[str]:
-    med = ", ".join(f"median(CAST({c} AS DOUBLE)) AS {c}" for c in NUMERIC_COLS)
+    med = ", ".join(f"{_quantile(f's_{c}', 0.5)} AS {c}" for c in NUMERIC_COLS)
+    lists = ", ".join(f"{_sorted(c)} AS s_{c}" for c in NUMERIC_COLS)
     imp = ", ".join(f"coalesce(CAST(features.{c} AS DOUBLE), pm.{c}) AS {c}" for c in NUMERIC_COLS)
     strs = ", ".join(f"features.{c}" for c in STRING_COLS)
-    capq = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}"
-                     for c in CAP_COLS)
-    ctes = [f"pm AS (SELECT {med} FROM features)",
+    capq = ", ".join(f"{_quantile(f's_{c}', 0.25)} AS q1_{c}, {_quantile(f's_{c}', 0.75)} AS q3_{c}" for c in CAP_COLS)
+    caps = ", ".join(f"{_sorted(c)} AS s_{c}" for c in CAP_COLS)
+    ctes = [f"pm AS (SELECT {med} FROM (SELECT {lists} FROM features) t)",
             f"pi AS (SELECT features.SK_ID_CURR, features.TARGET, {imp}, {strs} FROM features, pm)",
-            f"pq AS (SELECT {capq} FROM pi)"]
+            f"pq AS (SELECT {capq} FROM (SELECT {caps} FROM pi) t)"]
     for c in STRING_COLS:
         ctes.append(f"code_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code "
                     f"FROM (SELECT DISTINCT coalesce({c}, 'MISSING') AS v FROM features) t)")
@@ -335,19 +350,25 @@ def oracle_sql() -> dict[str, str]:
             f"max(CASE WHEN v BETWEEN lf AND uf THEN v END) AS whisker_high, "
             f"CAST(sum(CASE WHEN v BETWEEN lf AND uf THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers FROM "
             f"(SELECT f.TARGET, CAST(f.{c} AS DOUBLE) AS v, s.* FROM features f JOIN "
-            f"(SELECT TARGET AS t, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, "
-            f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, "
-            f"quantile_cont(CAST({c} AS DOUBLE), 0.25) - 1.5e0 * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS lf, "
-            f"quantile_cont(CAST({c} AS DOUBLE), 0.75) + 1.5e0 * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS uf "
-            f"FROM features GROUP BY TARGET) s ON f.TARGET = s.t WHERE f.{c} IS NOT NULL) x "
+            f"(SELECT *, q1 - 1.5e0 * (q3 - q1) AS lf, q3 + 1.5e0 * (q3 - q1) AS uf FROM (SELECT TARGET AS t, "
+            f"{_quantile('s', 0.25)} AS q1, {_quantile('s', 0.5)} AS median, {_quantile('s', 0.75)} AS q3 "
+            f"FROM (SELECT TARGET, {_sorted(c)} AS s FROM features GROUP BY TARGET) l) q) s ON f.TARGET = s.t WHERE f.{c} IS NOT NULL) x "
             f"GROUP BY TARGET, q1, median, q3, lf, uf")
     q["box_summary"] = FE + " UNION ALL ".join(box)
     dcols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CNT_CHILDREN"]
     q["describe"] = FE + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-        f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, "
-        f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS q50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75, "
-        f"CAST(max({c}) AS DOUBLE) AS max FROM features" for c in dcols)
+        f"SELECT '{c}' AS \"column\", n AS count, mean, std, mn AS min, {_quantile('s', 0.25)} AS q25, {_quantile('s', 0.5)} AS q50, "
+        f"{_quantile('s', 0.75)} AS q75, mx AS max FROM (SELECT count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"CAST(min({c}) AS DOUBLE) AS mn, CAST(max({c}) AS DOUBLE) AS mx, {_sorted(c)} AS s FROM features) t" for c in dcols)
+    q["density_ext_by_label"] = FE + (
+        "SELECT TARGET, round(x, 6) AS x, n, round(bandwidth, 6) AS bandwidth, round(density, 6) AS density FROM ("
+        "WITH size AS (SELECT TARGET, count(*) AS n, min(EXT_SOURCE_2) AS lo, max(EXT_SOURCE_2) AS hi, "
+        "stddev_samp(EXT_SOURCE_2) * pow(CAST(count(*) AS DOUBLE), -0.2e0) AS bandwidth FROM features WHERE EXT_SOURCE_2 IS NOT NULL GROUP BY TARGET), "
+        "bins AS (SELECT f.TARGET, count(*) AS m, avg(EXT_SOURCE_2) AS v FROM features f JOIN size ON f.TARGET = size.TARGET "
+        "WHERE EXT_SOURCE_2 IS NOT NULL GROUP BY f.TARGET, floor((EXT_SOURCE_2 - lo) / (bandwidth / 20))), "
+        "grid AS (SELECT *, lo - 6 * bandwidth + i * ((hi - lo + 12 * bandwidth) / 499) AS x FROM size, range(500) r(i)) "
+        "SELECT grid.TARGET, x, n, bandwidth, sum(m / n * exp(-pow((x - v) / bandwidth, 2) / 2) / (bandwidth * sqrt(2 * pi()))) AS density "
+        "FROM grid JOIN bins ON grid.TARGET = bins.TARGET GROUP BY grid.TARGET, x, n, bandwidth) d")
     q["scatter_sample"] = A + (f"SELECT SK_ID_CURR, AMT_INCOME_TOTAL, AMT_CREDIT, TARGET FROM applications "
                                f"ORDER BY {HASH}, SK_ID_CURR LIMIT 5000")
     # --- split / weights -------------------------------------------------------------
@@ -489,8 +510,8 @@ def oracle_sql() -> dict[str, str]:
         mi_parts.append(
             f"SELECT '{c}' AS feature, TARGET AS y, "
             f"(SELECT count(*) FROM unnest(cuts) AS u(x) WHERE u.x < CAST(p.{c} AS DOUBLE)) AS b "
-            f"FROM prepared p, (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, "
-            f"0.6, 0.7, 0.8, 0.9]) AS cuts FROM prepared) q WHERE p.{c} IS NOT NULL")
+            f"FROM prepared p, (SELECT [{', '.join(_quantile('s', i / 10) for i in range(1, 10))}] AS cuts "
+            f"FROM (SELECT {_sorted(c)} AS s FROM prepared) l) q WHERE p.{c} IS NOT NULL")
     mi = (f"bins AS ({' UNION ALL '.join(mi_parts)}), "
           "cnt AS (SELECT feature, b, y, count(*) AS n_by FROM bins GROUP BY feature, b, y), "
           "cnt2 AS (SELECT *, sum(n_by) OVER (PARTITION BY feature) AS n, sum(n_by) OVER (PARTITION BY feature, b) AS n_b, "
