@@ -4,21 +4,25 @@
 The reference decides its schema from the data (columns above 40 % nulls
 vanish, derived columns follow their inputs).  Here that decision is one
 aggregate action at ``fit`` time; ``transform`` is then a pure projection
-that Catalyst compiles into the scan's codegen stage.  Only fitted
-statistics (a few numbers per column) ever reach the driver.
+that Catalyst compiles into the scan's codegen stage, with one equi-join per
+categorical column to its table of codes.  Only fitted statistics (a few
+numbers per column) ever reach the driver; codes stay a table whatever their
+number.  A fitted ``Preparation`` is saved and loaded as Parquet tables.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark.functions.features import derive_features
 from riskspark.operators.ordered import quantile_map
+from riskspark.session import stored
 
 # Fixed values of the preparation rules.
 KEY = "SK_ID_CURR"
@@ -28,7 +32,6 @@ MISSING_CATEGORY = "MISSING"
 CAP_COLUMNS = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CREDIT_INCOME_RATIO")
 IQR_K = 1.5
 INCOME_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
-MAX_CATEGORIES = 100_000                # category codes travel as literals up to this size
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -81,8 +84,9 @@ class FeatureModel:
 
     def transform(self, df: DataFrame, keep=()) -> DataFrame:
         """``keep``: extra columns carried through unchanged (after the
-        derived ones)."""
-        return derive_features(df.select(*self.kept, *keep), self.income_quartiles)
+        derived ones).  A kept column that a later batch lacks is left out,
+        and so are the features derived from it."""
+        return derive_features(df.select(*[c for c in self.kept if c in df.columns], *keep), self.income_quartiles)
 
 
 def clean_and_derive(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -96,7 +100,7 @@ class PrepModel:
     numeric: list[str]
     medians: dict[str, float | None]
     categorical: list[str]
-    codes: dict[str, dict[str, int]]
+    codes: DataFrame | None            # (name, value, code); None without categories
     caps: dict[str, tuple[float, float]]
     columns: list[str] = field(default_factory=list)   # output order (P4)
 
@@ -132,7 +136,7 @@ class PrepModel:
         extra columns are dropped (P4)."""
         have = set(df.columns)
         out = []
-        for c in self.columns:
+        for i, c in enumerate(self.columns):
             if c not in have:
                 out.append(F.lit(0.0).alias(c))
             elif c in self.numeric:
@@ -145,7 +149,10 @@ class PrepModel:
                     x = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
                 out.append(x.alias(c))
             elif c in self.categorical:
-                out.append(encode_category(F.col(c), self.codes[c]).alias(c))
+                # a small table is broadcast by its measured size, a large one meets the rows by a shuffle on the value
+                own = self.codes.where(F.col("name") == c).select(F.col("value").alias(f"_value_{i}"), F.col("code").alias(f"_code_{i}"))
+                df = df.join(own, category(F.col(c)) == F.col(f"_value_{i}"), "left")
+                out.append(F.coalesce(f"_code_{i}", F.lit(-1)).alias(c))
             else:
                 out.append(F.col(c))
         return df.select(*out, *keep)
@@ -155,38 +162,74 @@ class PrepModel:
         return [c for c in self.columns if c not in (KEY, LABEL)]
 
 
-def fit_category_codes(df: DataFrame, cat_cols: list[str]) -> dict[str, dict[str, int]]:
-    """Code = position in the sorted distinct values (nulls -> 'MISSING').
+def category(c):
+    """A category as it is coded: nulls are a category of their own."""
+    return F.coalesce(c, F.lit(MISSING_CATEGORY))
 
-    One distributed ``distinct`` over an unpivoted (column, value) frame; the
-    count is checked before the small (column, value) list is collected.
+
+def fit_category_codes(df: DataFrame, cat_cols: list[str]) -> DataFrame | None:
+    """(name, value, code): code = position in the column's sorted distinct values.
+
+    The distinct values are sorted over the cluster by range; a value's code is
+    its place in its task's part plus the number of the column's values in the
+    parts before, so neither a task nor the driver holds a whole column.
     """
     if not cat_cols:
-        return {}
-    long = (df.select(*[F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)).alias(c) for c in cat_cols])
-            .withColumn("_g", F.lit(0))
-            .unpivot(["_g"], cat_cols, "name", "value").select("name", "value").distinct())
-    rows = long.limit(MAX_CATEGORIES + 1).collect()      # bounded collect, size checked
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than MAX_CATEGORIES={MAX_CATEGORIES} distinct categories; "
-                         "use ml.feature.StringIndexer for high-cardinality columns")
-    vals: dict[str, list[str]] = {c: [] for c in cat_cols}
-    for r in rows:
-        vals[r["name"]].append(r["value"])
-    return {c: {v: i for i, v in enumerate(sorted(vs))} for c, vs in vals.items()}
-
-
-def encode_category(c, codes: dict[str, int]):
-    key = F.coalesce(c, F.lit(MISSING_CATEGORY))
-    if not codes:
-        return F.lit(-1)
-    m = F.create_map(*[x for kv in codes.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return F.coalesce(F.element_at(m, key), F.lit(-1)).cast("int")
-
-
-def prepare(df_clean: DataFrame, approx: bool = False) -> DataFrame:
-    """``prepare_model_data``: fit on the frame and apply to it."""
-    return PrepModel.fit(df_clean, approx=approx).transform(df_clean)
+        return None
+    values = (df.select(*[category(F.col(c)).alias(c) for c in cat_cols]).withColumn("_g", F.lit(0))
+              .unpivot(["_g"], cat_cols, "name", "value").select("name", "value").distinct())
+    placed = stored(values.repartitionByRange("name", "value").sortWithinPartitions("name", "value")
+                    .withColumn("at", F.monotonically_increasing_id()), "category-values")
+    placed = placed.withColumn("part", F.shiftright("at", 33))          # the task that numbered the row
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (placed.groupBy("name", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+             .select("name", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return stored(placed.join(parts, ["name", "part"]).select(
+        "name", "value", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("code")), "category-codes")
+
+
+@dataclass
+class Preparation:
+    """A fitted preparation as a whole: raw rows -> model-ready rows."""
+    features: FeatureModel
+    prep: PrepModel
+
+    @classmethod
+    def fit(cls, df: DataFrame, approx: bool = False) -> "Preparation":
+        fm = FeatureModel.fit_persisted(df, approx=approx)
+        return cls(fm, PrepModel.fit(fm.transform(df), approx=approx))
+
+    def transform(self, df: DataFrame, keep=()) -> DataFrame:
+        return self.prep.transform(self.features.transform(df, keep), keep)
+
+    def save(self, path: str) -> None:
+        """Tables ``raw``, ``quartiles``, ``columns`` and ``codes`` under ``path``."""
+        fm, pm = self.features, self.prep
+        spark = SparkSession.getActiveSession()
+
+        def write(name: str, rows: list, schema: str) -> None:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, name))
+
+        write("raw", [(i, c, c in fm.kept) for i, c in enumerate([*fm.kept, *fm.dropped])], "place int, name string, kept boolean")
+        write("quartiles", list(enumerate(fm.income_quartiles or [])), "place int, value double")
+        kind = lambda c: "numeric" if c in pm.numeric else "categorical" if c in pm.categorical else "other"
+        write("columns", [(i, c, kind(c), pm.medians.get(c), *pm.caps.get(c, (None, None))) for i, c in enumerate(pm.columns)],
+              "place int, name string, kind string, median double, cap_low double, cap_high double")
+        if pm.codes is not None:
+            pm.codes.write.mode("overwrite").parquet(os.path.join(path, "codes"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Preparation":
+        """A preparation saved before, perhaps by another session; a few rows per column are read."""
+        read = lambda name: spark.read.parquet(os.path.join(path, name))
+        raw, cols = read("raw").orderBy("place").collect(), read("columns").orderBy("place").collect()
+        quartiles = [r["value"] for r in read("quartiles").orderBy("place").collect()]
+        of = lambda kind: [r["name"] for r in cols if r["kind"] == kind]
+        fm = FeatureModel([r["name"] for r in raw if r["kept"]], [r["name"] for r in raw if not r["kept"]], quartiles or None)
+        return cls(fm, PrepModel(of("numeric"), {c["name"]: c["median"] for c in cols if c["kind"] == "numeric"}, of("categorical"),
+                                 read("codes") if of("categorical") else None,
+                                 {c["name"]: (c["cap_low"], c["cap_high"]) for c in cols if c["cap_low"] is not None},
+                                 [c["name"] for c in cols]))
 
 
 @dataclass

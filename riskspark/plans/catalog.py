@@ -22,7 +22,7 @@ from riskspark.operators import quality as Q
 from riskspark.operators import sampling as B
 from riskspark.operators import select as X
 from riskspark.operators.explain import linear_shap_summary
-from riskspark.operators.prep import PrepModel, clean_and_derive, standard_scale
+from riskspark.operators.prep import Preparation, PrepModel, clean_and_derive, standard_scale
 from riskspark.sources.tables import applications
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,19 @@ def _train_part(spark, sf):
     return m.train(a)
 
 
+def _later_batch(spark: SparkSession, sf: str, change: Callable) -> DataFrame:
+    """The preparation fitted on the training part, saved, loaded again and
+    applied to the test part as ``change`` leaves it."""
+    import os
+    import uuid
+    from riskspark.session import checkpoint_dir
+    a, split = _split_model(spark, sf)
+    path = os.path.join(checkpoint_dir(spark), "preparation", uuid.uuid4().hex)
+    Preparation.fit(split.train(a)).save(path)
+    batch = change(split.test(a))
+    return _r(Preparation.load(spark, path).transform(batch), [c for c in LOG_COLS], 6)
+
+
 def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The applicant table written as CSV (header, no index) into the shared
     checkpoint folder, then loaded with its schema and the label check."""
@@ -105,6 +118,10 @@ def queries() -> dict[str, Query]:
     # features / prep
     q["features"] = lambda s, d: _r(features(s, d), LOG_COLS, 6)
     q["prepared"] = lambda s, d: _r(prepared(s, d), LOG_COLS, 6)
+    # Fitted on the training part, reused on later rows; a batch without one column, with another and a new category
+    q["prepared_later_batch"] = lambda s, d: _later_batch(s, d, lambda t: t)
+    q["prepared_unlike_batch"] = lambda s, d: _later_batch(s, d, lambda t: t.drop("AMT_GOODS_PRICE").withColumns(
+        {"EXTRA": F.lit(1), "CODE_GENDER": F.when(F.col("SK_ID_CURR") % 3 == 0, "X").otherwise(F.col("CODE_GENDER"))}))
     sc_cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CREDIT_INCOME_RATIO", "AGE",
                "EXT_SOURCES_MEAN"]
     q["scaled"] = lambda s, d: _r(standard_scale(prepared(s, d).select("SK_ID_CURR", *sc_cols),

@@ -110,19 +110,36 @@ features AS (
   FROM fc, fq)"""
 
 
-def _prepared_ctes() -> list[str]:
+# B1: the stratified split by hash order
+SPLIT_CTES = (
+    "cnt AS (SELECT TARGET, count(*) AS c FROM applications GROUP BY TARGET), "
+    "tot AS (SELECT sum(c) AS n, sum(c) - CAST(ceil(0.2e0 * sum(c)) AS BIGINT) AS n_train FROM cnt), "
+    "al AS (SELECT cnt.TARGET, cnt.c, floor(CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n) AS fl, "
+    "CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n - floor(CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n) AS rem, "
+    "tot.n_train FROM cnt, tot), "
+    "al2 AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, TARGET) AS rr FROM al), "
+    "alloc AS (SELECT TARGET, c - CAST(fl + CASE WHEN rr <= need THEN 1 ELSE 0 END AS BIGINT) AS k_test FROM al2), "
+    f"ranked AS (SELECT a.*, row_number() OVER (PARTITION BY a.TARGET ORDER BY {HASH}) AS rn FROM applications a), "
+    "split AS (SELECT r.*, CASE WHEN r.rn <= alloc.k_test THEN 'test' ELSE 'train' END AS split "
+    "FROM ranked r JOIN alloc ON r.TARGET = alloc.TARGET)")
+
+
+def _prepared_ctes(fit: str = "all") -> list[str]:
+    """``fit``: the rows that medians, caps and codes come from (all, or the train part)."""
     med = ", ".join(f"{_quantile(f's_{c}', 0.5)} AS {c}" for c in NUMERIC_COLS)
     lists = ", ".join(f"{_sorted(c)} AS s_{c}" for c in NUMERIC_COLS)
     imp = ", ".join(f"coalesce(CAST(features.{c} AS DOUBLE), pm.{c}) AS {c}" for c in NUMERIC_COLS)
     strs = ", ".join(f"features.{c}" for c in STRING_COLS)
     capq = ", ".join(f"{_quantile(f's_{c}', 0.25)} AS q1_{c}, {_quantile(f's_{c}', 0.75)} AS q3_{c}" for c in CAP_COLS)
     caps = ", ".join(f"{_sorted(c)} AS s_{c}" for c in CAP_COLS)
-    ctes = [f"pm AS (SELECT {med} FROM (SELECT {lists} FROM features) t)",
+    of = lambda t: t if fit == "all" else (f"(SELECT {t}.* FROM {t} JOIN split sp ON {t}.SK_ID_CURR = sp.SK_ID_CURR "
+                                           f"WHERE sp.split = '{fit}') {t}_fit")
+    ctes = [f"pm AS (SELECT {med} FROM (SELECT {lists} FROM {of('features')}) t)",
             f"pi AS (SELECT features.SK_ID_CURR, features.TARGET, {imp}, {strs} FROM features, pm)",
-            f"pq AS (SELECT {capq} FROM (SELECT {caps} FROM pi) t)"]
+            f"pq AS (SELECT {capq} FROM (SELECT {caps} FROM {of('pi')}) t)"]
     for c in STRING_COLS:
         ctes.append(f"code_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code "
-                    f"FROM (SELECT DISTINCT coalesce({c}, 'MISSING') AS v FROM features) t)")
+                    f"FROM (SELECT DISTINCT coalesce({c}, 'MISSING') AS v FROM {of('features')}) t)")
     sel = []
     for c in NUMERIC_COLS:
         if c in CAP_COLS:
@@ -131,7 +148,7 @@ def _prepared_ctes() -> list[str]:
             sel.append(f"CASE WHEN pi.{c} IS NOT NULL THEN least(greatest(pi.{c}, {lo}), {hi}) END AS {c}")
         else:
             sel.append(f"pi.{c}")
-    sel += [f"code_{c}.code AS {c}" for c in STRING_COLS]
+    sel += [f"coalesce(code_{c}.code, -1) AS {c}" for c in STRING_COLS]
     joins = " ".join(f"LEFT JOIN code_{c} ON code_{c}.v = coalesce(pi.{c}, 'MISSING')" for c in STRING_COLS)
     ctes.append(f"prepared AS (SELECT pi.SK_ID_CURR, pi.TARGET, {', '.join(sel)} FROM pi CROSS JOIN pq {joins})")
     return ctes
@@ -140,12 +157,14 @@ def _prepared_ctes() -> list[str]:
 PREPARED_FEATURES = [c for c in FEATURE_COLS if c not in ("SK_ID_CURR", "TARGET")]
 
 
-def _base(*extra: str, features=False, prepared=False, scores=False) -> str:
+def _base(*extra: str, features=False, prepared=False, scores=False, fit="all") -> str:
     ctes = [APPS_CTE]
+    if fit != "all":
+        ctes.append(SPLIT_CTES)
     if features or prepared:
-        ctes.append(FEATS_CTE)
+        ctes.append(FEATS_CTE if fit == "all" else FEATS_CTE.replace("FROM applications) t)", f"FROM split WHERE split = '{fit}') t)"))
     if prepared:
-        ctes += _prepared_ctes()
+        ctes += _prepared_ctes(fit)
     if scores:
         ctes.append(f"scored AS ({SCORES_SQL})")
     return _with(*ctes, *extra)
@@ -274,6 +293,12 @@ def oracle_sql() -> dict[str, str]:
     q["features"] = FE + _features_report_select()
     q["prepared"] = PR + ("SELECT * EXCLUDE (" + ", ".join(LOG_COLS) + "), " +
                           ", ".join(f"round({c}, 6) AS {c}" for c in LOG_COLS) + " FROM prepared")
+    later = _base(prepared=True, fit="train") + (
+        "SELECT p.* EXCLUDE (" + ", ".join(LOG_COLS) + "), " + ", ".join(f"round(p.{c}, 6) AS {c}" for c in LOG_COLS) +
+        " FROM prepared p JOIN split sp ON p.SK_ID_CURR = sp.SK_ID_CURR WHERE sp.split = 'test'")
+    q["prepared_later_batch"] = later
+    q["prepared_unlike_batch"] = ("SELECT * REPLACE (0.0e0 AS AMT_GOODS_PRICE, CAST(CASE WHEN SK_ID_CURR % 3 = 0 THEN -1 "
+                                  "ELSE CODE_GENDER END AS INT) AS CODE_GENDER) FROM (" + later + ") t")
     sc_cols = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "CREDIT_INCOME_RATIO", "AGE", "EXT_SOURCES_MEAN"]
     q["scaled"] = PR + ("SELECT SK_ID_CURR, " + ", ".join(
         f"round((p.{c} - s.m_{c}) / CASE WHEN s.s_{c} <> 0 THEN s.s_{c} ELSE 1.0e0 END, 6) AS {c}" for c in sc_cols)
@@ -372,17 +397,7 @@ def oracle_sql() -> dict[str, str]:
     q["scatter_sample"] = A + (f"SELECT SK_ID_CURR, AMT_INCOME_TOTAL, AMT_CREDIT, TARGET FROM applications "
                                f"ORDER BY {HASH}, SK_ID_CURR LIMIT 5000")
     # --- split / weights -------------------------------------------------------------
-    split = (
-        "cnt AS (SELECT TARGET, count(*) AS c FROM applications GROUP BY TARGET), "
-        "tot AS (SELECT sum(c) AS n, sum(c) - CAST(ceil(0.2e0 * sum(c)) AS BIGINT) AS n_train FROM cnt), "
-        "al AS (SELECT cnt.TARGET, cnt.c, floor(CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n) AS fl, "
-        "CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n - floor(CAST(cnt.c * tot.n_train AS DOUBLE) / tot.n) AS rem, "
-        "tot.n_train FROM cnt, tot), "
-        "al2 AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, TARGET) AS rr FROM al), "
-        "alloc AS (SELECT TARGET, c - CAST(fl + CASE WHEN rr <= need THEN 1 ELSE 0 END AS BIGINT) AS k_test FROM al2), "
-        f"ranked AS (SELECT a.*, row_number() OVER (PARTITION BY a.TARGET ORDER BY {HASH}) AS rn FROM applications a), "
-        "split AS (SELECT r.*, CASE WHEN r.rn <= alloc.k_test THEN 'test' ELSE 'train' END AS split "
-        "FROM ranked r JOIN alloc ON r.TARGET = alloc.TARGET)")
+    split = SPLIT_CTES
     q["split_rows"] = _base(split) + "SELECT SK_ID_CURR, TARGET, split FROM split"
     q["split_summary"] = _base(split) + "SELECT split, TARGET, count(*) AS n FROM split GROUP BY split, TARGET"
     q["class_weights"] = _base(split) + (
@@ -532,8 +547,8 @@ def oracle_sql() -> dict[str, str]:
     fs = PREPARED_FEATURES
     scale = ", ".join(f"(p.{c} - st.m_{c}) / CASE WHEN st.s_{c} <> 0 THEN st.s_{c} ELSE 1.0e0 END AS {c}"
                       for c in fs)
-    knn = split + (
-        ", parts AS (SELECT p.*, sp.split FROM prepared p JOIN split sp ON p.SK_ID_CURR = sp.SK_ID_CURR), "
+    knn = (
+        "parts AS (SELECT p.*, sp.split FROM prepared p JOIN split sp ON p.SK_ID_CURR = sp.SK_ID_CURR), "
         "st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(stddev_pop({c}), 0) AS s_{c}" for c in fs)
         + " FROM parts WHERE split = 'train'), "
         f"sc AS (SELECT p.SK_ID_CURR, p.TARGET, p.split, {scale} FROM parts p, st), "
@@ -542,10 +557,10 @@ def oracle_sql() -> dict[str, str]:
         + " AS d2 FROM sc q, sc t WHERE q.split = 'test' AND t.split = 'train'), "
         "nn AS (SELECT qk, nk, ny, d2, row_number() OVER (PARTITION BY qk ORDER BY d2, nk) AS rank "
         "FROM pairs QUALIFY rank <= 5)")
-    q["knn_neighbours"] = _base(knn, prepared=True) + (
+    q["knn_neighbours"] = _base(knn, prepared=True, fit="train") + (
         "SELECT qk AS SK_ID_CURR, CAST(rank AS INT) AS rank, nk AS neighbour, ny AS neighbour_label, "
         "round(sqrt(d2), 6) AS distance FROM nn")
-    q["model_knn"] = _base(knn, prepared=True) + (
+    q["model_knn"] = _base(knn, prepared=True, fit="train") + (
         "SELECT sc.SK_ID_CURR, sc.TARGET, avg(nn.ny) AS p_knn, CAST(avg(nn.ny) >= 0.5 AS INT) AS pred_knn "
         "FROM nn JOIN sc ON sc.SK_ID_CURR = nn.qk GROUP BY sc.SK_ID_CURR, sc.TARGET")
     q["smote_balance"] = _base(split + ", c AS (SELECT TARGET, count(*) AS n FROM split "

@@ -4,8 +4,8 @@ applications -> clean/derive (fit) -> impute/encode/cap (fit) -> stratified
 split (fit) -> weights -> Spark ML fits -> scores of the test part aligned by
 key -> one grouped evaluation.
 
-Fitting sees all rows by default (``fit_on="all"``, the reference's order,
-D2); ``fit_on="train"`` fits preparation on the training part only.
+Preparation is fitted on the training part (D2); ``fit_on="all"`` fits it on
+all rows, the reference's order.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Workbench:
         self.test.unpersist()
 
 
-def workbench(spark: SparkSession, sf_dir: str, fit_on: str = "all",
+def workbench(spark: SparkSession, sf_dir: str, fit_on: str = "train",
               persist: bool = True) -> Workbench:
     # tree ensembles cut their lineage every few iterations into the
     # session's shared checkpoint folder (set here only when the session has none)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces shuffle
 # partitions at runtime, and splits skewed join partitions (a key holding a
@@ -56,3 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: later jobs
+    and lost executors read it instead of computing it again."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from riskspark.functions.features import derive_features
-from riskspark.operators.prep import FeatureModel, PrepModel, clean_and_derive
+from riskspark.operators.prep import FeatureModel, Preparation, PrepModel, clean_and_derive, fit_category_codes
 
 BASIC = ("SK_ID_CURR long, AMT_INCOME_TOTAL double, AMT_CREDIT double, DAYS_BIRTH long, "
          "DAYS_EMPLOYED long, TARGET int")
@@ -102,3 +102,36 @@ def test_zero_income_gives_null_ratio(spark):
     out = {r["SK_ID_CURR"]: r for r in derive_features(df).collect()}
     assert out[1]["CREDIT_INCOME_RATIO"] is None
     assert out[2]["CREDIT_INCOME_RATIO"] == 3.0
+
+
+def test_codes_of_many_categories(spark):
+    """200,000 distinct values and one in a third of the rows: dense codes in sorted order, as a table."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.hex(F.xxhash64("id")))).alias("a"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("b"))
+    codes = fit_category_codes(df, ["a", "b"])
+    got = {n: sorted((r["value"], r["code"]) for r in codes.where(F.col("name") == n).collect()) for n in ("a", "b")}
+    assert len(got["a"]) == 200_001 and [c for _, c in got["a"]] == list(range(200_001))
+    assert got["b"] == [(v, i) for i, v in enumerate(["MISSING", "k0", "k1", "k2", "k3", "k4"])]
+    pm = PrepModel([], {}, ["a", "b"], codes, {}, ["a", "b"])
+    out = pm.transform(df.withColumn("row", F.lit(1)), keep=["row"])
+    assert out.columns == ["a", "b", "row"] and out.count() == 300_000
+    assert out.agg(F.count_distinct("a"), F.max("a"), F.min("a")).first()[:] == (200_001, 200_000, 0)
+
+
+def test_saved_preparation_is_applied_to_a_later_batch(spark, tmp_path):
+    fit = spark.createDataFrame([(i, float(10 * i), float(i) if i % 4 else None, "abc"[i % 3] if i % 5 else None, i % 2) for i in range(40)],
+                                "SK_ID_CURR long, AMT_INCOME_TOTAL double, AMT_CREDIT double, CODE_GENDER string, TARGET int")
+    known = Preparation.fit(fit)
+    known.save(str(tmp_path / "prep"))
+    loaded = Preparation.load(spark, str(tmp_path / "prep"))
+    assert loaded.transform(fit).collect() == known.transform(fit).collect()
+    # later: a column is missing, one is new, values are far off or unknown
+    later = spark.createDataFrame([(100, 1e9, "z", 7), (101, None, None, 7), (102, 50.0, "b", 7)],
+                                  "SK_ID_CURR long, AMT_INCOME_TOTAL double, CODE_GENDER string, EXTRA int")
+    out = {r["SK_ID_CURR"]: r for r in loaded.transform(later).collect()}
+    assert loaded.transform(later).columns == known.transform(fit).columns
+    assert out[100]["AMT_INCOME_TOTAL"] == known.prep.caps["AMT_INCOME_TOTAL"][1]
+    assert out[101]["AMT_INCOME_TOTAL"] == known.prep.medians["AMT_INCOME_TOTAL"]
+    assert [out[i]["CODE_GENDER"] for i in (100, 101, 102)] == [-1, 0, 2]   # MISSING, a, b, c
+    assert all(r["AMT_CREDIT"] == 0.0 and r["CREDIT_INCOME_RATIO"] == 0.0 and r["TARGET"] == 0.0 for r in out.values())
