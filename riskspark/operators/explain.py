@@ -40,12 +40,25 @@ def linear_shap_summary(explained: DataFrame, background: DataFrame,
     return row.unpivot([], list(coefs), "feature", "mean_abs_shap")
 
 
-def shap_breakdown(shap_values: DataFrame, key_value, key: str = "SK_ID_CURR") -> DataFrame:
-    """X10 single-row breakdown: (feature, shap) of one row, by |value|."""
-    cols = [c for c in shap_values.columns if c != key]
-    one = shap_values.where(F.col(key) == key_value)
-    return (one.unpivot([key], cols, "feature", "shap")
-            .orderBy(F.abs(F.col("shap")).desc(), F.col("feature")).select("feature", "shap"))
+def attribution(rows: DataFrame, background: DataFrame, coefs: dict[str, float], intercept: float = 0.0,
+                key: str = "SK_ID_CURR") -> DataFrame:
+    """X10 breakdown of every row: (key, base, logit, parts), where parts is an
+    array of (feature, value, part), largest effect first, and base plus
+    all parts is the logit.  ``base`` is the logit of the background's means."""
+    m = background.agg(*[F.avg(c).alias(c) for c in coefs]).first()     # one mean per feature
+    base = intercept + sum(float(b) * m[c] for c, b in coefs.items())
+    part = lambda c: F.lit(float(coefs[c])) * (F.col(c) - F.lit(m[c]))
+    logit = sum((F.lit(float(b)) * F.col(c) for c, b in coefs.items()), F.lit(float(intercept)))
+    parts = F.array(*[F.struct((-F.abs(part(c))).alias("order"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), part(c).alias("part"))
+                      for c in coefs])
+    shown = F.transform(F.array_sort(parts), lambda p: F.struct(p["feature"].alias("feature"), p["value"].alias("value"), p["part"].alias("part")))
+    return rows.select(key, F.lit(base).alias("base"), logit.alias("logit"), shown.alias("parts"))
+
+
+def breakdown(attributed: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
+    """``attribution`` as a table: (key, base, logit, rank, feature, value, part)."""
+    return attributed.select(key, "base", "logit", F.posexplode("parts").alias("rank", "p")).select(
+        key, "base", "logit", (F.col("rank") + 1).alias("rank"), "p.*")
 
 
 def coefficient_table(spark: SparkSession, names: Sequence[str], coefs: Sequence[float]) -> DataFrame:

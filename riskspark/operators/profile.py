@@ -267,3 +267,21 @@ def scatter_sample(df: DataFrame, x: str, y: str, label: str = LABEL,
     """A seeded sample of at most 5,000 (x, y, label) points."""
     return (df.orderBy(hash_key(key, seed), F.col(key)).limit(rows)
             .select(key, x, y, label))
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50, by: Sequence[str] = (LABEL,)) -> DataFrame:
+    """A16 over all rows: (by..., x_bin, y_bin, n, x_min, x_max, y_min, y_max) on an
+    even ``bins`` x ``bins`` grid between the extremes (last bins closed); rows
+    without x or y are left out.  At most bins^2 rows per group."""
+    by = list(by)
+    rows = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    ends = rows.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+
+    def cell(c: str):
+        lo, hi = ends[f"{c}0"], ends[f"{c}1"]
+        if lo is None or lo == hi:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+
+    return rows.groupBy(*by, cell("x").alias("x_bin"), cell("y").alias("y_bin")).agg(
+        F.count("*").alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))

@@ -19,7 +19,6 @@ from riskspark.operators.prep import KEY, LABEL
 # Fixed values of the split: test share and seed of the reference.
 TEST_SIZE = 0.2
 SEED = 42
-HASH_BUCKET = 65536          # top 16 bits of the 32-bit hash
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: str = KEY) -> DataFrame:
@@ -28,12 +27,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: str = KEY) -> Data
     return df.orderBy(hash_key(key, seed), F.col(key)).limit(n)
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = SEED, key: str = KEY) -> DataFrame:
-    """S3 (size may vary): rows whose hash falls below ``fraction * 2^32`` —
-    a pure filter, no shuffle."""
-    return df.where(hash_key(key, seed) < F.lit(int(fraction * 4294967296)))
-
-
 def sample_info(df: DataFrame, n: int, seed: int = SEED, key: str = KEY) -> DataFrame:
     """(total_rows, sample_rows, is_sampled) beside a sample of ``n``."""
     return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
@@ -57,10 +50,40 @@ def _test_allocation(counts: dict, test_size: float) -> dict:
     return {k: counts[k] - fl[k] for k in counts}
 
 
+def rank_cuts(d: DataFrame, ranks: dict) -> dict:
+    """``{y: (hash, key)}`` of the row of rank ``ranks[y]`` (from 1; None for 0)
+    among the rows of ``y`` by (hash, key).  ``d``: ``_y``, ``_h`` (32 bits), ``_k``.
+
+    A histogram of the hashes' top 16 bits finds the bucket of each rank; a
+    window over the few rows of that bucket (about one in 65,536) finds the row."""
+    d = d.withColumn("_hb", F.shiftright("_h", 16))
+    upto = Window.partitionBy("_y").orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.lit(0)
+    for y, k in ranks.items():
+        rank = F.when(F.col("_y").eqNullSafe(F.lit(y)), F.lit(k)).otherwise(rank)
+    hist = d.groupBy("_y", "_hb").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))   # <= 65,536 rows a label
+    buckets = hist.where((F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))).select(
+        "_y", "_hb", (rank - (F.col("_upto") - F.col("_n"))).alias("_need"))
+    rows = d.alias("d").join(F.broadcast(buckets).alias("b"), F.col("d._y").eqNullSafe(F.col("b._y")) & (F.col("d._hb") == F.col("b._hb"))).select(
+        "d._y", "_h", "_k", "_need")
+    place = F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_k"))
+    found = rows.withColumn("_r", place).where(F.col("_r") == F.col("_need")).select("_y", "_h", "_k").collect()   # one row a label
+    return dict.fromkeys(ranks) | {r["_y"]: (r["_h"], r["_k"]) for r in found}
+
+
+def up_to(cut: tuple | None, h: "F.Column", key: "F.Column") -> "F.Column":
+    """Rows up to the (hash, key) pair; none for None."""
+    if cut is None:
+        return F.lit(False)
+    return (h < cut[0]) | ((h == cut[0]) & (key <= cut[1]))
+
+
 @dataclass
 class SplitModel:
-    """B1 fitted: per label, the largest hash value that goes to the test
-    part.  ``transform`` is a projection (no shuffle)."""
+    """B1 fitted: per label, the last (hash, key) pair that goes to the test
+    part.  ``transform`` is a projection (no shuffle).  Keys that share a hash
+    (equal in their lowest 32 bits) are told apart by the key, so the counts
+    are exact for all keys."""
     cut: dict
     seed: int = SEED
     key: str = KEY
@@ -69,35 +92,15 @@ class SplitModel:
     @classmethod
     def fit(cls, df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED,
             key: str = KEY, label: str = LABEL) -> "SplitModel":
-        h = hash_key(key, seed)
-        d = df.select(F.col(label).alias("_y"), h.alias("_h"))
-        d = d.withColumn("_hb", (F.col("_h") / HASH_BUCKET).cast("bigint"))
-        hist = d.groupBy("_y", "_hb").agg(F.count(F.lit(1)).alias("_n"))   # <= labels x 65536 rows
-        counts = {r["_y"]: r["_n"] for r in hist.groupBy("_y").agg(F.sum("_n").alias("_n")).collect()}
-        alloc = _test_allocation(counts, test_size)
-        w = Window.partitionBy("_y").orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)
-        k = F.create_map(*[x for kv in alloc.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        cum = hist.withColumn("_cum", F.sum("_n").over(w)).withColumn("_k", F.element_at(k, F.col("_y")))
-        bnd = (cum.where((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
-               .select("_y", "_hb", (F.col("_k") - (F.col("_cum") - F.col("_n"))).alias("_need"))
-               .collect())
-        cut = {y: -1 for y in counts}
-        if bnd:
-            bucket = {r["_y"]: (r["_hb"], r["_need"]) for r in bnd}
-            cond = None
-            for y, (hb, _) in bucket.items():
-                c = (F.col("_y") == y) & (F.col("_hb") == hb)
-                cond = c if cond is None else cond | c
-            need = F.create_map(*[x for y, (_, nd) in bucket.items() for x in (F.lit(y), F.lit(nd))])
-            wr = Window.partitionBy("_y").orderBy("_h")
-            picked = (d.where(cond).withColumn("_r", F.row_number().over(wr))   # <= 65536 rows per label
-                      .where(F.col("_r") == F.element_at(need, F.col("_y"))).select("_y", "_h").collect())
-            cut.update({r["_y"]: r["_h"] for r in picked})
-        return cls(cut, seed, key, label)
+        d = df.select(F.col(label).alias("_y"), hash_key(key, seed).alias("_h"), F.col(key).alias("_k"))
+        counts = {r["_y"]: r["n"] for r in d.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return cls(rank_cuts(d, _test_allocation(counts, test_size)), seed, key, label)
 
     def is_test(self) -> "F.Column":
-        m = F.create_map(*[x for kv in self.cut.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        return hash_key(self.key, self.seed) <= F.coalesce(F.element_at(m, F.col(self.label)), F.lit(-1))
+        out = F.lit(False)
+        for y, cut in self.cut.items():
+            out = F.when(F.col(self.label).eqNullSafe(F.lit(y)), up_to(cut, hash_key(self.key, self.seed), F.col(self.key))).otherwise(out)
+        return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("split", F.when(self.is_test(), "test").otherwise("train"))
@@ -109,13 +112,6 @@ class SplitModel:
         return df.where(self.is_test())
 
 
-def hash_split(df: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED,
-               key: str = KEY) -> DataFrame:
-    """B1 scale mode: test iff hash < test_size * 2^32 (share varies a little)."""
-    return df.withColumn("split", F.when(hash_key(key, seed) < F.lit(int(test_size * 4294967296)),
-                                         "test").otherwise("train"))
-
-
 def split_summary(split_df: DataFrame, label: str = LABEL) -> DataFrame:
     """(split, label, n) counts of a split frame."""
     return split_df.groupBy("split", label).agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ from riskspark.operators import profile as A
 from riskspark.operators import quality as Q
 from riskspark.operators import sampling as B
 from riskspark.operators import select as X
-from riskspark.operators.explain import linear_shap_summary
+from riskspark.operators.explain import attribution, breakdown, linear_shap_summary
 from riskspark.operators.prep import Preparation, PrepModel, clean_and_derive, standard_scale
 from riskspark.sources.tables import applications
 
@@ -110,6 +110,8 @@ def queries() -> dict[str, Query]:
     q["range_checks"] = lambda s, d: Q.range_checks(apps(s, d), RANGE_RULES)
     q["record_checks"] = lambda s, d: Q.check_records(S.request_fields(apps(s, d)))
     q["batch_summary"] = lambda s, d: Q.batch_summary(Q.check_records(S.request_fields(apps(s, d))))
+    q["frame_checks"] = lambda s, d: Q.frame_checks(apps(s, d), REQUIRED_COLUMNS)                  # Q1
+    q["batch_size"] = lambda s, d: Q.batch_size(S.request_fields(apps(s, d)))                        # Q5
     q["null_top"] = lambda s, d: Q.top_null_columns(apps(s, d))
     q["null_limit"] = lambda s, d: Q.kept_columns(apps(s, d))
     q["null_by_target"] = lambda s, d: Q.null_rate_by_label(apps(s, d))
@@ -151,6 +153,7 @@ def queries() -> dict[str, Query]:
                                                 ["x", "bandwidth", "density"], 6)
     q["describe"] = lambda s, d: _r(A.describe(features(s, d)), ["mean", "std"], 6)
     q["scatter_sample"] = lambda s, d: A.scatter_sample(apps(s, d), "AMT_INCOME_TOTAL", "AMT_CREDIT")
+    q["scatter_bins"] = lambda s, d: A.scatter_bins(apps(s, d), "AMT_INCOME_TOTAL", "AMT_CREDIT")
     # split / weights
     q["split_rows"] = lambda s, d: (lambda a_m: a_m[1].transform(a_m[0]).select(
         "SK_ID_CURR", "TARGET", "split"))(_split_model(s, d))
@@ -198,9 +201,13 @@ def queries() -> dict[str, Query]:
     q["mutual_info"] = lambda s, d: _r(_mi(s, d), ["mutual_info"], 9)
     # explanation on the deterministic linear model
     q["linear_shap_summary"] = lambda s, d: _r(_shap(s, d), ["mean_abs_shap"], 9)
+    q["linear_shap_breakdown"] = lambda s, d: _r(breakdown(attribution(*_linear(s, d))), ["base", "logit", "value", "part"], 9)
     return q
 
 
+REQUIRED_COLUMNS = ("SK_ID_CURR", "TARGET", "AMT_INCOME_TOTAL", "EXT_SOURCE_1", "NAME_HOUSING_TYPE")
+
+
 def _band_counts(sc: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     g = sc.groupBy(S.band_batch(F.col("p_logistic")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
@@ -217,9 +224,13 @@ def _mi(s, d):
     return X.mutual_information(p, X.feature_columns(p))
 
 
-def _shap(s, d):
+def _linear(s, d):
+    """Rows, background and coefficients of the deterministic linear model."""
     a = apps(s, d)
     lin = a.select("SK_ID_CURR", (S.credit_income_capped() / 10).alias("credit_ratio_capped"),
                    F.coalesce(F.col("EXT_SOURCE_2"), F.lit(0.5)).alias("ext_source_2_filled"))
-    return linear_shap_summary(lin, lin,
-                               {"credit_ratio_capped": 0.8, "ext_source_2_filled": -1.5})
+    return lin, lin, {"credit_ratio_capped": 0.8, "ext_source_2_filled": -1.5}
+
+
+def _shap(s, d):
+    return linear_shap_summary(*_linear(s, d))

@@ -275,6 +275,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", {i} AS position, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
         f"CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_rate FROM applications"
         for i, c in enumerate(app_cols))
+    q["frame_checks"] = A + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {str(have).lower()} AS present, count(*) AS n_rows, {n} AS n_values, {n} > 0 AS usable FROM applications"
+        for c in ("SK_ID_CURR", "TARGET", "AMT_INCOME_TOTAL", "EXT_SOURCE_1", "NAME_HOUSING_TYPE")
+        for have in (c in app_cols,) for n in (f"count({c})" if have else "CAST(0 AS BIGINT)",))
+    q["batch_size"] = A + ("SELECT count(*) AS n_records, CAST(1 AS BIGINT) AS least, CAST(10000 AS BIGINT) AS most, "
+                           "count(*) BETWEEN 1 AND 10000 AS within FROM applications")
     q["null_top"] = A + (f"SELECT \"column\", null_count, null_rate FROM ({ns}) t WHERE null_count > 0 "
                          "ORDER BY null_count DESC, \"column\" LIMIT 20")
     q["null_limit"] = A + f"SELECT \"column\", null_rate, null_rate <= 0.4 AS kept FROM ({ns}) t"
@@ -396,6 +402,11 @@ def oracle_sql() -> dict[str, str]:
         "FROM grid JOIN bins ON grid.TARGET = bins.TARGET GROUP BY grid.TARGET, x, n, bandwidth) d")
     q["scatter_sample"] = A + (f"SELECT SK_ID_CURR, AMT_INCOME_TOTAL, AMT_CREDIT, TARGET FROM applications "
                                f"ORDER BY {HASH}, SK_ID_CURR LIMIT 5000")
+    q["scatter_bins"] = A + (
+        "SELECT TARGET, CAST(least(floor((x - x0) / (x1 - x0) * 50), 49) AS INT) AS x_bin, CAST(least(floor((y - y0) / (y1 - y0) * 50), 49) AS INT) AS y_bin, "
+        "count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM (SELECT TARGET, AMT_INCOME_TOTAL AS x, AMT_CREDIT AS y, "
+        "min(AMT_INCOME_TOTAL) OVER () AS x0, max(AMT_INCOME_TOTAL) OVER () AS x1, min(AMT_CREDIT) OVER () AS y0, max(AMT_CREDIT) OVER () AS y1 "
+        "FROM applications WHERE AMT_INCOME_TOTAL IS NOT NULL AND AMT_CREDIT IS NOT NULL) t GROUP BY ALL")
     # --- split / weights -------------------------------------------------------------
     split = SPLIT_CTES
     q["split_rows"] = _base(split) + "SELECT SK_ID_CURR, TARGET, split FROM split"
@@ -543,6 +554,11 @@ def oracle_sql() -> dict[str, str]:
     q["linear_shap_summary"] = _base(lin) + (
         "SELECT 'credit_ratio_capped' AS feature, round(avg(abs(0.8e0 * (credit_ratio_capped - m1))), 9) AS mean_abs_shap "
         "FROM ex, bg UNION ALL SELECT 'ext_source_2_filled', round(avg(abs(-1.5e0 * (ext_source_2_filled - m2))), 9) FROM ex, bg")
+    q["linear_shap_breakdown"] = _base(lin) + (
+        "SELECT SK_ID_CURR, round(0.8e0 * m1 - 1.5e0 * m2, 9) AS base, round(0.8e0 * credit_ratio_capped - 1.5e0 * ext_source_2_filled, 9) AS logit, "
+        "CAST(row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY abs(p.part) DESC, p.feature) AS INT) AS rank, p.feature, round(p.value, 9) AS value, "
+        "round(p.part, 9) AS part FROM (SELECT *, unnest([{'feature': 'credit_ratio_capped', 'value': credit_ratio_capped, 'part': 0.8e0 * (credit_ratio_capped - m1)}, "
+        "{'feature': 'ext_source_2_filled', 'value': ext_source_2_filled, 'part': -1.5e0 * (ext_source_2_filled - m2)}]) AS p FROM ex, bg) t")
     # --- k-NN (M6) and SMOTE counts (B4): brute force over all pairs (oracle only) ---------
     fs = PREPARED_FEATURES
     scale = ", ".join(f"(p.{c} - st.m_{c}) / CASE WHEN st.s_{c} <> 0 THEN st.s_{c} ELSE 1.0e0 END AS {c}"

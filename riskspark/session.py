@@ -45,13 +45,16 @@ def local_session(app: str = "riskspark", cpus: int | str = "*",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
-    unset, as in local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  Where it is unset,
+    a local session (tests) gets a scratch folder; on a cluster, whose machines
+    share no local folder, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         d = tempfile.mkdtemp(prefix="riskspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

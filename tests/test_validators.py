@@ -1,6 +1,6 @@
 """Record, frame and range validation (reference's validator tests)."""
 from riskspark.functions.scores import api_feature_vector
-from riskspark.operators.quality import batch_summary, check_records, range_checks, validate_frame
+from riskspark.operators.quality import batch_summary, check_records, frame_checks, range_checks, batch_size
 
 REQ = ("SK_ID_CURR long, amt_income_total double, amt_credit double, amt_annuity double, "
        "cnt_children long, ext_source_2 double, ext_source_3 double, age double, employ_years double")
@@ -25,12 +25,16 @@ def test_api_vector_defaults(spark):
     assert r["CNT_CHILDREN"] == 0.0 and r["EMPLOY_YEARS"] == 0.0
 
 
-def test_validate_frame(spark):
-    df = spark.createDataFrame([(1, 2)], "a long, b long")
-    assert validate_frame(df, ["a", "b"]) == (True, None)
-    ok, msg = validate_frame(df, ["a", "c"])
-    assert not ok and "c" in msg
-    assert validate_frame(df.limit(0), ["a"])[0] is False
+def test_frame_checks(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a long, b long")
+    got = {r["column"]: tuple(r)[1:] for r in frame_checks(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": (True, 2, 2, True), "b": (True, 2, 0, False), "c": (False, 2, 0, False)}
+    assert not any(r["usable"] for r in frame_checks(df.limit(0), ["a"]).collect())
+
+
+def test_batch_size(spark):
+    df = spark.createDataFrame([(1,), (2,)], "a long")
+    assert batch_size(df).first()["within"] and not batch_size(df.limit(0)).first()["within"] and not batch_size(df, most=1).first()["within"]
 
 
 def test_range_rule(spark):
