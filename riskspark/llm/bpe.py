@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import table
+from riskspark.llm.shared import table, tidy
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 KNOWN_BYTES = 6_000_000
 FOLD_BYTES = 200
 #: A prime, so that pairs with a common left or right id spread over the slots.
@@ -265,12 +265,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     if len(ranks) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes and fewer than 65,536 tokens")
     rest = T.StructType([f for f in docs.schema if f.name != text])
-    blocks = docs.mapInArrow(_to_blocks(ranks, exact_pattern(pattern), text, block_chars, known_bytes),
+    blocks = docs.mapInArrow(tidy(_to_blocks(ranks, exact_pattern(pattern), text, block_chars, known_bytes)),
                              "kept binary, sizes binary, codes binary, first bigint, words array<array<int>>")
     known = blocks.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each block
     folded = known.select("kept", "sizes", "codes", "first", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
     out = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())])
-    return folded.mapInArrow(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out)), out)
+    return folded.mapInArrow(tidy(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out))), out)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -303,7 +303,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataF
                 out = pa.Table.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
                 yield from out.cast(arrow).to_batches()
 
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(tidy(run), schema)
 
 
 def public_tokenizer() -> tuple[dict[bytes, int], str]:
