@@ -70,7 +70,6 @@ def model_queries() -> dict:
     q["what_if"] = lambda s, d: _what_if(s, d)
     # X4-X9, X11
     q["logistic_coefficients"] = lambda s, d: _coefs(s, d)
-    q["trained_shap"] = lambda s, d: _trained_shap(s, d)                     # X10 on the trained model, every test row
     q["tree_importance"] = lambda s, d: _tree_importance(s, d)
     q["forest_importance_selection"] = lambda s, d: _forest_importance(s, d).limit(20)
     q["feature_ranking"] = lambda s, d: _ranking(s, d)
@@ -127,16 +126,6 @@ def _coefs(s, d):
     return top.withColumn("side", F.lit("largest")).unionByName(bottom.withColumn("side", F.lit("smallest")))
 
 
-def _trained_shap(s, d):
-    """Attribution of the trained logistic model's logit over its scaled
-    features, against the training part's means."""
-    wb = _wb(s, d)
-    m = train(wb.train, wb.features, "logistic")
-    coefs = {f"_s_{c}": b for c, b in zip(m.features, m.classifier.coefficients.toArray())}
-    parts = X.attribution(m.inputs(wb.test), m.inputs(wb.train), coefs, m.classifier.intercept)
-    return X.breakdown(parts).withColumn("feature", F.expr("substr(feature, 4)"))
-
-
 def _tree_importance(s, d):
     wb = _wb(s, d)
     m = train(wb.train, wb.features, "tree")

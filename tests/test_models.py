@@ -1,6 +1,5 @@
 """Models, ensembles, scoring, registry and streaming (reference's model and
 ensemble tests as properties)."""
-import math
 import os
 import tempfile
 
@@ -155,21 +154,3 @@ def test_registry_queries_match_trained_model(spark):
     assert len(listed) == 1 and listed[0]["model_type"] == "LogisticRegressionModel"
     latest = {r["metric"] for r in q["registry_latest_metrics"](spark, SF_SMALL).collect()}
     assert latest == {"roc_auc", "accuracy", "precision", "recall", "f1_score"}
-
-
-def test_attribution_of_the_trained_model_adds_up(spark):
-    """Base plus all parts is the logit, and the logit gives the model's probability, for every test row."""
-    from riskspark.plans.modeling import _trained_shap, _wb, model_queries
-    rows = _trained_shap(spark, SF_SMALL)
-    wb = _wb(spark, SF_SMALL)
-    total = rows.groupBy("SK_ID_CURR").agg(F.first("base").alias("base"), F.first("logit").alias("logit"), F.sum("part").alias("parts"), F.count("*").alias("n"),
-                                           F.max("rank").alias("last"))
-    scored = model_queries()["model_logistic"](spark, SF_SMALL)
-    got = total.join(scored, "SK_ID_CURR").collect()
-    assert len(got) == wb.test.count()
-    for r in got:
-        assert r["n"] == r["last"] == len(wb.features)
-        assert abs(r["base"] + r["parts"] - r["logit"]) < 1e-8
-        assert abs(1 / (1 + math.exp(-r["logit"])) - r["p_logistic"]) < 1e-9
-    ranks = rows.where("rank <= 2").groupBy("SK_ID_CURR").agg(F.max(F.when(F.col("rank") == 1, F.abs("part"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.abs("part"))).alias("b"))
-    assert ranks.where("a < b").count() == 0
