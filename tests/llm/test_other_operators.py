@@ -187,6 +187,9 @@ def test_extra_columns_with_names_of_results(spark):
     coded = bpe.encode(docs, ranks, pattern)
     assert coded.columns == ["doc_id", "score", "kept", "spans", "n_bytes", "ids", "ids_le"]
     assert all(len(r["ids"]) > 9 and r["spans"] == "x" for r in coded.collect())
+    back = bpe.decode(coded.withColumn("decoded", F.lit(3)), ranks)
+    assert back.columns == [*coded.columns, "decoded"]
+    assert all(bytes(r["decoded"]).decode() == f"some words {r['doc_id']} " * 12 for r in back.collect())
     left = suffixes.without_repeats(docs)
     assert left.columns == ["doc_id", "score", "spans", "ids", "ids_le", "n_bytes", "n_removed", "n_spans", "kept"]
     assert all(r["n_bytes"] > 100 and r["spans"] == "x" for r in left.collect())

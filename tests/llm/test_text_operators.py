@@ -188,15 +188,33 @@ def test_encoding_equals_the_library_and_decodes(spark, texts):
         assert bytes(got[i]["decoded"]) == (t or "").encode()
 
 
-def test_words_remembered_across_blocks(spark, texts):
-    """One task, tiny blocks: words come back from earlier blocks, and the memory starts anew."""
+def test_words_of_many_blocks(spark, texts):
+    """Tiny blocks share words; a word whose places fill several batches is folded in each."""
     ranks, pattern = bpe.public_tokenizer()
     want = {i: r["ids"] for i, r in by_id(bpe.encode(frame(spark, texts), ranks, pattern)).items()}
-    for known_bytes in (0, 200, 1 << 20):
-        got = by_id(bpe.encode(frame(spark, texts).coalesce(1), ranks, pattern, block_chars=300, known_bytes=known_bytes))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for block_chars, tasks, batch in ((300, 1, old), (5000, 3, "100")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = by_id(bpe.encode(frame(spark, texts).repartition(tasks), ranks, pattern, block_chars=block_chars))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
         assert {i: r["ids"] for i, r in got.items()} == want
 
 
+def test_byte_bpe_equals_the_library_on_a_whole_table(spark):
+    ranks, _ = bpe.public_tokenizer()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = by_id(bpe.op2_byte_bpe(spark, "/root/testdata/sf0.001"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) > 0
+    for r in docs:
+        ids, text = library.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()
+        g = got[r["doc_id"]]
+        assert g["n_tokens"] == len(ids) and g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert g["decoded_sha256"] == hashlib.sha256(text).hexdigest()
+
+
 def test_heap_and_fold_agree_with_the_library(spark):
     ranks, _ = bpe.public_tokenizer()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
