@@ -1,17 +1,14 @@
 """Byte-level BPE encoding and decoding (operator 2).
 
-A task cuts its documents into blocks of about ``BLOCK_CHARS`` characters, splits
-each text into words by the tokenizer's pattern and replaces every word by a code:
-its token id, if it is a token as a whole, else its place among the block's distinct
-other words.  The blocks are written to the shared folder.  Their words are dealt by
-word and sorted, so that a word of many blocks is folded once: a Spark ``aggregate``
-over the ids of its bytes merges, at every step, the leftmost pair of lowest rank that
-the rank map knows.  The ids go back to the blocks by (block, place), and every
-document takes the ids of its words.
-
-A block lists a word once, so a frequent word weighs no more than the number of
-blocks, and its rows pass a task as a stream.  A block holds one text more than
-``BLOCK_CHARS`` characters at most, which bounds the groups that are put together.
+A task cuts its documents into blocks of about ``BLOCK_CHARS`` characters and
+splits each text into words by the tokenizer's pattern.  The block's distinct
+words that are no token as a whole travel as arrays of byte ids in one row; a
+Spark ``aggregate`` folds each of them, at every step merging the leftmost pair
+of lowest rank that the rank map knows.  The block is then put together again:
+every word of every document takes its ids by position.  A task remembers the
+words of its earlier blocks, up to ``KNOWN_BYTES`` of them, then starts anew; so
+a word is folded once, not in every block.  Nothing is shuffled, and a lost
+executor's task is done again from its input alone.
 
 The rank map (pair of ids -> id of the merged token) is one constant of the
 plan: an array of small maps, found by ``pair mod MAP_SLOTS``, because a lookup
@@ -38,16 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import staged, table, tidy
+from riskspark.llm.shared import table, tidy
 
-BLOCK_CHARS = 4_000_000
-FOLD_BYTES = 200
+BLOCK_CHARS = 2_000_000
+KNOWN_BYTES = 6_000_000
+FOLD_BYTES = 200  # at most 254, see ``fold``
+#: Neither a rank nor an id.
+NO_RANK = 0xFFFF
 #: A prime, so that pairs with a common left or right id spread over the slots.
 MAP_SLOTS = 262_147
 #: White space as Unicode lists it; Python's own class also has 1C to 1F.
@@ -110,34 +109,42 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Codes(dict):
-    """word -> code: the place of a word to fold among the block's, or -1 - id."""
+    """word -> code: a folded word's position, or -1 - id.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.words, self.long = [], []
+    ``words`` are the words that the open block adds, the first of them at
+    position ``first``."""
+
+    def __init__(self, ranks: dict[bytes, int], known_bytes: int):
+        self.ranks, self.known_bytes = ranks, known_bytes
+        self.words, self.long, self.first, self.bytes = [], [], 0, 0
+
+    def next_block(self) -> _Codes:
+        if self.bytes > self.known_bytes:
+            return _Codes(self.ranks, self.known_bytes)
+        self.first, self.words = self.first + len(self.words), []
+        return self
 
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8")
         whole = self.ranks.get(raw)
+        self.bytes += len(raw)
         if whole is not None:
             code = -1 - whole
         elif len(raw) > FOLD_BYTES:
             code = _LONG - len(self.long)
             self.long.append(np.array(heap_merge(raw, self.ranks), np.int32))
         else:
-            code = len(self.words)
+            code = self.first + len(self.words)
             self.words.append(raw)
         self[word] = code
         return code
 
 
-_BLOCKS = "block bigint, kept binary, sizes binary, codes binary, words array<binary>"
-
-
-def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int):
+def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int):
     split = regex.compile(pattern).findall
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def close(block: int, kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> pa.RecordBatch:
+    def close(kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, kept[0].schema) as w:
             for k in kept:
@@ -145,16 +152,18 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
         if codes.long:  # spell them out
             docs = [d if not len(d) or d.min() > _LONG else np.concatenate(
                 [-1 - codes.long[_LONG - c] if c <= _LONG else np.array([c], np.int32) for c in d.tolist()]) for d in docs]
+        raw = np.frombuffer(b"".join(codes.words), np.uint8)
+        ends = np.cumsum([0, *map(len, codes.words)]).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[raw]))
         return pa.RecordBatch.from_arrays([
-            pa.array([block], pa.int64()),
             pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             pa.array([np.array([len(d) for d in docs], np.int32).tobytes()], pa.binary()),
-            pa.array([pa.compress(np.concatenate([*docs, np.array([], np.int32)]).astype(np.int32).tobytes(), "zstd", asbytes=True)], pa.binary()),
-            pa.array([codes.words], pa.list_(pa.binary()))], ["block", "kept", "sizes", "codes", "words"])
+            pa.array([np.concatenate([*docs, np.array([], np.int32)]).astype(np.int32).tobytes()], pa.binary()),
+            pa.array([codes.first], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        kept, codes, docs, chars = [], _Codes(ranks), [], 0
+        kept, codes, docs, chars = [], _Codes(ranks, known_bytes), [], 0
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             start = 0
@@ -163,99 +172,49 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
                 docs.append(np.fromiter(map(codes.__getitem__, split(t)), np.int32))
                 chars += len(t)
                 if chars >= block_chars:
-                    yield close(block, [*kept, batch.slice(start, i + 1 - start).drop_columns([text])], codes, docs)
-                    block += 1
-                    kept, codes, docs, chars, start = [], _Codes(ranks), [], 0, i + 1
+                    yield close([*kept, batch.slice(start, i + 1 - start).drop_columns([text])], codes, docs)
+                    kept, codes, docs, chars, start = [], codes.next_block(), [], 0, i + 1
             if start < batch.num_rows:
                 kept.append(batch.slice(start).drop_columns([text]))
         if docs:
-            yield close(block, kept, codes, docs)
+            yield close(kept, codes, docs)
 
     return run
 
 
-def _spelled(ranks: dict[bytes, int]):
-    """(block, place, word) sorted by word -> a row a batch: its distinct words as
-    byte ids, and for each place the word's number in the row."""
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
+def _from_blocks(vocabulary: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)  # ids of the words known so far
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block, place, word = (batch.column(batch.schema.get_field_index(n)) for n in ("block", "place", "word"))
-            word = word.dictionary_encode()
-            texts = word.dictionary.to_pylist()
-            ends = np.cumsum([0, *map(len, texts)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(texts), np.uint8)]))
-            packed = [np.asarray(block).astype(np.int64), np.asarray(place).astype(np.int32), np.asarray(word.indices).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes()], pa.binary()) for x in packed]
-                + [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), words)],
-                ["blocks", "places", "which", "words"])
-
-    return run
-
-
-def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values and the offsets of the lists in them."""
-    ends = np.asarray(lists.offsets).astype(np.int64)
-    return np.asarray(lists.values)[ends[0]:ends[-1]].astype(np.int32), ends - ends[0]
-
-
-def _taken(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of the runs that start at ``starts``, one after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folded words -> a row for each block: places, lengths and ids of its words."""
-    names = ["block", "places", "lengths", "ids"]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            blocks, places, which = (np.frombuffer(batch.column(batch.schema.get_field_index(n))[i].as_py(), kind)
-                                     for n, kind in (("blocks", np.int64), ("places", np.int32), ("which", np.int32)))
-            flat, ends = _lists(batch.column(batch.schema.get_field_index("folded"))[i].values)
-            order = np.argsort(blocks, kind="stable")
-            which = which[order]
-            lengths = (ends[1:] - ends[:-1])[which]
-            ids = flat[_taken(ends[:-1][which], lengths)]
-            own, first = np.unique(blocks[order], return_index=True)
-            stops = np.concatenate([[0], np.cumsum(lengths)])
-            rows = []
-            for a, b in zip(first, [*first[1:], len(order)]):
-                rows.append([places[order[a:b]].tobytes(), lengths[a:b].astype(np.int32).tobytes(), ids[stops[a]:stops[b]].tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array(own)] + [pa.array(x, pa.binary()) for x in zip(*rows)], names)
-
-
-def _from_blocks(vocabulary: int, schema: pa.Schema):
-    def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        if block.num_rows != 1:
-            raise RuntimeError("words of a block that is not there")
-        kept, sizes, codes, n_words = (block.column(n)[0].as_py() for n in ("kept", "sizes", "codes", "n_words"))
-        rest = pa.Table.from_batches(pa.ipc.open_stream(kept))
-        sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
-        codes = np.frombuffer(pa.decompress(codes, decompressed_size=int(sizes.sum()) * 4, codec="zstd"), np.int32)
-        places, sized, flat = (np.frombuffer(b"".join(words.column(n).to_pylist()), np.int32) for n in ("places", "lengths", "ids"))
-        if len(places) != n_words:
-            raise RuntimeError("a block lacks words")
-        word_starts, word_lengths = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-        word_starts[places], word_lengths[places] = np.cumsum(sized, dtype=np.int64) - sized, sized
-        # behind the folded words' ids: every id, for words that are one token
-        ids_table = np.concatenate([flat, np.arange(vocabulary, dtype=np.int32)])
-        single = codes < 0
-        lengths = np.ones(len(codes), np.int64)
-        lengths[~single] = word_lengths[codes[~single]]
-        starts = np.where(single, len(flat) - 1 - codes.astype(np.int64), 0)
-        starts[~single] = word_starts[codes[~single]]
-        ids = ids_table[_taken(starts, lengths)].astype(np.int32)
-        cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [
-            None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
-        out = pa.Table.from_arrays([*rest.columns, lists, packed], names=[*rest.column_names, "ids", "ids_le"])
-        return pa.Table.from_batches(out.cast(schema).to_batches(max_chunksize=2000), schema)
+            for i in range(batch.num_rows):
+                first = batch.column(batch.schema.get_field_index("first"))[i].as_py()
+                if not first:
+                    flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)
+                if first != len(offsets) - 1:
+                    raise RuntimeError("the blocks of a task are out of order")
+                kept, sizes, codes, folded = (batch.column(batch.schema.get_field_index(n))[i] for n in ("kept", "sizes", "codes", "folded"))
+                rest = pa.Table.from_batches(pa.ipc.open_stream(kept.as_py()))
+                sizes, codes = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, codes))
+                lists = folded.values
+                if len(lists):
+                    added = np.asarray(lists.offsets).astype(np.int64)
+                    offsets = np.concatenate([offsets, len(flat) + added[1:] - added[0]])
+                    flat = np.concatenate([flat, np.asarray(lists.values)[added[0]:added[-1]]])
+                # behind the folded words' ids: every id, for words that are one token
+                ids_table = np.concatenate([flat, np.arange(vocabulary, dtype=np.int32)])
+                single = codes < 0
+                lengths = np.ones(len(codes), np.int64)
+                lengths[~single] = np.diff(offsets)[codes[~single]]
+                starts = np.where(single, len(flat) - 1 - codes.astype(np.int64), 0)
+                starts[~single] = offsets[:-1][codes[~single]]
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                ids = ids_table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
+                cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [
+                    None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                out = pa.Table.from_arrays([*rest.columns, lists, packed], names=[*rest.column_names, "ids", "ids_le"])
+                yield from out.cast(schema).to_batches(max_chunksize=2000)
 
     return run
 
@@ -272,52 +231,57 @@ def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
 def fold(word: Column, ranks: Column) -> Column:
     """Ids of one word from the ids of its bytes, by ranked merges.
 
-    The state is the word's ids and, for each two neighbours, the id that they
-    merge to (null: none); a merge looks up its two new pairs only."""
-    def known(a: Column, b: Column) -> Column:
-        pair = F.shiftleft(a.cast("long"), 16) + b
-        return F.try_element_at(F.get(ranks, F.pmod(pair, F.lit(MAP_SLOTS)).cast("int")), pair)
-
-    def state(ids: Column, found: Column) -> Column:
-        return F.struct(ids.alias("ids"), found.alias("found"))
-
-    def merged(ids: Column, found: Column, at: Column) -> Column:
-        low = F.get(found, at - 1)
-        left = F.when(at > 1, F.array(known(F.get(ids, at - 2), low))).otherwise(F.array().cast("array<int>"))
-        right = F.when(at < F.size(found), F.array(known(low, F.get(ids, at + 1)))).otherwise(F.array().cast("array<int>"))
-        return state(
-            F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))),
-            F.concat(F.slice(found, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(found, at + 2, F.size(found))))
+    The state is one array of longs, an element for each piece: the rank at which
+    it merges with the piece behind it (``NO_RANK``: not at all), its position in the
+    array, its id.  So the smallest element is the leftmost pair of lowest rank and
+    tells where it stands.  A merge replaces three elements by two, looks up their two
+    new pairs only and moves the elements behind up by one.  An element of no id
+    stands in front, so that every pair has a piece before it."""
+    def element(a: Column, b: Column, rest: Column) -> Column:
+        pair = F.shiftleft(a, 16) + b
+        rank = F.try_element_at(F.get(ranks, F.pmod(pair, F.lit(MAP_SLOTS)).cast("int")), pair)
+        return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("long"), 24) + rest
+
+    def piece(e: Column) -> Column:
+        return e.bitwiseAND(F.lit(0xFFFF).cast("long"))
+
+    def merged(s: Column, low: Column) -> Column:
+        at = F.shiftright(low, 16).bitwiseAND(F.lit(0xFF).cast("long")).cast("int")
+        rank = F.shiftright(low, 24)
+        before = F.get(s, at - 1)
+        return F.concat(
+            F.slice(s, 1, at - 1),
+            F.array(element(piece(before), rank, before.bitwiseAND(F.lit(0xFFFFFF).cast("long"))),
+                    element(rank, piece(F.get(s, at + 2)), low.bitwiseAND(F.lit(0xFF0000).cast("long")) + rank)),
+            F.transform(F.slice(s, at + 3, F.size(word)), lambda e: e - F.lit(1 << 16)))
 
     def step(s: Column, _: Column) -> Column:
-        lowest = F.array_position(s["found"], F.array_min(s["found"])).cast("int")
-        # a one-element array names the position, so that it is sought once
-        return F.element_at(F.transform(
-            F.array(lowest), lambda at: F.when(at.isNull(), s).otherwise(merged(s["ids"], s["found"], at))), 1)
+        # a one-element array names the smallest element, so that it is sought once
+        return F.element_at(F.transform(F.array(F.array_min(s)), lambda low: F.when(
+            low >= F.lit(NO_RANK << 24), s).otherwise(merged(s, low))), 1)
 
-    rest = F.slice(word, 2, F.size(word))
-    pairs = F.zip_with(F.slice(word, 1, F.size(rest)), rest, known)
-    return F.aggregate(rest, state(word, pairs), step, lambda s: s["ids"])
+    front = F.array(F.lit((NO_RANK << 24) + NO_RANK))
+    pieces = F.transform(word, lambda a, i: element(
+        a.cast("long"), F.get(word, i + 1), F.shiftleft((i + 1).cast("long"), 16) + a))
+    return F.aggregate(F.slice(word, 2, F.size(word)), F.concat(front, pieces), step,
+                       lambda s: F.transform(F.slice(s, 2, F.size(s)), lambda e: piece(e).cast("int")))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
+           block_chars: int = BLOCK_CHARS, known_bytes: int = KNOWN_BYTES) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array<int>) and ``ids_le`` (the
     ids as little-endian unsigned 32-bit integers), in place of columns of these names."""
     docs = docs.drop("ids", "ids_le")
     spark = docs.sparkSession
-    if len(ranks) >= 1 << 16 or any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("a vocabulary needs all single bytes and fewer than 65,536 tokens")
+    if max(ranks.values()) >= NO_RANK or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a vocabulary needs all single bytes and ids below 65,535")
     rest = T.StructType([f for f in docs.schema if f.name != text])
-    blocks = staged(docs.mapInArrow(tidy(_to_blocks(ranks, exact_pattern(pattern), text, block_chars)), _BLOCKS), "bpe-blocks")
-    places = blocks.select("block", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
-    spelled = places.mapInArrow(tidy(_spelled(ranks)), "blocks binary, places binary, which binary, words array<array<int>>")
-    known = spelled.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each batch of words
-    folded = known.select("blocks", "places", "which", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
-    dealt = folded.mapInArrow(tidy(_dealt), "block bigint, places binary, lengths binary, ids binary")
+    blocks = docs.mapInArrow(tidy(_to_blocks(ranks, exact_pattern(pattern), text, block_chars, known_bytes)),
+                             "kept binary, sizes binary, codes binary, first bigint, words array<array<int>>")
+    known = blocks.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each block
+    folded = known.select("kept", "sizes", "codes", "first", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
     out = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())])
-    return (blocks.select("block", "kept", "sizes", "codes", F.size("words").alias("n_words")).groupBy("block")
-            .cogroup(dealt.groupBy("block")).applyInArrow(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out)), out))
+    return folded.mapInArrow(tidy(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out))), out)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

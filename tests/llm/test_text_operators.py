@@ -188,17 +188,12 @@ def test_encoding_equals_the_library_and_decodes(spark, texts):
         assert bytes(got[i]["decoded"]) == (t or "").encode()
 
 
-def test_words_of_many_blocks(spark, texts):
-    """Tiny blocks share words; a word whose places fill several batches is folded in each."""
+def test_words_remembered_across_blocks(spark, texts):
+    """One task, tiny blocks: words come back from earlier blocks, and the memory starts anew."""
     ranks, pattern = bpe.public_tokenizer()
     want = {i: r["ids"] for i, r in by_id(bpe.encode(frame(spark, texts), ranks, pattern)).items()}
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for block_chars, tasks, batch in ((300, 1, old), (5000, 3, "100")):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        try:
-            got = by_id(bpe.encode(frame(spark, texts).repartition(tasks), ranks, pattern, block_chars=block_chars))
-        finally:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for known_bytes in (0, 200, 1 << 20):
+        got = by_id(bpe.encode(frame(spark, texts).coalesce(1), ranks, pattern, block_chars=300, known_bytes=known_bytes))
         assert {i: r["ids"] for i, r in got.items()} == want
 
 
@@ -219,7 +214,7 @@ def test_heap_and_fold_agree_with_the_library(spark):
     ranks, _ = bpe.public_tokenizer()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(2)
-    words = ["".join(rng.choice(a) for _ in range(n)).encode() for n in (2, 3, 9, 40) for a in ("ab", "thening", "é世x") for _ in range(12)]
+    words = ["".join(rng.choice(a) for _ in range(n)).encode() for n in (2, 3, 9, 40, bpe.FOLD_BYTES // 3) for a in ("ab", "thening", "é世x") for _ in range(12)]
     words = [w for w in words if w not in ranks]
     want = [library._encode_single_piece(w) for w in words]
     assert [bpe.heap_merge(w, ranks) for w in words] == want
