@@ -7,9 +7,16 @@ Spark ``aggregate`` folds each of them, at every step merging the leftmost pair
 of lowest rank that the rank map knows.  The block is then put together again:
 every word of every document takes its ids by position.  A task remembers the
 words of its earlier blocks, up to ``KNOWN_BYTES`` of them, then starts anew; so
-a word is folded once, not in every block.  Nothing is shuffled, and a lost
+a word is folded once, not in every block.  Texts are not shuffled, and a lost
 executor's task is done again from its input alone.
 
+Words common to many tasks are folded once for all of them: a first pass counts
+the words of a random ``HOT_SHARE`` of the rows, and the most frequent ones, up to
+``HOT_BYTES`` bytes of them, are folded by the same ``aggregate`` on executors and
+sent to every task with their ids.  That table only saves work: any other word is
+folded where it stands, so the result does not depend on the draw.  ``encode``
+therefore reads its rows once more, and runs this pass when it is called.
+
 The rank map (pair of ids -> id of the merged token) is one constant of the
 plan: an array of small maps, found by ``pair mod MAP_SLOTS``, because a lookup
 in a Spark map is a scan.  It depends on the vocabulary only.
@@ -30,11 +37,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +54,9 @@ from riskspark.llm.shared import table, tidy
 BLOCK_CHARS = 2_000_000
 KNOWN_BYTES = 6_000_000
 FOLD_BYTES = 200  # at most 254, see ``fold``
+HOT_SHARE = 1 / 16
+HOT_BYTES = 2_500_000
+HOT_TASKS = 48
 #: Neither a rank nor an id.
 NO_RANK = 0xFFFF
 #: A prime, so that pairs with a common left or right id spread over the slots.
@@ -109,18 +121,18 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Codes(dict):
-    """word -> code: a folded word's position, or -1 - id.
+    """word -> code: a folded word's position, or -1 - its place in ``HotWords``.
 
     ``words`` are the words that the open block adds, the first of them at
     position ``first``."""
 
-    def __init__(self, ranks: dict[bytes, int], known_bytes: int):
-        self.ranks, self.known_bytes = ranks, known_bytes
+    def __init__(self, ranks: dict[bytes, int], known_bytes: int, hot: dict[str, int]):
+        self.ranks, self.known_bytes, self.hot = ranks, known_bytes, hot
         self.words, self.long, self.first, self.bytes = [], [], 0, 0
 
     def next_block(self) -> _Codes:
         if self.bytes > self.known_bytes:
-            return _Codes(self.ranks, self.known_bytes)
+            return _Codes(self.ranks, self.known_bytes, self.hot)
         self.first, self.words = self.first + len(self.words), []
         return self
 
@@ -130,6 +142,8 @@ class _Codes(dict):
         self.bytes += len(raw)
         if whole is not None:
             code = -1 - whole
+        elif word in self.hot:
+            code = self.hot[word]
         elif len(raw) > FOLD_BYTES:
             code = _LONG - len(self.long)
             self.long.append(np.array(heap_merge(raw, self.ranks), np.int32))
@@ -140,7 +154,68 @@ class _Codes(dict):
         return code
 
 
-def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int):
+class HotWords:
+    """The words that every task knows: each id by itself at the place of its
+    number, the hot words behind them."""
+
+    def __init__(self, vocabulary: int, words: list[bytes], ids: list[np.ndarray]):
+        self.vocabulary, self.words = vocabulary, words
+        self.flat = np.concatenate([np.arange(vocabulary), *ids]).astype(np.int32)
+        self.offsets = np.cumsum([0, *[1] * vocabulary, *map(len, ids)])
+
+    def codes(self) -> dict[str, int]:
+        return {w.decode("utf-8"): -1 - self.vocabulary - i for i, w in enumerate(self.words)}
+
+
+def _list_words(ranks: dict[bytes, int], pattern: str):
+    """A batch's words that are no token as a whole, with their counts."""
+    split = regex.compile(pattern).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for t in batch.column(0):
+                counts.update(split(t.as_py() or ""))
+            found = [(w, n) for w, n in ((w.encode("utf-8"), n) for w, n in counts.items())
+                     if w not in ranks and len(w) <= FOLD_BYTES]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()),
+                                              pa.array([n for _, n in found], pa.int64())], ["word", "n"])
+
+    return run
+
+
+def hot_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
+              share: float = HOT_SHARE, most_bytes: int = HOT_BYTES) -> HotWords:
+    """The most frequent words of a random ``share`` of the rows, folded.
+
+    Only words above a count travel to the driver, the least count (of a fixed
+    grid) whose words have ``most_bytes`` bytes in all at most."""
+    vocabulary = max(ranks.values()) + 1
+    if not most_bytes:
+        return HotWords(vocabulary, [], [])
+    counted = (docs.select(text).where(F.rand(42) < share).mapInArrow(tidy(_list_words(ranks, pattern)), "word binary, n bigint")
+               .groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        grid = sorted({int(1.25 ** i) for i in range(150)})
+        sizes = counted.agg(*[F.sum(F.when(F.col("n") >= g, F.length("word"))).alias(f"b{i}") for i, g in enumerate(grid)]).first()
+        least = next((g for g, b in zip(grid, sizes) if (b or 0) <= most_bytes), None)
+        if least is None or not sizes[0]:
+            return HotWords(vocabulary, [], [])
+        # a fixed number of tasks: the few bytes would else be folded in one
+        hot = counted.where(F.col("n") >= least).select("word").repartition(HOT_TASKS)
+        ids = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+        pieces = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.get(
+            ids, F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int")))
+        known = hot.select("word", pieces.alias("pieces")).join(F.broadcast(rank_row(docs.sparkSession, ranks)))
+        rows = known.select("word", fold(F.col("pieces"), F.col("ranks")).alias("ids")).toArrow()
+        lists = rows["ids"].combine_chunks()
+        flat, cuts = np.asarray(lists.values), np.asarray(lists.offsets)
+        return HotWords(vocabulary, rows["word"].to_pylist(), [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+    finally:
+        counted.unpersist()
+
+
+def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int, hot: HotWords):
     split = regex.compile(pattern).findall
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
@@ -163,7 +238,7 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
             pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, codes, docs, chars = [], _Codes(ranks, known_bytes), [], 0
+        kept, codes, docs, chars = [], _Codes(ranks, known_bytes, hot.codes()), [], 0
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             start = 0
@@ -182,7 +257,7 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
     return run
 
 
-def _from_blocks(vocabulary: int, schema: pa.Schema):
+def _from_blocks(hot: HotWords, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)  # ids of the words known so far
         for batch in batches:
@@ -200,13 +275,13 @@ def _from_blocks(vocabulary: int, schema: pa.Schema):
                     added = np.asarray(lists.offsets).astype(np.int64)
                     offsets = np.concatenate([offsets, len(flat) + added[1:] - added[0]])
                     flat = np.concatenate([flat, np.asarray(lists.values)[added[0]:added[-1]]])
-                # behind the folded words' ids: every id, for words that are one token
-                ids_table = np.concatenate([flat, np.arange(vocabulary, dtype=np.int32)])
-                single = codes < 0
-                lengths = np.ones(len(codes), np.int64)
-                lengths[~single] = np.diff(offsets)[codes[~single]]
-                starts = np.where(single, len(flat) - 1 - codes.astype(np.int64), 0)
-                starts[~single] = offsets[:-1][codes[~single]]
+                # behind the folded words' ids: those of the words that every task knows
+                ids_table = np.concatenate([flat, hot.flat])
+                here = codes >= 0
+                lengths, starts = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+                lengths[here], starts[here] = np.diff(offsets)[codes[here]], offsets[:-1][codes[here]]
+                places = -1 - codes[~here]
+                lengths[~here], starts[~here] = np.diff(hot.offsets)[places], len(flat) + hot.offsets[places]
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 ids = ids_table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
                 cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
@@ -268,7 +343,8 @@ def fold(word: Column, ranks: Column) -> Column:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
-           block_chars: int = BLOCK_CHARS, known_bytes: int = KNOWN_BYTES) -> DataFrame:
+           block_chars: int = BLOCK_CHARS, known_bytes: int = KNOWN_BYTES,
+           hot_share: float = HOT_SHARE, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` without its text, with ``ids`` (array<int>) and ``ids_le`` (the
     ids as little-endian unsigned 32-bit integers), in place of columns of these names."""
     docs = docs.drop("ids", "ids_le")
@@ -276,12 +352,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     if max(ranks.values()) >= NO_RANK or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes and ids below 65,535")
     rest = T.StructType([f for f in docs.schema if f.name != text])
-    blocks = docs.mapInArrow(tidy(_to_blocks(ranks, exact_pattern(pattern), text, block_chars, known_bytes)),
+    exact = exact_pattern(pattern)
+    hot = hot_words(docs, ranks, exact, text, hot_share, hot_bytes)
+    blocks = docs.mapInArrow(tidy(_to_blocks(ranks, exact, text, block_chars, known_bytes, hot)),
                              "kept binary, sizes binary, codes binary, first bigint, words array<array<int>>")
     known = blocks.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each block
     folded = known.select("kept", "sizes", "codes", "first", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
     out = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())])
-    return folded.mapInArrow(tidy(_from_blocks(max(ranks.values()) + 1, to_arrow_schema(out))), out)
+    return folded.mapInArrow(tidy(_from_blocks(hot, to_arrow_schema(out))), out)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

@@ -197,6 +197,24 @@ def test_words_remembered_across_blocks(spark, texts):
         assert {i: r["ids"] for i, r in got.items()} == want
 
 
+def test_words_that_every_task_knows_change_no_id(spark, texts):
+    """The hot words of any share and size, none and all of them, give the same ids."""
+    ranks, pattern = bpe.public_tokenizer()
+    docs = frame(spark, texts).repartition(3)
+    want = {i: r["ids"] for i, r in by_id(bpe.encode(docs, ranks, pattern, hot_bytes=0)).items()}
+    for share, size in ((1.0, bpe.HOT_BYTES), (1.0, 40), (0.5, 1), (0.0, bpe.HOT_BYTES)):
+        got = by_id(bpe.encode(docs, ranks, pattern, hot_share=share, hot_bytes=size))
+        assert {i: r["ids"] for i, r in got.items()} == want
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    hot = bpe.hot_words(docs, ranks, bpe.exact_pattern(pattern), share=1.0)
+    assert hot.words and all(len(w) <= bpe.FOLD_BYTES and w not in ranks for w in hot.words)
+    for w, a, b in zip(hot.words, hot.offsets[hot.vocabulary:], hot.offsets[hot.vocabulary + 1:]):
+        assert hot.flat[a:b].tolist() == library._encode_single_piece(w)
+    few = bpe.hot_words(docs, ranks, bpe.exact_pattern(pattern), share=1.0, most_bytes=40)
+    assert sum(map(len, few.words)) <= 40 and set(few.words) < set(hot.words)
+    assert not bpe.hot_words(docs.limit(0), ranks, bpe.exact_pattern(pattern), share=1.0).words
+
+
 def test_byte_bpe_equals_the_library_on_a_whole_table(spark):
     ranks, _ = bpe.public_tokenizer()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
