@@ -184,6 +184,22 @@ def _list_words(ranks: dict[bytes, int], pattern: str):
     return run
 
 
+def _one_row(ranks: dict[bytes, int]):
+    """A task's words in one row, each with the ids of its bytes."""
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.column(0).to_pylist()]
+        if words:
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+            whole = pa.array([0, len(words)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, pa.array(words, pa.binary())),
+                                              pa.ListArray.from_arrays(whole, ids)], ["word", "pieces"])
+
+    return run
+
+
 def hot_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
               share: float = HOT_SHARE, most_bytes: int = HOT_BYTES) -> HotWords:
     """The most frequent words of a random ``share`` of the rows, folded.
@@ -201,16 +217,14 @@ def hot_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
         least = next((g for g, b in zip(grid, sizes) if (b or 0) <= most_bytes), None)
         if least is None or not sizes[0]:
             return HotWords(vocabulary, [], [])
-        # a fixed number of tasks: the few bytes would else be folded in one
-        hot = counted.where(F.col("n") >= least).select("word").repartition(HOT_TASKS)
-        ids = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
-        pieces = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.get(
-            ids, F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int")))
-        known = hot.select("word", pieces.alias("pieces")).join(F.broadcast(rank_row(docs.sparkSession, ranks)))
-        rows = known.select("word", fold(F.col("pieces"), F.col("ranks")).alias("ids")).toArrow()
-        lists = rows["ids"].combine_chunks()
-        flat, cuts = np.asarray(lists.values), np.asarray(lists.offsets)
-        return HotWords(vocabulary, rows["word"].to_pylist(), [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+        # a fixed number of tasks, as the few bytes would else be folded in one; a
+        # row to each, as the constant is copied into every row
+        words = counted.where(F.col("n") >= least).select("word").repartition(HOT_TASKS).mapInArrow(
+            tidy(_one_row(ranks)), "word array<binary>, pieces array<array<int>>")
+        rows = words.join(F.broadcast(rank_row(docs.sparkSession, ranks))).select(
+            "word", F.transform("pieces", lambda w: fold(w, F.col("ranks"))).alias("ids")).toArrow()
+        lists = [x for c in rows["ids"].chunks for x in c.flatten().to_numpy(zero_copy_only=False)]
+        return HotWords(vocabulary, [w for r in rows["word"].to_pylist() for w in r], lists)
     finally:
         counted.unpersist()
 
