@@ -51,7 +51,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskspark.llm.shared import table, tidy
 
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 KNOWN_BYTES = 6_000_000
 FOLD_BYTES = 200  # at most 254, see ``fold``
 HOT_SHARE = 1 / 16
@@ -232,6 +232,7 @@ def hot_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int, hot: HotWords):
     split = regex.compile(pattern).findall
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    hot_codes = hot.codes()  # alone goes to the tasks, not the words a second time
 
     def close(kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -252,7 +253,7 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
             pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "first", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, codes, docs, chars = [], _Codes(ranks, known_bytes, hot.codes()), [], 0
+        kept, codes, docs, chars = [], _Codes(ranks, known_bytes, hot_codes), [], 0
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             start = 0
@@ -272,6 +273,8 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
 
 
 def _from_blocks(hot: HotWords, schema: pa.Schema):
+    hot_flat, hot_offsets = hot.flat, hot.offsets
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)  # ids of the words known so far
         for batch in batches:
@@ -290,12 +293,12 @@ def _from_blocks(hot: HotWords, schema: pa.Schema):
                     offsets = np.concatenate([offsets, len(flat) + added[1:] - added[0]])
                     flat = np.concatenate([flat, np.asarray(lists.values)[added[0]:added[-1]]])
                 # behind the folded words' ids: those of the words that every task knows
-                ids_table = np.concatenate([flat, hot.flat])
+                ids_table = np.concatenate([flat, hot_flat])
                 here = codes >= 0
                 lengths, starts = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
                 lengths[here], starts[here] = np.diff(offsets)[codes[here]], offsets[:-1][codes[here]]
                 places = -1 - codes[~here]
-                lengths[~here], starts[~here] = np.diff(hot.offsets)[places], len(flat) + hot.offsets[places]
+                lengths[~here], starts[~here] = np.diff(hot_offsets)[places], len(flat) + hot_offsets[places]
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 ids = ids_table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
                 cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
