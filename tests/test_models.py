@@ -154,3 +154,16 @@ def test_registry_queries_match_trained_model(spark):
     assert len(listed) == 1 and listed[0]["model_type"] == "LogisticRegressionModel"
     latest = {r["metric"] for r in q["registry_latest_metrics"](spark, SF_SMALL).collect()}
     assert latest == {"roc_auc", "accuracy", "precision", "recall", "f1_score"}
+
+
+def test_training_part_does_not_follow_the_shuffle_partitions(spark):
+    """Iterations run a task per part: parts are cut by size, not one per shuffle partition."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert workbench(spark, SF_SMALL, persist=False).applications.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -2,7 +2,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from riskspark.operators import ordered
 from riskspark.operators.ordered import _at_ranks, exact_quantiles, quantile_map, running_totals
 
 
@@ -58,3 +60,17 @@ def test_running_totals_match_cumsum(spark):
     desc = sorted(((r["s"], r["cum_c"]) for r in
                    running_totals(df, [], "s", ["c"], buckets=7, descending=True).collect()), reverse=True)
     assert [c for _, c in desc] == list(np.cumsum([c for _, c in reversed(rows)]))
+
+
+def test_brackets_hold_the_quantiles_of_uneven_parts(spark):
+    """Parts of very unlike values and sizes, as files sorted by a column give them."""
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(m, 1 + m, size) for m, size in zip(range(40), rng.integers(1, 900, 40))]
+    rows = [(i, float(v)) for i, p in enumerate(parts) for v in p]
+    df = spark.createDataFrame(rows, "i int, a double").repartitionByRange(16, "i").select("a", F.lit(None).cast("double").alias("empty"))
+    a = np.sort([r[1] for r in rows])
+    probs = [0.25, 0.5, 0.9]
+    found = ordered._approximate(df, ["a"], probs)["a"]
+    for p, v in zip(probs, found):
+        assert abs(np.searchsorted(a, v) / len(a) - p) <= ordered.MARGIN
+    assert quantile_map(df, ["a", "empty"], probs) == {"a": list(np.quantile(a, probs)), "empty": [None] * 3}
