@@ -1,14 +1,14 @@
 """Quality rules with n-gram perplexity (operator 4).
 
-Texts are read as bytes over ``SYMBOLS`` classes (letters without case, white
-space, digits and punctuation by kind, other bytes by a few groups).  Spark counts all n-grams
-of ``ORDER`` symbols over all documents: a task adds up its own documents, then
-the counts are summed by key.  From the counts Spark derives a modified
-Kneser-Ney model: discounts D1, D2, D3+ of each order from its counts of
-counts, continuation counts for the lower orders, and the back-off mass of each
-context.  The model is held in sorted arrays (n-gram code -> log probability;
-context code -> log back-off weight).  Its size is bounded by the alphabet:
-``SYMBOLS ** ORDER`` codes at most, whatever the input, so it may be broadcast.
+Texts are read as UTF-8 bytes, each byte a symbol of its own (``every_byte``).
+Spark counts all n-grams of ``ORDER`` symbols over all documents: a task adds up
+its own documents, then the counts are summed by key.  From the counts Spark
+derives a modified Kneser-Ney model: discounts D1, D2, D3+ of each order from its
+counts of counts, continuation counts for the lower orders, and the back-off mass
+of each context.  The model is held in sorted arrays (n-gram code -> log
+probability; context code -> log back-off weight) of the n-grams that occur, so it
+grows with what the corpus holds; it is broadcast, 12 bytes for each of them.
+``alphabet`` is a folded table of 64 symbols for models of a bounded size.
 
 A document's score is its mean negative log probability per symbol, the log of
 the perplexity.  Per language and class of lengths, the median and the median
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import staged, table
+from riskspark.llm.shared import staged, table, tidy
 
 ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+#: Distinct n-grams that a task holds before it hands them on.
+HELD = 1_000_000
 #: Width of a language's bands in scaled median absolute deviations.
 LOWER, UPPER = 3.5, 3.5
 #: Smallest scaled deviation, so that a language of one text has a band.
@@ -46,12 +46,17 @@ LEAST_DOCS = 30
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 RARE = b"#*$%&|<>"
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
+def every_byte() -> np.ndarray:
+    """Byte -> symbol, each its own.  0 is the start of a text."""
+    return np.arange(1, 257, dtype=np.uint16)
+
+
 def alphabet() -> np.ndarray:
-    """Byte -> symbol.  0 is the start of a text."""
+    """Byte -> symbol, folded to 64 classes.  0 is the start of a text."""
     to = np.zeros(256, np.uint8)
     for b in range(256):
         c = chr(b).lower() if b < 128 else ""
@@ -75,6 +80,12 @@ def alphabet() -> np.ndarray:
     return to
 
 
+def _size(to: np.ndarray) -> tuple[int, int]:
+    """Number of symbols, and bits of a symbol."""
+    symbols = int(to.max()) + 1
+    return symbols, (symbols - 1).bit_length()
+
+
 def _codes(texts: list[bytes], to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """n-gram code at each byte (a text starts after ORDER - 1 start symbols)
     and the sizes of the texts."""
@@ -86,10 +97,11 @@ def _codes(texts: list[bytes], to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) + np.arange(sizes.sum())
     own = np.zeros(len(symbols), bool)
     own[inside] = True
-    symbols = np.where(own, symbols, 0).astype(np.int32)
+    symbols = np.where(own, symbols, 0).astype(np.int64)
+    bits = _size(to)[1]
     code = symbols.copy()
     for k in range(1, ORDER):
-        code[k:] += symbols[:-k] << (BITS * k)
+        code[k:] += symbols[:-k] << (bits * k)
     return code[inside], sizes
 
 
@@ -105,25 +117,38 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
                 start, size = i + 1, 0
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of several (codes, counts) and their sums."""
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(codes), np.int64)
+    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+    return codes, sums
+
+
+def count_ngrams(docs: DataFrame, text: str = "text", to: np.ndarray | None = None) -> DataFrame:
     """(code, n) of all n-grams of ``ORDER`` symbols in all texts."""
-    to = alphabet()
+    to = alphabet() if to is None else to
+
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        codes, sums = _added(parts)
+        for at in range(0, len(codes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000]), pa.array(sums[at:at + 100_000])], ["code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SYMBOLS ** ORDER, np.int64)
-        any_text = False
+        parts, fresh = [], 0
         for _, texts in _texts(batches, text):
-            codes, _ = _codes(texts, to)
-            if len(codes):
-                any_text = True
-                np.add(seen, np.bincount(codes, minlength=len(seen)), out=seen)
-        if any_text:
-            found = np.flatnonzero(seen)
-            for at in range(0, len(found), 100_000):
-                part = found[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], ["code", "n"])
+            parts.append(np.unique(_codes(texts, to)[0], return_counts=True))
+            fresh += len(parts[-1][0])
+            if fresh > HELD:
+                parts = [_added(parts)]
+                fresh = len(parts[0][0])
+                if len(parts[0][0]) > HELD:
+                    yield from rows(parts)
+                    parts = []
+        if parts:
+            yield from rows(parts)
 
-    return docs.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def discounts(counted: DataFrame) -> list[float]:
@@ -143,8 +168,8 @@ class Model:
     symbols and their log back-off weights.
     """
 
-    def __init__(self, orders, backoff):
-        self.orders, self.backoff = orders, backoff
+    def __init__(self, orders, backoff, symbols: int, bits: int):
+        self.orders, self.backoff, self.symbols, self.bits = orders, backoff, symbols, bits
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the last symbol of each (distinct) code."""
@@ -152,7 +177,7 @@ class Model:
         todo = np.arange(len(codes))
         for k in range(ORDER - 1, -1, -1):
             keys, values = self.orders[k]
-            own = codes[todo] & ((1 << BITS * (k + 1)) - 1)
+            own = codes[todo] & ((1 << self.bits * (k + 1)) - 1)
             at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
             hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
             out[todo[hit]] += values[at[hit]]
@@ -160,53 +185,54 @@ class Model:
             if not len(todo):
                 return out
             contexts, weights = self.backoff[k]
-            context = own >> BITS
+            context = own >> self.bits
             at = np.minimum(np.searchsorted(contexts, context), max(len(contexts) - 1, 0))
             hit = contexts[at] == context if len(contexts) else np.zeros(len(own), bool)
             out[todo[hit]] += weights[at[hit]]
-        out[todo] += -BITS * np.log(2.0)  # a symbol that occurs nowhere
+        out[todo] -= np.log(self.symbols)  # a symbol that occurs nowhere
         return out
 
 
-def train(counts: DataFrame) -> Model:
+def train(counts: DataFrame, to: np.ndarray | None = None) -> Model:
     """Modified Kneser-Ney model of (code, n) counts.
 
-    Every derived table has at most ``SYMBOLS ** ORDER`` rows.
+    No derived table has more rows than ``counts``.
     """
-    counted = counts.select(F.col("code").cast("int").alias("code"), "n")
+    symbols, bits = _size(alphabet() if to is None else to)
+    counted = counts.select(F.col("code").cast("long").alias("code"), "n")
     levels = {ORDER - 1: counted}
     for k in range(ORDER - 2, -1, -1):  # in how many places does the n-gram without its first symbol occur
-        levels[k] = staged(levels[k + 1].groupBy(F.col("code").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("code"))
+        levels[k] = staged(levels[k + 1].groupBy(F.col("code").bitwiseAND(F.lit((1 << bits * (k + 1)) - 1).cast("long")).alias("code"))
                            .agg(F.count("*").alias("n")), f"ngrams-{k + 1}")
     lower = None
     orders, backoff = [], []
     for k in range(ORDER):
         level = levels[k]
         d = discounts(level)
-        context = F.shiftright("code", BITS).alias("context")
+        context = F.shiftright("code", bits).alias("context")
         per_context = level.groupBy(context).agg(
             F.sum("n").alias("total"),
             sum((F.count(F.when(cond, 1)) * w for cond, w in (
                 (F.col("n") == 1, d[0]), (F.col("n") == 2, d[1]), (F.col("n") >= 3, d[2]))), F.lit(0.0)).alias("cut"))
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        with_context = level.withColumn("context", F.shiftright("code", BITS)).join(per_context, "context")
+        with_context = level.withColumn("context", F.shiftright("code", bits)).join(per_context, "context")
         if lower is None:
-            below = F.lit(1.0 / SYMBOLS)
+            below = F.lit(1.0 / symbols)
         else:
             with_context = with_context.join(
-                lower, F.col("code").bitwiseAND((1 << BITS * k) - 1) == F.col("lower_code"))
+                lower, F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1).cast("long")) == F.col("lower_code"))
             below = F.col("lower_p")
         p = (F.col("n") - cut) / F.col("total") + F.col("cut") / F.col("total") * below
         table_ = staged(with_context.select("code", p.alias("p")), f"probabilities-{k + 1}")
         lower = table_.select(F.col("code").alias("lower_code"), F.col("p").alias("lower_p"))
         orders.append(_sorted(table_.select("code", F.log("p"))))
         backoff.append(_sorted(per_context.select("context", F.log(F.col("cut") / F.col("total")))))
-    return Model(orders, backoff)
+    return Model(orders, backoff, symbols, bits)
 
 
 def _sorted(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = pairs.toArrow()
-    keys, values = got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy().astype(np.float32)
+    keys, values = got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().astype(np.float32)
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -254,11 +280,11 @@ def _base(texts: list[bytes], ids: dict[bytes, int]) -> list[tuple]:
     return out
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", to: np.ndarray | None = None) -> DataFrame:
     """``docs`` without its text, with the base counts and ``log_perplexity``
     (null for a text without bytes)."""
-    to = alphabet()
-    shared = docs.sparkSession.sparkContext.broadcast((model.orders, model.backoff))
+    to = alphabet() if to is None else to
+    shared = docs.sparkSession.sparkContext.broadcast((model.orders, model.backoff, model.symbols, model.bits))
     rest = [f for f in docs.schema if f.name != text]
     base = T.StructType.fromDDL(_BASE)
     schema = T.StructType([*rest, *base, T.StructField("log_perplexity", T.DoubleType())])
@@ -266,15 +292,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Model(*shared.value)
-        known = np.full(SYMBOLS ** ORDER, np.nan, np.float32)  # looked up so far
         ids: dict[bytes, int] = {}
         for part, texts in _texts(batches, text):
             codes, sizes = _codes(texts, to)
-            fresh = np.zeros(len(known), bool)
-            fresh[codes] = True
-            new = np.flatnonzero(fresh & np.isnan(known))
-            known[new] = held.log_probability(new.astype(np.int64))
-            sums = np.concatenate([[0.0], np.cumsum(known[codes], dtype=np.float64)])
+            found, at = np.unique(codes, return_inverse=True)
+            sums = np.concatenate([[0.0], np.cumsum(held.log_probability(found)[at])])
             ends = np.cumsum(sizes)
             mean = -(sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
             cols = list(zip(*_base(texts, ids)))
@@ -284,7 +306,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=schema.names)
             yield from out.cast(arrow).to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def length_class(word_chars: str = "word_chars"):
@@ -319,8 +341,9 @@ def with_bands(scored: DataFrame, by: str = "lang") -> DataFrame:
 def quality(docs: DataFrame, text: str = "text", by: str = "lang") -> DataFrame:
     """``docs`` without its text, with base counts, ``base_failed``,
     ``log_perplexity``, the bands and ``kept``."""
-    counts = staged(count_ngrams(docs, text), "ngram-counts")
-    scored = staged(score(docs, train(counts), text), "ngram-scores")
+    to = every_byte()
+    counts = staged(count_ngrams(docs, text, to), "ngram-counts")
+    scored = staged(score(docs, train(counts, to), text, to), "ngram-scores")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return with_bands(scored, by).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 

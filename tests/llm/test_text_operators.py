@@ -290,6 +290,28 @@ def test_noise_is_rejected_and_clean_text_kept(spark):
     assert not any(got[200 + i]["kept"] for i in range(4))
 
 
+def test_every_byte_is_a_symbol_of_its_own(spark, texts):
+    df = frame(spark, texts[:30])
+    to = ngram.every_byte()
+    direct = Counter()
+    for t in texts[:30]:
+        x = [0] * 3 + [b + 1 for b in (t or "").encode()]
+        direct.update((a << 27) + (b << 18) + (c << 9) + d for a, b, c, d in zip(x, x[1:], x[2:], x[3:]))
+    counts = ngram.count_ngrams(df, to=to)
+    assert {r["code"]: r["n"] for r in counts.collect()} == dict(direct)
+    model = ngram.train(counts, to)
+    for context in {c >> 9 for c in list(direct)[:5]} | {0}:
+        p = np.exp(model.log_probability((context << 9) + np.arange(257)))
+        assert 0.95 < p.sum() < 1.05 and (p[[c & 511 for c in direct if c >> 9 == context]] > 0).all()
+    rng = random.Random(4)
+    words = ["the", "and", "river", "stone", "quiet", "morning", "walked", "over", "under", "bright", "house", "letter"]
+    clean = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(200)]
+    mixed = ["".join(rng.choice((c, c.upper())) for c in t) for t in clean[:4]]  # the same letters, in either case
+    got = by_id(ngram.quality(spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + mixed)], "doc_id long, text string, lang string")))
+    assert not any(got[200 + i]["kept"] for i in range(4))
+    assert all(got[200 + i]["log_perplexity"] > got[i]["log_perplexity"] + 0.1 for i in range(4))
+
+
 def toxic_table(spark):
     """An insult is toxic only together with a group mention."""
     rng = random.Random(3)
