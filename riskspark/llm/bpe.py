@@ -1,29 +1,25 @@
 """Byte-level BPE encoding and decoding (operator 2).
 
-A task cuts its documents into blocks of about ``BLOCK_CHARS`` characters and
-splits each text into words by the tokenizer's pattern.  The block's distinct
-words that are no token as a whole travel as arrays of byte ids in one row; a
-Spark ``aggregate`` folds each of them, at every step merging the leftmost pair
-of lowest rank that the rank map knows.  The block is then put together again:
-every word of every document takes its ids by position.  A task remembers the
-words of its earlier blocks, up to ``KNOWN_BYTES`` of them, then starts anew; so
-a word is folded once, not in every block.  Texts are not shuffled, and a lost
-executor's task is done again from its input alone.
-
-Words common to many tasks are folded once for all of them: a first pass counts
-the words of a random ``HOT_SHARE`` of the rows, and the most frequent ones, up to
-``HOT_BYTES`` bytes of them, are folded by the same ``aggregate`` on executors and
-sent to every task with their ids.  That table only saves work: any other word is
-folded where it stands, so the result does not depend on the draw.  ``encode``
-therefore reads its rows once more, and runs this pass when it is called.
+A task splits each text into words by the tokenizer's pattern, and every word of
+every document takes its ids by position from a table of words.  The words most
+common in the corpus are in that table from the start: a first pass counts the
+words of a random ``HOT_SHARE`` of the rows, and the most frequent ones, up to
+``HOT_BYTES`` bytes of them, are folded on executors, a Spark ``aggregate`` that at
+every step merges the leftmost pair of lowest rank that the rank map knows.  They
+are sent to every task with their ids.  A task merges any other word when it meets
+it, by the same rule with a heap (``heap_merge``), and remembers up to
+``KNOWN_BYTES`` of them, then starts anew.  Lowest rank first, leftmost among
+equals, is one order of merges, so ids depend neither on the draw nor on which of
+the two met a word.  Texts are not shuffled, and a lost executor's task is done
+again from its input alone.  ``encode`` reads its rows once more, and runs the first
+pass when it is called.
 
 The rank map (pair of ids -> id of the merged token) is one constant of the
 plan: an array of small maps, found by ``pair mod MAP_SLOTS``, because a lookup
 in a Spark map is a scan.  It depends on the vocabulary only.
 
 The fold takes time in the square of a word's length, so words of more than
-``FOLD_BYTES`` bytes (unbroken strings) are merged in the task by the same rule
-with a heap.
+``FOLD_BYTES`` bytes (unbroken strings) are never hot.
 
 Decoding maps ids to the pieces' bytes and concatenates them.
 
@@ -37,6 +33,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,11 +48,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from riskspark.llm.shared import table, tidy
 
-BLOCK_CHARS = 1_000_000
-KNOWN_BYTES = 6_000_000
+BLOCK_CHARS = 500_000
+KNOWN_BYTES = 1_500_000
 FOLD_BYTES = 200  # at most 254, see ``fold``
 HOT_SHARE = 1 / 16
-HOT_BYTES = 2_500_000
+HOT_BYTES = 1_000_000
 HOT_TASKS = 48
 #: Neither a rank nor an id.
 NO_RANK = 0xFFFF
@@ -63,7 +60,6 @@ NO_RANK = 0xFFFF
 MAP_SLOTS = 262_147
 #: White space as Unicode lists it; Python's own class also has 1C to 1F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LONG = -(1 << 30)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -121,20 +117,14 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Codes(dict):
-    """word -> code: a folded word's position, or -1 - its place in ``HotWords``.
+    """word -> code: the place of a word merged here, or -1 - its place in ``HotWords``.
 
-    ``words`` are the words that the open block adds, the first of them at
-    position ``first``."""
+    ``flat`` and ``ends`` hold the ids of the words merged here."""
 
-    def __init__(self, ranks: dict[bytes, int], known_bytes: int, hot: dict[str, int]):
-        self.ranks, self.known_bytes, self.hot = ranks, known_bytes, hot
-        self.words, self.long, self.first, self.bytes = [], [], 0, 0
-
-    def next_block(self) -> _Codes:
-        if self.bytes > self.known_bytes:
-            return _Codes(self.ranks, self.known_bytes, self.hot)
-        self.first, self.words = self.first + len(self.words), []
-        return self
+    def __init__(self, ranks: dict[bytes, int], hot: dict[str, int]):
+        super().__init__(hot)  # shares the words themselves
+        self.ranks = ranks
+        self.flat, self.ends, self.bytes = array("i"), array("q", [0]), 0
 
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8")
@@ -142,14 +132,10 @@ class _Codes(dict):
         self.bytes += len(raw)
         if whole is not None:
             code = -1 - whole
-        elif word in self.hot:
-            code = self.hot[word]
-        elif len(raw) > FOLD_BYTES:
-            code = _LONG - len(self.long)
-            self.long.append(np.array(heap_merge(raw, self.ranks), np.int32))
         else:
-            code = self.first + len(self.words)
-            self.words.append(raw)
+            code = len(self.ends) - 1
+            self.flat.extend(heap_merge(raw, self.ranks))
+            self.ends.append(len(self.flat))
         self[word] = code
         return code
 
@@ -229,31 +215,33 @@ def hot_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
         counted.unpersist()
 
 
-def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int, hot: HotWords):
+def _to_ids(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int, known_bytes: int, hot: HotWords, schema: pa.Schema):
+    """Task: documents -> their other columns and ids, a block of about ``block_chars`` characters at a time."""
     split = regex.compile(pattern).findall
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    hot_codes = hot.codes()  # alone goes to the tasks, not the words a second time
-
-    def close(kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept[0].schema) as w:
-            for k in kept:
-                w.write_batch(k)
-        if codes.long:  # spell them out
-            docs = [d if not len(d) or d.min() > _LONG else np.concatenate(
-                [-1 - codes.long[_LONG - c] if c <= _LONG else np.array([c], np.int32) for c in d.tolist()]) for d in docs]
-        raw = np.frombuffer(b"".join(codes.words), np.uint8)
-        ends = np.cumsum([0, *map(len, codes.words)]).astype(np.int32)
-        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[raw]))
-        return pa.RecordBatch.from_arrays([
-            pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-            pa.array([np.array([len(d) for d in docs], np.int32).tobytes()], pa.binary()),
-            pa.array([np.concatenate([*docs, np.array([], np.int32)]).astype(np.int32).tobytes()], pa.binary()),
-            pa.array([codes.first], pa.int64()),
-            pa.ListArray.from_arrays(pa.array([0, len(codes.words)], pa.int32()), words)], ["kept", "sizes", "codes", "first", "words"])
+    hot_codes, hot_flat, hot_offsets = hot.codes(), hot.flat, hot.offsets  # not the words a second time
+
+    def close(kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rest = pa.Table.from_batches(kept)
+        # behind the ids of the words merged here: those of the words that every task knows
+        flat, offsets = np.array(codes.flat, np.int32), np.array(codes.ends, np.int64)
+        ids_table = np.concatenate([flat, hot_flat])
+        all_codes = np.concatenate([*docs, np.array([], np.int32)])
+        here = all_codes >= 0
+        lengths, starts = np.empty(len(all_codes), np.int64), np.empty(len(all_codes), np.int64)
+        lengths[here], starts[here] = np.diff(offsets)[all_codes[here]], offsets[:-1][all_codes[here]]
+        places = -1 - all_codes[~here]
+        lengths[~here], starts[~here] = np.diff(hot_offsets)[places], len(flat) + hot_offsets[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = ids_table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
+        cuts = ends[np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)]
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [
+            None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+        out = pa.Table.from_arrays([*rest.columns, lists, packed], names=[*rest.column_names, "ids", "ids_le"])
+        yield from out.cast(schema).to_batches(max_chunksize=2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, codes, docs, chars = [], _Codes(ranks, known_bytes, hot_codes), [], 0
+        kept, codes, docs, chars = [], _Codes(ranks, hot_codes), [], 0
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             start = 0
@@ -262,51 +250,14 @@ def _to_blocks(ranks: dict[bytes, int], pattern: str, text: str, block_chars: in
                 docs.append(np.fromiter(map(codes.__getitem__, split(t)), np.int32))
                 chars += len(t)
                 if chars >= block_chars:
-                    yield close([*kept, batch.slice(start, i + 1 - start).drop_columns([text])], codes, docs)
-                    kept, codes, docs, chars, start = [], codes.next_block(), [], 0, i + 1
+                    yield from close([*kept, batch.slice(start, i + 1 - start).drop_columns([text])], codes, docs)
+                    if codes.bytes > known_bytes:
+                        codes = _Codes(ranks, hot_codes)
+                    kept, docs, chars, start = [], [], 0, i + 1
             if start < batch.num_rows:
                 kept.append(batch.slice(start).drop_columns([text]))
         if docs:
-            yield close(kept, codes, docs)
-
-    return run
-
-
-def _from_blocks(hot: HotWords, schema: pa.Schema):
-    hot_flat, hot_offsets = hot.flat, hot.offsets
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)  # ids of the words known so far
-        for batch in batches:
-            for i in range(batch.num_rows):
-                first = batch.column(batch.schema.get_field_index("first"))[i].as_py()
-                if not first:
-                    flat, offsets = np.array([], np.int32), np.zeros(1, np.int64)
-                if first != len(offsets) - 1:
-                    raise RuntimeError("the blocks of a task are out of order")
-                kept, sizes, codes, folded = (batch.column(batch.schema.get_field_index(n))[i] for n in ("kept", "sizes", "codes", "folded"))
-                rest = pa.Table.from_batches(pa.ipc.open_stream(kept.as_py()))
-                sizes, codes = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, codes))
-                lists = folded.values
-                if len(lists):
-                    added = np.asarray(lists.offsets).astype(np.int64)
-                    offsets = np.concatenate([offsets, len(flat) + added[1:] - added[0]])
-                    flat = np.concatenate([flat, np.asarray(lists.values)[added[0]:added[-1]]])
-                # behind the folded words' ids: those of the words that every task knows
-                ids_table = np.concatenate([flat, hot_flat])
-                here = codes >= 0
-                lengths, starts = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
-                lengths[here], starts[here] = np.diff(offsets)[codes[here]], offsets[:-1][codes[here]]
-                places = -1 - codes[~here]
-                lengths[~here], starts[~here] = np.diff(hot_offsets)[places], len(flat) + hot_offsets[places]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                ids = ids_table[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])].astype(np.int32)
-                cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [
-                    None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
-                out = pa.Table.from_arrays([*rest.columns, lists, packed], names=[*rest.column_names, "ids", "ids_le"])
-                yield from out.cast(schema).to_batches(max_chunksize=2000)
+            yield from close(kept, codes, docs)
 
     return run
 
@@ -365,18 +316,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """``docs`` without its text, with ``ids`` (array<int>) and ``ids_le`` (the
     ids as little-endian unsigned 32-bit integers), in place of columns of these names."""
     docs = docs.drop("ids", "ids_le")
-    spark = docs.sparkSession
     if max(ranks.values()) >= NO_RANK or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes and ids below 65,535")
     rest = T.StructType([f for f in docs.schema if f.name != text])
     exact = exact_pattern(pattern)
     hot = hot_words(docs, ranks, exact, text, hot_share, hot_bytes)
-    blocks = docs.mapInArrow(tidy(_to_blocks(ranks, exact, text, block_chars, known_bytes, hot)),
-                             "kept binary, sizes binary, codes binary, first bigint, words array<array<int>>")
-    known = blocks.join(F.broadcast(rank_row(spark, ranks)))  # one constant row to each block
-    folded = known.select("kept", "sizes", "codes", "first", F.transform("words", lambda w: fold(w, F.col("ranks"))).alias("folded"))
     out = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())])
-    return folded.mapInArrow(tidy(_from_blocks(hot, to_arrow_schema(out))), out)
+    return docs.mapInArrow(tidy(_to_ids(ranks, exact, text, block_chars, known_bytes, hot, to_arrow_schema(out))), out)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

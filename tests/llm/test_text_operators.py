@@ -241,6 +241,19 @@ def test_heap_and_fold_agree_with_the_library(spark):
     assert df.select(F.transform("words", lambda w: bpe.fold(w, F.col("ranks")))).first()[0] == want
 
 
+def test_words_of_all_lengths_are_merged_in_one_step(spark):
+    """No word travels to another step to be merged, whatever its length."""
+    ranks, pattern = bpe.public_tokenizer()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abthening") for _ in range(n)) for n in (1, 2, 40, 199, 200, 201, 255, 600)]
+    coded = bpe.encode(frame(spark, [" ".join(words), *words]), ranks, pattern, hot_bytes=0)
+    assert "Join" not in coded._jdf.queryExecution().executedPlan().toString()
+    got = by_id(coded)
+    for i, t in enumerate([" ".join(words), *words]):
+        assert got[i]["ids"] == library.encode_ordinary(t)
+
+
 def test_base_counts_equal_brute_force(spark, texts):
     got = by_id(ngram.quality(frame(spark, texts)))
     for i, t in enumerate(texts):
