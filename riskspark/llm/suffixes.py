@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import dropped, packed, staged, table
+from riskspark.llm.shared import dropped, packed, staged, table, tidy
 
 MATCH, GRAM = 50, 20
 BATCHES = 3
@@ -295,7 +295,7 @@ class IndexFamily:
     def add(self, batch: DataFrame) -> DataFrame:
         """Index the rows (doc, text); (doc, anchor) pairs of all anchors that
         the batch shares with another document."""
-        arrays = batch.select("doc", "text").mapInArrow(_suffix_arrays(self.bits), _ROWS)
+        arrays = batch.select("doc", "text").mapInArrow(tidy(_suffix_arrays(self.bits)), _ROWS)
         # two levels of one size merge now, as the scan reads them anyway
         pair = next(([i, i + 1] for i in range(len(self.levels) - 1) if self.levels[i][0] == self.levels[i + 1][0]), [])
         for i, (_, level) in enumerate(self.levels):
@@ -316,7 +316,7 @@ class IndexFamily:
                     for at in range(0, len(h), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(d[at:at + 100_000]), pa.array(full[at:at + 100_000])], ["doc", "anchor"])
 
-        return done.filter("kind = 2").select("bucket", "hashes", "docs").mapInArrow(spell, "doc long, anchor long")
+        return done.filter("kind = 2").select("bucket", "hashes", "docs").mapInArrow(tidy(spell), "doc long, anchor long")
 
 
 # -- matches -----------------------------------------------------------------
@@ -463,7 +463,7 @@ def repeated_spans(reps: DataFrame, batches: int = BATCHES) -> DataFrame:
     wanted = staged(hits.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "anchors-by-doc")
     dropped(*family.tables)
     with_text = _with_texts(reps, wanted, ["doc"]).select("doc", "tag", "text", "anchors")
-    blocks = staged(with_text.mapInArrow(_blocks(family.bits), "doc long, tag int, first int, strings int, anchor long, block long"), "blocks")
+    blocks = staged(with_text.mapInArrow(tidy(_blocks(family.bits)), "doc long, tag int, first int, strings int, anchor long, block long"), "blocks")
     dropped(wanted)
     firsts = staged(blocks.groupBy("block").agg(F.min("doc").alias("origin"), F.first("anchor").alias("anchor"))
                     .select("block", "origin", "anchor"), "block-origins")
@@ -476,16 +476,16 @@ def repeated_spans(reps: DataFrame, batches: int = BATCHES) -> DataFrame:
                    .groupBy("doc", "tag", "local").agg(F.collect_list(F.struct("first", "strings", "anchor")).alias("spots")), "loose-blocks")
     few, many = spots.filter("local").drop("local"), spots.filter("not local").drop("local")
     pieces = (_with_texts(reps, few, ["doc", "tag"]).select("doc", "tag", "text", "spots")
-              .mapInArrow(_pieces(), "doc long, tag int, first int, anchor long, piece binary"))
+              .mapInArrow(tidy(_pieces()), "doc long, tag int, first int, anchor long, piece binary"))
     partial = (pieces.repartition("anchor").sortWithinPartitions("anchor")
-               .mapInArrow(_compared(), "doc long, tag int, first int, strings int"))
+               .mapInArrow(tidy(_compared()), "doc long, tag int, first int, strings int"))
     strings = staged(_with_texts(reps, many, ["doc", "tag"]).select("doc", "tag", "text", "spots")
-                     .mapInArrow(_strings(), "doc long, tag int, first int, string long"), "strings")
+                     .mapInArrow(tidy(_strings()), "doc long, tag int, first int, string long"), "strings")
     origin = strings.groupBy("string").agg(F.min("doc").alias("origin"))
     single = strings.join(origin, "string").filter("origin < doc").select("doc", "tag", "first", F.lit(1).alias("strings"))
     whole = whole.unionByName(partial)
     spans = whole.unionByName(single).groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "strings")).alias("spans"))
-    out = staged(spans.mapInArrow(_merged, "doc long, tag int, spans array<struct<first:int,strings:int>>"), "spans")
+    out = staged(spans.mapInArrow(tidy(_merged), "doc long, tag int, spans array<struct<first:int,strings:int>>"), "spans")
     dropped(blocks, firsts, spots, strings)
     return out
 
@@ -567,7 +567,7 @@ def _without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         cut = tagged.join(F.broadcast(spots), ["_doc", "_tag"])
     else:
         cut = tagged.join(mark, ["_doc", "_tag"], "left_semi").join(spots.hint("shuffle_hash"), ["_doc", "_tag"])
-    cut = cut.select(*columns, "spans").mapInArrow(_cut(keep), schema)
+    cut = cut.select(*columns, "spans").mapInArrow(tidy(_cut(keep)), schema)
     size = F.octet_length("text").cast("long")
     same = tagged.join(mark, ["_doc", "_tag"], "left_anti").select(
         *keep, size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
@@ -611,4 +611,4 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             out = pa.Table.from_arrays([made[c] if c in made else given[c] for c in schema.names], names=schema.names)
             yield from out.cast(arrow).to_batches()
 
-    return _without_repeats(packed(docs)).select("_row", "kept").mapInArrow(run, schema)
+    return _without_repeats(packed(docs)).select("_row", "kept").mapInArrow(tidy(run), schema)
