@@ -167,3 +167,17 @@ def test_training_part_does_not_follow_the_shuffle_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_deep_forest_passes_over_the_rows_seldom():
+    from riskspark.operators.models import PRESETS, _estimator
+    for preset in ("forest", "forest_select", "forest_stack"):
+        est = _estimator(PRESETS[preset], "features", "TARGET", None, 40, 1.0)
+        assert est.getCacheNodeIds() and est.getMaxMemoryInMB() >= 512
+        assert (est.getNumTrees(), est.getMaxDepth()) == (PRESETS[preset]["n_trees"], PRESETS[preset]["max_depth"])
+
+
+def test_prepared_joins_the_applicants_once(spark):
+    from riskspark.plans.catalog import prepared
+    files = prepared(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any(name in f for f in files for name in ("lineitem.parquet", "orders.parquet"))
