@@ -181,3 +181,19 @@ def test_prepared_joins_the_applicants_once(spark):
     from riskspark.plans.catalog import prepared
     files = prepared(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any(name in f for f in files for name in ("lineitem.parquet", "orders.parquet"))
+
+
+def test_partial_dependence_expands_margins_only(wb, models):
+    """A logistic model's rows are added up before the grid, with the values of
+    scoring each row at each grid value; other models are scored as they are."""
+    from riskspark.operators.explain import partial_dependence
+    few = wb.train.limit(40).cache()
+    for m in models[:2]:
+        got = partial_dependence(m, few, "AGE", 4)
+        assert ("UDF" in got._jdf.queryExecution().toString()) == (m.name == "tree")
+        for r in got.collect():
+            p = m.score(few.withColumn("AGE", F.lit(r["grid_value"]))).agg(F.avg(f"p_{m.name}")).first()[0]
+            assert r["mean_probability"] == pytest.approx(p, abs=1e-12)
+    with pytest.raises(Exception, match="null or NaN"):
+        partial_dependence(models[0], few.withColumn("AMT_CREDIT", F.lit(None).cast("double")), "AGE", 4).collect()
+    assert partial_dependence(models[0], few.withColumn("AGE", F.lit(30.0)), "AGE", 4).count() == 1
