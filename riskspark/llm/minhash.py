@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm.components import components
-from riskspark.llm.shared import staged, table, tidy
+from riskspark.llm.shared import release_unused, staged, table, tidy
 
 WORDS = 5
 BANDS, ROWS = 42, 6
@@ -53,6 +53,8 @@ BROADCAST_IDS = 500_000
 PART_ROWS = 1_500
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 100_000
+#: Rows that a task turns into Python objects at a time.
+SLICE_ROWS = 500
 #: Rows without an id are told apart by their texts: their numbers start here, above all ids.
 NO_ID = 1 << 62
 _SHINGLE_CHUNK = 2048
@@ -107,12 +109,19 @@ def _own() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut after ``SLICE_ROWS`` rows, so that few texts and results are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id (see ``_own``), n_shingles, fingerprint of the set, signature bits, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = _WordHash(), _parameters()
         band = np.arange(BANDS, dtype=np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             n, fp, bits, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 x = shingle_set(text, hashes)
@@ -143,11 +152,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(node, shingles) of documents, whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t, hashes).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        for part in _slices(batches):
+            sets = [shingle_set(t, hashes).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return docs.mapInArrow(tidy(run), "node long, shingles array<long>")
 
@@ -252,7 +259,7 @@ def _joining_links(pdf, percent: int = PERCENT):
     label, outside, part = pdf["label"].to_numpy(np.int64), pdf["outside"].to_numpy(bool), pdf["part"].to_numpy()
     bits = np.stack(pdf["bits"].to_numpy()).view(np.uint64)
     bands = np.stack(pdf["bands"].to_numpy())
-    sets: dict[int, set] = {}
+    shingles = pdf["shingles"].to_numpy()  # arrays of distinct values
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -273,14 +280,23 @@ def _joining_links(pdf, percent: int = PERCENT):
             a, b = find(int(label[i])), find(int(label[k]))
             if a == b:
                 continue
-            x, y = (sets.setdefault(r, set(pdf["shingles"].iloc[r].tolist())) for r in (i, k))
-            common = len(x & y)
+            x, y = shingles[i], shingles[k]
+            common = len(np.intersect1d(x, y, assume_unique=True))
             if common * 100 >= (len(x) + len(y) - common) * percent:
                 root[max(a, b)] = min(a, b)
                 links.append((node[k], node[i]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _joining_links_tidy(pdf, percent: int):
+    """``_joining_links``; large groups and some of the small ones give unused memory back."""
+    try:
+        return _joining_links(pdf, percent)
+    finally:
+        if len(pdf) >= SLICE_ROWS or int(pdf["key"].iloc[0]) % 64 == 0:
+            release_unused()
+
+
 def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     found = staged(_left_over(members, groups, nodes.select("node", "n_shingles", "bits"), percent), "left-over")
     ids = staged(found.select("node").distinct(), "left-over-ids")
@@ -292,7 +308,7 @@ def _left_over_links(members: DataFrame, groups: DataFrame, nodes: DataFrame, do
             .withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
             .join(nodes.select("node", "bands"), "node").join(sets, "node"))
     return rows.select("key", "p", "q", "part", "node", "label", "outside", "n_shingles", "bits", "bands", "shingles").groupBy(
-        "key", "p", "q").applyInPandas(lambda pdf: _joining_links(pdf, percent), "a long, b long").distinct()
+        "key", "p", "q").applyInPandas(lambda pdf: _joining_links_tidy(pdf, percent), "a long, b long").distinct()
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
