@@ -135,3 +135,11 @@ def test_saved_preparation_is_applied_to_a_later_batch(spark, tmp_path):
     assert out[101]["AMT_INCOME_TOTAL"] == known.prep.medians["AMT_INCOME_TOTAL"]
     assert [out[i]["CODE_GENDER"] for i in (100, 101, 102)] == [-1, 0, 2]   # MISSING, a, b, c
     assert all(r["AMT_CREDIT"] == 0.0 and r["CREDIT_INCOME_RATIO"] == 0.0 and r["TARGET"] == 0.0 for r in out.values())
+
+
+def test_later_batch_joins_the_applicants_once(spark):
+    from __spark_entry__ import queries
+    from conftest import SF_SMALL
+    for name in ("prepared_later_batch", "prepared_unlike_batch"):
+        read = queries()[name](spark, SF_SMALL).inputFiles()
+        assert read and not [f for f in read if "lineitem" in f or "orders" in f]
