@@ -6,9 +6,9 @@ common in the corpus are in that table from the start: a first pass counts the
 words of a random ``HOT_SHARE`` of the rows, and the most frequent ones, up to
 ``HOT_BYTES`` bytes of them, are folded on executors, a Spark ``aggregate`` that at
 every step merges the leftmost pair of lowest rank that the rank map knows.  They
-are sent to every task with their ids.  A task merges any other word when it meets
-it, by the same rule with a heap (``heap_merge``), and remembers up to
-``KNOWN_BYTES`` of them, then starts anew.  Lowest rank first, leftmost among
+are sent to every task with their ids.  A task merges the other words that it meets,
+those of a block together, by the same rule (``merge_words``; long ones by a heap),
+and remembers up to ``KNOWN_BYTES`` of them, then starts anew.  Lowest rank first, leftmost among
 equals, is one order of merges, so ids depend neither on the draw nor on which of
 the two met a word.  Texts are not shuffled, and a lost executor's task is done
 again from its input alone.  ``encode`` reads its rows once more, and runs the first
@@ -56,6 +56,9 @@ HOT_BYTES = 1_000_000
 HOT_TASKS = 48
 #: Neither a rank nor an id.
 NO_RANK = 0xFFFF
+#: Words of more bytes are merged one by one; so many bytes of others lie in one array.
+ROW_BYTES = 64
+ARRAY_BYTES = 100_000
 #: A prime, so that pairs with a common left or right id spread over the slots.
 MAP_SLOTS = 262_147
 #: White space as Unicode lists it; Python's own class also has 1C to 1F.
@@ -116,15 +119,85 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Pairs of ids in order, and the ids of bytes: what ``merge_words`` looks up."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = merge_pairs(ranks)
+        # at the end a pair that is none, so that every search ends inside
+        keys = np.array([(a << 16) + b for a, b in found] + [(NO_RANK << 16) + NO_RANK], np.uint32)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array([*found.values(), NO_RANK], np.uint16)[order]
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.uint32)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ids of the tokens that the pairs make, or ``NO_RANK``."""
+        key = (a.astype(np.uint32) << np.uint32(16)) | b.astype(np.uint32)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ids[at], np.uint16(NO_RANK))
+
+
+def _merge_rows(words: list[bytes], sizes: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The words' ids one after another, and how many each has.  A row for each
+    word, a column for each byte and one without a piece at both ends; a step
+    merges the leftmost pair of lowest rank of every row."""
+    n, width = len(words), int(sizes.max()) + 2
+    column = np.arange(width)
+    ids = np.full((n, width), NO_RANK, np.uint32)
+    ids[(column > 0) & (column <= sizes[:, None])] = pairs.bytes[np.frombuffer(b"".join(words), np.uint8)]
+    rank = np.full((n, width), NO_RANK, np.uint16)
+    rank[:, :-1] = pairs.merged(ids[:, :-1], ids[:, 1:])
+    following, before = np.tile(column + 1, (n, 1)), np.tile(column - 1, (n, 1))
+    rows = np.arange(n)
+    while True:
+        at = rank[rows].argmin(1)
+        low = rank[rows, at]
+        some = low != NO_RANK
+        rows, at, low = rows[some], at[some], low[some]
+        if not len(rows):
+            break
+        gone, left = following[rows, at], before[rows, at]
+        right = following[rows, gone]
+        ids[rows, at], ids[rows, gone], rank[rows, gone] = low, NO_RANK, NO_RANK
+        following[rows, at], before[rows, right] = right, at
+        rank[rows, at] = pairs.merged(low, ids[rows, right])
+        rank[rows, left] = pairs.merged(ids[rows, left], low)
+    left_over = ids != NO_RANK
+    return ids[left_over].astype(np.int32), left_over.sum(1)
+
+
+def merge_words(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The words' ids one after another, and how many each has: those of ``heap_merge``."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    short = int(np.searchsorted(sizes[order], ROW_BYTES, side="right"))
+    flat, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    while at < short:
+        rows = order[at:min(at + max(1, ARRAY_BYTES // (int(sizes[order[at]]) + 2)), short)]
+        for x, to in zip(_merge_rows([words[i] for i in rows.tolist()], sizes[rows], pairs), (flat, counts)):
+            to.append(x)
+        at += len(rows)
+    for i in order[short:].tolist():
+        flat.append(np.array(heap_merge(words[i], ranks), np.int32))
+        counts.append(np.array([len(flat[-1])], np.int64))
+    by_size = np.concatenate(counts)
+    starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    starts[order], lengths[order] = np.cumsum(by_size) - by_size, by_size
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.concatenate(flat)[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], lengths
+
+
 class _Codes(dict):
     """word -> code: the place of a word merged here, or -1 - its place in ``HotWords``.
 
-    ``flat`` and ``ends`` hold the ids of the words merged here."""
+    ``flat`` and ``ends`` hold the ids of the words merged here, from ``settle`` on."""
 
     def __init__(self, ranks: dict[bytes, int], hot: dict[str, int]):
         super().__init__(hot)  # shares the words themselves
         self.ranks = ranks
         self.flat, self.ends, self.bytes = array("i"), array("q", [0]), 0
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8")
@@ -133,12 +206,18 @@ class _Codes(dict):
         if whole is not None:
             code = -1 - whole
         else:
-            code = len(self.ends) - 1
-            self.flat.extend(heap_merge(raw, self.ranks))
-            self.ends.append(len(self.flat))
+            code = len(self.ends) - 1 + len(self.fresh)
+            self.fresh.append(raw)
         self[word] = code
         return code
 
+    def settle(self, pairs: Pairs) -> None:
+        """Merge the words met since the last call."""
+        ids, lengths = merge_words(self.fresh, self.ranks, pairs)
+        self.ends.frombytes((np.cumsum(lengths) + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
+        self.fresh = []
+
 
 class HotWords:
     """The words that every task knows: each id by itself at the place of its
@@ -219,9 +298,11 @@ def _to_ids(ranks: dict[bytes, int], pattern: str, text: str, block_chars: int,
     """Task: documents -> their other columns and ids, a block of about ``block_chars`` characters at a time."""
     split = regex.compile(pattern).findall
     hot_codes, hot_flat, hot_offsets = hot.codes(), hot.flat, hot.offsets  # not the words a second time
+    pairs = Pairs(ranks)
 
     def close(kept: list[pa.RecordBatch], codes: _Codes, docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rest = pa.Table.from_batches(kept)
+        codes.settle(pairs)
         # behind the ids of the words merged here: those of the words that every task knows
         flat, offsets = np.array(codes.flat, np.int32), np.array(codes.ends, np.int64)
         ids_table = np.concatenate([flat, hot_flat])

@@ -266,6 +266,23 @@ def test_base_counts_equal_brute_force(spark, texts):
                 covered[j:j + 3] = [True] * 3
         seen, duplicates = set(), 0
         for line in t.split("\n"):
+def test_words_merged_together_equal_words_merged_alone():
+    ranks, _ = bpe.public_tokenizer()
+    rng = random.Random(5)
+    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, n))).encode() for a in ("ab", "thening", "é世x") for n in (3, 12, 90) for _ in range(60)]
+    words += [b"x" * bpe.ROW_BYTES, b"ab" * bpe.ROW_BYTES, b"\x00", b"the"]
+    want = [bpe.heap_merge(w, ranks) for w in words]
+    ids, lengths = bpe.merge_words(words, ranks, bpe.Pairs(ranks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    codes = bpe._Codes(ranks, {})
+    places = [codes[w] for w in ("thxening", "qzxv")]
+    codes.settle(bpe.Pairs(ranks))
+    places.append(codes["xxqzv"])  # met in a later block
+    codes.settle(bpe.Pairs(ranks))
+    assert [list(codes.flat[codes.ends[i]:codes.ends[i + 1]]) for i in places] == [
+        bpe.heap_merge(w, ranks) for w in (b"thxening", b"qzxv", b"xxqzv")]
+
+
             duplicates += line in seen and bool(WORD.search(line))
             seen.add(line)
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), duplicates, sum(covered),
