@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from riskspark.session import checkpoint_dir
 
 #: ASCII white space; everything between is a word.
 SPACES = b" \t\n\r\x0b\x0c"
+#: Rows of a batch that a written job passes to Python.
+BATCH_ROWS = 1000
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -21,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Meanwhile jobs pass rows to Python ``BATCH_ROWS`` at a time: a batch of whole texts
+    lies in the executor's memory beside its heap, and in the worker's as well."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -29,7 +46,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from riskspark.llm.shared import dropped, packed, staged, table, tidy
+from riskspark.llm.shared import dropped, packed, release_unused, staged, table, tidy
 
 MATCH, GRAM = 50, 20
 BATCHES = 3
@@ -277,7 +277,14 @@ def _merge_scan(merging: list[int], target: int):
         emit(2, -1, h[shared], d[shared])
         return pd.DataFrame(out, columns=["kind", "level", "bucket", "hashes", "docs"])
 
-    return run
+    def and_release(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a bucket holds megabytes of arrays; the worker would keep those of the buckets before
+        try:
+            return run(pdf)
+        finally:
+            release_unused()
+
+    return and_release
 
 
 class IndexFamily:

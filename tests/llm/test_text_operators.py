@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, lpt, minhash, mixing, ngram, suffixes, toxicity
+from riskspark.llm import bpe, lpt, minhash, mixing, ngram, shared, suffixes, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -165,6 +167,29 @@ def test_long_texts_lose_their_planted_repeats(spark, size):
         assert all(got[i]["n_removed"] == 0 for i in range(7))
 
 
+def test_written_jobs_pass_few_rows_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(2 * shared.BATCH_ROWS + 5).coalesce(1).mapInArrow(sizes, "n long")
+    assert sorted(r["n"] for r in shared.staged(rows, "sizes").collect()) == [5, shared.BATCH_ROWS, shared.BATCH_ROWS]
+    assert spark.conf.get(name) == given
+
+
+def test_every_bucket_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(suffixes, "release_unused", lambda: calls.append(1))
+    h, d = suffixes._pack(np.array([1, 1, 9], np.uint32), np.array([4, 7, 4]))
+    for kind in (0, 2):  # a batch's array, and known anchors alone
+        pdf = pd.DataFrame([(kind, -1, 3, h, d)], columns=["kind", "level", "bucket", "hashes", "docs"])
+        assert len(suffixes._merge_scan([], -1)(pdf))
+    assert len(calls) == 2
+
+
 def test_index_levels_merge_geometrically(spark, texts):
     family = suffixes.IndexFamily(64)
     rows = frame(spark, texts).select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -241,6 +266,23 @@ def test_heap_and_fold_agree_with_the_library(spark):
     assert df.select(F.transform("words", lambda w: bpe.fold(w, F.col("ranks")))).first()[0] == want
 
 
+def test_words_merged_together_equal_words_merged_alone():
+    ranks, _ = bpe.public_tokenizer()
+    rng = random.Random(5)
+    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, n))).encode() for a in ("ab", "thening", "é世x") for n in (3, 12, 90) for _ in range(60)]
+    words += [b"x" * bpe.ROW_BYTES, b"ab" * bpe.ROW_BYTES, b"\x00", b"the"]
+    want = [bpe.heap_merge(w, ranks) for w in words]
+    ids, lengths = bpe.merge_words(words, ranks, bpe.Pairs(ranks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    codes = bpe._Codes(ranks, {})
+    places = [codes[w] for w in ("thxening", "qzxv")]
+    codes.settle(bpe.Pairs(ranks))
+    places.append(codes["xxqzv"])  # met in a later block
+    codes.settle(bpe.Pairs(ranks))
+    assert [list(codes.flat[codes.ends[i]:codes.ends[i + 1]]) for i in places] == [
+        bpe.heap_merge(w, ranks) for w in (b"thxening", b"qzxv", b"xxqzv")]
+
+
 def test_words_of_all_lengths_are_merged_in_one_step(spark):
     """No word travels to another step to be merged, whatever its length."""
     ranks, pattern = bpe.public_tokenizer()
@@ -266,23 +308,6 @@ def test_base_counts_equal_brute_force(spark, texts):
                 covered[j:j + 3] = [True] * 3
         seen, duplicates = set(), 0
         for line in t.split("\n"):
-def test_words_merged_together_equal_words_merged_alone():
-    ranks, _ = bpe.public_tokenizer()
-    rng = random.Random(5)
-    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, n))).encode() for a in ("ab", "thening", "é世x") for n in (3, 12, 90) for _ in range(60)]
-    words += [b"x" * bpe.ROW_BYTES, b"ab" * bpe.ROW_BYTES, b"\x00", b"the"]
-    want = [bpe.heap_merge(w, ranks) for w in words]
-    ids, lengths = bpe.merge_words(words, ranks, bpe.Pairs(ranks))
-    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
-    codes = bpe._Codes(ranks, {})
-    places = [codes[w] for w in ("thxening", "qzxv")]
-    codes.settle(bpe.Pairs(ranks))
-    places.append(codes["xxqzv"])  # met in a later block
-    codes.settle(bpe.Pairs(ranks))
-    assert [list(codes.flat[codes.ends[i]:codes.ends[i + 1]]) for i in places] == [
-        bpe.heap_merge(w, ranks) for w in (b"thxening", b"qzxv", b"xxqzv")]
-
-
             duplicates += line in seen and bool(WORD.search(line))
             seen.add(line)
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), duplicates, sum(covered),
