@@ -197,3 +197,18 @@ def test_partial_dependence_expands_margins_only(wb, models):
     with pytest.raises(Exception, match="null or NaN"):
         partial_dependence(models[0], few.withColumn("AMT_CREDIT", F.lit(None).cast("double")), "AGE", 4).collect()
     assert partial_dependence(models[0], few.withColumn("AGE", F.lit(30.0)), "AGE", 4).count() == 1
+
+
+def test_large_tables_are_fitted_one_model_at_a_time(spark, monkeypatch):
+    """Every fit of a large table keeps its own blocks of rows: the fits do not share the memory."""
+    from riskspark.operators import tune
+    given = []
+    one = tune.CrossValidator
+    monkeypatch.setattr(tune, "CrossValidator", lambda **kw: given.append(kw["parallelism"]) or one(**kw))
+    rows = [(i, i % 2, float(i % 7), float(i * i % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int, a double, b double")
+    tables = []
+    for most in (60, 59):
+        monkeypatch.setattr(tune, "ROWS_AT_ONCE", most, raising=False)
+        tables.append(sorted(map(tuple, grid_search_logistic(df, ["a", "b"], c_values=[0.1, 1.0], max_iter=5).cv_table.collect())))
+    assert given == [4, 1] and tables[0] == tables[1]
